@@ -60,7 +60,7 @@ def share_file(spark: SparkSession, whole: bytes, name: str) -> str:
     uri = f"{shared_dir(spark).rstrip('/')}/{name}"
     fs, path = FileSystem.from_uri(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(path) as f:
+    with fs.open_output_stream(path, compression=None) as f:
         f.write(whole)
     spark.sparkContext.addFile(uri)
     return name

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm.common import prepare, table
+from quaver.llm.common import table
 
 
 def tokenizer_file() -> str:
@@ -14,6 +14,25 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaver.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaver.llm.lines import dedup_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaver.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quaver.llm.substring import dedup_substrings
 
@@ -27,6 +46,27 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op6_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaver.llm.images import image_copies, rendered
+
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("values"))
+    return image_copies(rendered(vectors)).withColumnRenamed("id", "vec_id")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaver.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaver.llm.quality import grade_documents, ratings_of, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, ratings_of(table(spark, sf_dir, "labels")))
+    return grade_documents(docs, model).select("doc_id", "expected_grade", "p_tail", "keep")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quaver.llm.bpe import build_lexicon, digests
 
@@ -40,7 +80,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op5_best_fit_packing, op9_bpe, op10_fingerprints)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_line_dedup,
+        op3_language_id,
+        op4_substring_dedup,
+        op5_best_fit_packing,
+        op6_image_copies,
+        op7_warc,
+        op8_quality_classifier,
+        op9_bpe,
+        op10_fingerprints,
+    )
+}
 
 SQL = {
     "op4_substring_dedup": r"""
@@ -60,5 +114,18 @@ WITH words AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(r), 0)::BIGINT AS n_removed,
   sha256(array_to_string([w[i] FOR i IN range(1, len(w) + 1) IF r IS NULL OR NOT list_contains(r, i)], ' ')) AS kept_sha256
 FROM words LEFT JOIN gone USING (doc_id)
+""",
+    "op7_warc": """
+WITH own AS (
+  SELECT page_id, coalesce(html, '') AS payload FROM pages
+), hashed AS (
+  SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM own
+), least AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM hashed
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM least
 """,
 }
