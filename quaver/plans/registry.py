@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quaver.plans import texts, timing
+
+QUERIES = texts.QUERIES | timing.QUERIES
+SQL = texts.SQL | timing.SQL
