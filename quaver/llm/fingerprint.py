@@ -98,7 +98,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         return F.array(*[F.lit(v).cast("long") for v in values]) if values else F.array().cast("array<bigint>")
 
     # Bounds at or below the id, searched in two steps over the square root of their number.
-    firsts, table = numbers([g[0] for g in groups]), F.array(*[numbers(g) for g in groups])
+    firsts, table = numbers([g[0] for g in groups]), F.array(*[numbers(g) for g in groups]).cast("array<array<bigint>>")
     group = F.size(F.filter(firsts, lambda b: b <= F.col("doc_id"))) - 1
     inside = F.size(F.filter(F.get(table, F.col("group_")), lambda b: b <= F.col("doc_id"))) - 1
     bound = F.get(F.get(table, F.col("group_")), F.col("inside_"))
