@@ -145,7 +145,7 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, solid: int = SOLID) -> DataFr
     joined = docs.join(side, (F.col("doc_id") == F.col(f"{th}id")) & (F.xxhash64("text") == F.col(th)), "left").drop(th, f"{th}id")
     at, spot_at = joined.columns.index("text"), joined.columns.index(spot)
     names = docs.columns
-    schema = docs.schema.add("n_lines", "long").add("n_removed", "long")
+    schema = docs.select("*").schema.add("n_lines", "long").add("n_removed", "long")
 
     def cut_out(batches):
         for batch in batches:
