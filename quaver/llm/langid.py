@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaver.functions.arrays import let
 from quaver.llm.common import cut, prepare, small
 from quaver.llm.textbuf import buffers
 
@@ -103,8 +104,8 @@ def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], text: st
 
 
 def softmax(logs: Column) -> Column:
-    raised = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, y: a + y))
+    raised = let(logs, lambda v: F.transform(v, lambda x: F.exp(x - F.array_max(v))))
+    return let(raised, lambda v: F.transform(v, lambda x: x / F.aggregate(v, F.lit(0.0), lambda a, y: a + y)))
 
 
 def added(a: Column, b: Column) -> Column:
