@@ -1,6 +1,6 @@
 """Whole Arrow string columns as word and window hashes, with numpy over the raw UTF-8 buffers.
 
-Runs inside Spark's Arrow tasks. Texts are taken in slices of a few MB, so memory follows the
+Runs inside Spark's Arrow tasks. Texts are taken in slices of about a MB, so memory follows the
 longest single text rather than the batch. Words are runs of anything but the bytes 0x20 and
 0x09-0x0D, which never occur inside a multi-byte character.
 """
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _rng = np.random.Generator(np.random.PCG64(20240607))
