@@ -21,13 +21,17 @@ from pyspark.sql import functions as F
 
 from quaver.llm.common import cut, fresh, prepare, small
 from quaver.llm.textbuf import buffers, grams, mix, slices, sliding_min
+from quaver.llm.wordbpe import ragged
 
 SPAN, CORE = 50, 8
 #: Counters in each of the sketch's rows, and the number of rows.
 WIDTH_BITS, DEPTH = 24, 4
 BLOCKS = 64
-#: Windows that a task holds before it settles and sends them.
-HELD = 1_000_000
+#: Runs of removed windows that may be broadcast in all, of 8 bytes each; more are shuffled.
+BROADCAST_RUNS = 2_000_000
+#: Windows that a task holds before it settles and sends them: always as many, so that what is
+#: settled early doesn't depend on the number of tasks.
+HELD = 100_000
 
 
 def cells(keys: np.ndarray, depth: int, bits: int) -> np.ndarray:
@@ -115,7 +119,8 @@ def _sparse(counts: np.ndarray, block_cells: int):
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, bits: int = WIDTH_BITS, depth: int = DEPTH) -> DataFrame:
-    """doc_id, th, starts array<int>: first words of the windows to be removed; -1 for a whole text.
+    """doc_id, th, starts, sizes array<int>: runs of first words of the windows to be removed; a
+    start of -1 is a whole text.
 
     docs has doc_id and text. th is xxhash64 of the text, which tells rows with the same doc_id
     apart. Rows without a doc_id have no order and neither lose windows nor make others lose them;
@@ -161,29 +166,38 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, bits: int = WIDTH_BITS, de
                     low, high = (grams(words.hash, span, base, 30 + base)[at] for base in (2, 3))
                     held.append((low, high, doc_ids[words.first + doc], ths[words.first + doc], at - words.at[doc]))
                     n += len(at)
-            if n >= HELD:
-                yield from settle(held)
-                held, n = [], 0
+                if n >= HELD:
+                    yield from settle(held)
+                    held, n = [], 0
         if held:
             yield from settle(held)
 
-    # Rows of one window are at most one for each document with a third of a million words in a task.
-    rows = cut(single.select("doc_id", "th", "text").mapInArrow(repeated, "low long, high long, doc_id long, th long, starts array<int>"))
+    # A window, however common, has a row for each HELD windows of a task at most. Rows that are done
+    # pass by in a group of their own.
+    rows = single.select("doc_id", "th", "text").mapInArrow(repeated, "low long, high long, doc_id long, th long, done boolean, starts array<int>")
     everywhere = Window.partitionBy("low", "high")
-    local = rows.where("low is null").select("doc_id", "th", "starts")
-    spread = (
-        rows.where("low is not null")
-        .withColumn("least", F.min("doc_id").over(everywhere))
-        .where("doc_id > least")
-        .select("doc_id", "th", "starts")
-    )
-    found = local.union(spread).groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"))
-    return found.union(later.withColumn("starts", F.array(F.lit(-1))))
+    spread = rows.withColumn("least", F.min("doc_id").over(everywhere)).where("done or doc_id > least").select("doc_id", "th", "starts")
+    found = spread.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    runs = found.mapInArrow(as_runs, "doc_id long, th long, starts array<int>, sizes array<int>")
+    return runs.union(later.select("doc_id", "th", F.array(F.lit(-1)), F.array(F.lit(1))))
+
+
+def as_runs(batches):
+    """Places of each document, in any order, as runs of neighbours."""
+    for batch in batches:
+        starts, sizes = [], []
+        for k in range(batch.num_rows):
+            at = np.unique(np.asarray(batch.column(2)[k].values))
+            first = np.flatnonzero(np.append(True, np.diff(at) > 1))
+            starts.append(at[first])
+            sizes.append(np.diff(first, append=len(at)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(x, pa.list_(pa.int32())) for x in (starts, sizes))], ["doc_id", "th", "starts", "sizes"])
 
 
 def settle(held: list[tuple]):
-    """Rows of a task's windows: those with a smaller document here are done (no hash), one row for
-    each other hash waits for the rest of the table."""
+    """Rows of a task's windows: for each hash the windows of its smallest document here, which
+    wait for the rest of the table, and for each document the windows that others repeat here,
+    which are done and get the document's own hash."""
     low, high, doc, th, at = (np.concatenate(x) for x in zip(*held, strict=True))
     by = np.lexsort((at, th, doc, high, low))
     low, high, doc, th, at = (x[by] for x in (low, high, doc, th, at))
@@ -191,24 +205,25 @@ def settle(held: list[tuple]):
     same[1:] = (low[1:] == low[:-1]) & (high[1:] == high[:-1])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(low))))
     done = doc > doc[head]
-    cols = ["low", "high", "doc_id", "th", "starts"]
-
-    def lists(pick: np.ndarray, bound: np.ndarray, hashed: bool):
-        a, first = at[pick], np.flatnonzero(bound)
-        starts = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), pa.array(a, pa.int32()))
+    differ = lambda *cols: np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols]))
+    for kind in (False, True):
+        pick = np.flatnonzero(done == kind)
+        if not len(pick):
+            continue
+        if kind:
+            pick = pick[np.lexsort((at[pick], th[pick], doc[pick]))]
+            first = np.flatnonzero(differ(doc[pick], th[pick]))
+        else:
+            first = np.flatnonzero(differ(low[pick], high[pick], doc[pick], th[pick]))
+        size = np.diff(first, append=len(pick))
+        order = np.arange(len(first)) if kind else np.lexsort((at[pick][first], doc[pick][first]))  # by document: the columns that repeat compress
+        first, size = first[order], size[order]
+        starts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(at[pick][ragged(first, size)], pa.int32()))
         own = [x[pick][first] for x in (low, high, doc, th)]
-        keys = [pa.array(x.view(np.int64), pa.int64()) if hashed else pa.nulls(len(first), pa.int64()) for x in own[:2]]
-        return pa.RecordBatch.from_arrays([*keys, pa.array(own[2], pa.int64()), pa.array(own[3], pa.int64()), starts], cols)
-
-    wait = np.flatnonzero(~done)
-    if len(wait):
-        bound = ~same[wait] | np.append(True, (doc[wait][1:] != doc[wait][:-1]) | (th[wait][1:] != th[wait][:-1]))
-        yield lists(wait, bound, True)
-    rest = np.flatnonzero(done)
-    if len(rest):
-        rest = rest[np.lexsort((at[rest], th[rest], doc[rest]))]
-        bound = np.append(True, (doc[rest][1:] != doc[rest][:-1]) | (th[rest][1:] != th[rest][:-1]))
-        yield lists(rest, bound, False)
+        if kind:
+            own[0], own[1] = mix(own[2].astype(np.uint64), 60), mix(own[2].astype(np.uint64), 61)
+        columns = [pa.array(x.view(np.int64), pa.int64()) for x in own]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(first), kind)), starts], ["low", "high", "doc_id", "th", "done", "starts"])
 
 
 def dedup_substrings(docs: DataFrame, span: int = SPAN, bits: int = WIDTH_BITS, depth: int = DEPTH, digests: bool = False) -> DataFrame:
@@ -221,9 +236,10 @@ def dedup_substrings(docs: DataFrame, span: int = SPAN, bits: int = WIDTH_BITS,
     """
     docs = docs.drop("n_words", "n_removed", *(["kept_sha256"] if digests else []))
     th, starts = fresh(docs, "th_"), fresh(docs, "starts_")
-    cuts = cut(repeated_spans(docs, span, bits, depth)).select(F.col("doc_id").alias(f"{th}id"), F.col("th").alias(th), F.col("starts").alias(starts))
-    size = cuts.agg(F.sum(F.size(starts)).alias("n")).first().n or 0
-    side = small(cuts, 48) if size < 4_000_000 else cuts
+    runs = F.arrays_zip("starts", "sizes").alias(starts)
+    cuts = cut(repeated_spans(docs, span, bits, depth)).select(F.col("doc_id").alias(f"{th}id"), F.col("th").alias(th), runs)
+    total = cuts.agg(F.sum(F.size(starts)).alias("n")).first().n or 0
+    side = small(cuts, 48) if total <= BROADCAST_RUNS else cuts
     joined = docs.join(side, (F.col("doc_id") == F.col(f"{th}id")) & (F.xxhash64("text") == F.col(th)), "left").drop(th, f"{th}id")
     at, cut_at = joined.columns.index("text"), joined.columns.index(starts)
     names = [c for c in joined.columns if c != starts]
@@ -239,16 +255,16 @@ def dedup_substrings(docs: DataFrame, span: int = SPAN, bits: int = WIDTH_BITS,
             n, gone, texts = [], [], []
             for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
                 words = whole[a:b].split()
-                begin = listed[k].values
+                found = listed[k].values
                 n.append(len(words))
-                if begin is not None and len(words) >= span:
-                    begin = np.asarray(begin)
+                if found is not None and len(words) >= span:
+                    begin, size = (np.asarray(found.field(c)) for c in (0, 1))
                     if begin[0] < 0:
                         words = []
                     else:
                         edge = np.zeros(len(words) + 1, np.int64)
                         np.add.at(edge, begin, 1)
-                        np.add.at(edge, begin + span, -1)
+                        np.add.at(edge, begin + size - 1 + span, -1)
                         words = [w for w, c in zip(words, np.cumsum(edge).tolist(), strict=False) if not c]
                 gone.append(n[-1] - len(words))
                 kept = b" ".join(words)
