@@ -29,15 +29,16 @@ def tokens(text: Column) -> Column:
     """Words, and for each white-space run a newline word (if it has a line feed) or a space word."""
 
     def token(run: Column) -> Column:
-        bare = trimmed(run)
-        return F.when(bare != "", bare).when(run.contains("\n"), "\n").otherwise(" ")
+        odd = let(trimmed(run), lambda bare: F.when(bare != "", bare).when(run.contains("\n"), "\n").otherwise(" "))
+        return F.when(run == " ", run).when(run.rlike(BLANK), odd).otherwise(run)
 
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(RUN), F.lit(0)), token)
 
 
 def closed(words: Column) -> Column:
     """Words with a newline word at the end."""
-    return F.when(F.element_at(F.concat(F.array(F.lit("")), words), -1) == "\n", words).otherwise(F.concat(words, F.array(F.lit("\n"))))
+    ends = lambda w: F.coalesce(F.get(w, F.size(w) - 1) == "\n", F.lit(False))
+    return let(words, lambda w: F.when(ends(w), w).otherwise(F.concat(w, F.array(F.lit("\n")))))
 
 
 def kind(reading: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quaver.functions.arrays import let
+
 #: White space of the lyric formats: more than Java's \s.
 BLANK = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
@@ -17,7 +19,7 @@ def half_up(x: Column) -> Column:
 def padded(n: Column, width: int) -> Column:
     """Digits of a whole number with leading zeros; longer numbers keep all their digits."""
     digits = n.cast("string")
-    return F.when(F.length(digits) >= width, digits).otherwise(F.lpad(digits, width, "0"))
+    return let(digits, lambda d: F.lpad(d, F.greatest(F.length(d), F.lit(width)), F.lit("0")))
 
 
 def milliseconds(fraction: Column) -> Column:
@@ -44,10 +46,12 @@ def _magnitude(s: Column) -> Column:
 
 def parse_time_strict(text: Column) -> Column:
     """Milliseconds of ``[m:s.f]``, ``m:s``, ``s.f`` or whole milliseconds, signed; null otherwise."""
-    inner = trimmed(F.regexp_replace(trimmed(text), r"^\[|\]$", ""))
-    signed = inner.rlike("^[+-]")
-    size = _magnitude(F.when(signed, trimmed(F.substr(inner, F.lit(2)))).otherwise(inner))
-    return F.when(inner.startswith("-"), -size).otherwise(size)
+
+    def signed(inner: Column) -> Column:
+        bare = F.when(inner.rlike("^[+-]"), trimmed(F.substr(inner, F.lit(2)))).otherwise(inner)
+        return let(let(bare, _magnitude), lambda size: F.when(inner.startswith("-"), -size).otherwise(size))
+
+    return let(trimmed(F.regexp_replace(trimmed(text), r"^\[|\]$", "")), signed)
 
 
 def parse_time(text: Column) -> Column:
@@ -74,7 +78,7 @@ def format_seconds(s: Column) -> Column:
 
 def shifted(t: Column, by: Column) -> Column:
     """An edited time: never before 0, and unset times stay unset."""
-    return F.greatest(t + by, F.lit(0).cast("bigint"))
+    return F.when(t.isNotNull(), F.greatest(t + by, F.lit(0).cast("bigint")))
 
 
 def epoch_ms(ts: Column) -> Column:

@@ -18,7 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("song_id"), "text")
+    """Texts dealt by song before they are taken apart: the windows and groupings by song that
+    follow need no exchange of the many rows, and a table of one file is worked on everywhere."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("song_id"), "text").repartition(n, "song_id")
 
 
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:

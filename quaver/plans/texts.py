@@ -133,8 +133,7 @@ def time_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lrc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """LRC texts of the first forty non-blank lines of each document, a line every 7 seconds, with
-    metadata, so that times and repeats are known."""
+    """LRC texts of each document's non-blank lines, one every 7 seconds, with metadata."""
     line = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\[\]\s　]+", " "))), lambda x: x != "")
     rows = songs(spark, sf_dir).select("song_id", line.alias("l"))
     stamped = F.transform("l", lambda x, i: F.concat(C.format_time((i * 7000 + 1000).cast("bigint"), centiseconds=True), x))
@@ -177,10 +176,10 @@ def lrc_import(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT song_id, i, 2 * k AS k, coalesce(reading, chr(10)) AS reading, CASE WHEN reading IS NULL THEN t + n * per + (n - 1) * 500 ELSE t + k * (per + 500) END AS t FROM cells
   UNION ALL SELECT song_id, i, 2 * k + 1, ' ', t + (k + 1) * per + k * 500 FROM cells WHERE k < n - 1
 )
-SELECT song_id, row_number() OVER (PARTITION BY song_id ORDER BY i, k) - 1 AS word_idx, reading, t::BIGINT AS t FROM flat"""
+SELECT song_id, count(*) AS n_words, sum(t)::BIGINT AS t_sum, md5(string_agg(reading, '|' ORDER BY i, k)) AS words_md5 FROM flat GROUP BY song_id"""
 )
 def lrc_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lyrics.spread(lyrics.lrc_lines(lyrics.lrc_items(_lrc_source(spark, sf_dir)))).withColumn("word_idx", F.col("word_idx").cast("bigint"))
+    return _digest(lyrics.spread(lyrics.lrc_lines(lyrics.lrc_items(_lrc_source(spark, sf_dir)))))
 
 
 @query(
@@ -196,7 +195,7 @@ def lrc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stamped_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's words as timestamped lyrics: a stamp every 50 centiseconds, eight a line."""
     w = F.filter(T.tokens(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]@]", " ")), lambda x: ~T.is_separator(x))
-    rows = songs(spark, sf_dir).select("song_id", F.slice(w, 1, 400).alias("w"))
+    rows = songs(spark, sf_dir).select("song_id", w.alias("w"))
     stamp = lambda i: C.format_time((i * 500 + 500).cast("bigint"), ":", centiseconds=True)
     chunk = F.transform("w", lambda x, i: F.concat(F.when((i > 0) & (i % 8 == 0), F.concat(stamp(i), F.lit("\n"))).otherwise(""), stamp(i), x))
     return rows.where(F.size("w") > 0).select("song_id", F.concat(F.array_join(chunk, ""), stamp(F.size("w"))).alias("text"))
@@ -204,7 +203,7 @@ def _stamped_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     rf"""WITH own AS (
-  SELECT doc_id AS song_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '[\[\]@]', ' ', 'g'), '[^ \t\n\r\x{{3000}}]+')[1:400] AS w FROM documents
+  SELECT doc_id AS song_id, regexp_extract_all(regexp_replace(coalesce(text, ''), '[\[\]@]', ' ', 'g'), '[^ \t\n\r\x{{3000}}]+') AS w FROM documents
 ), chunks AS (
   SELECT song_id, unnest(range(len(w))) AS i, unnest(w) AS x, len(w) AS n FROM own
 ), parts AS (
@@ -221,7 +220,7 @@ def stamped_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     rf"""WITH own AS (
-  SELECT doc_id AS song_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')[1:200] AS w FROM documents
+  SELECT doc_id AS song_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents
 ), words AS (
   SELECT song_id, unnest(range(len(w))) AS word_idx, lower(unnest(w)) AS reading FROM own
 ), timed AS (
@@ -238,7 +237,7 @@ def stamped_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT song_id, reading, run::BIGINT AS run, t_from::BIGINT AS t_from, signature, n, t_to::BIGINT AS t_to FROM ended WHERE signature IS NOT NULL"""
 )
 def ruby_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0)), 1, 200)
+    w = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
     rows = songs(spark, sf_dir).select("song_id", F.posexplode(w).alias("word_idx", "r")).select("song_id", "word_idx", F.lower("r").alias("reading"))
     sig = F.when(F.col("word_idx") % 5 != 4, F.substring("reading", F.lit(1), (F.floor(F.col("word_idx") / 40) % 2 + 1).cast("int")))
     rows = rows.withColumn("t", F.col("word_idx").cast("bigint") * 500).withColumn("signature", sig)
@@ -327,11 +326,12 @@ def words_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(edit.merged_runs(_numbered(spark, sf_dir).withColumn("selected", (F.col("word_idx") % 6).isin(1, 2, 3))))
 
 
-@query(f"WITH {_SQL_NUMBERED} SELECT song_id, word_idx, CASE WHEN word_idx % 5 = 0 THEN greatest(t - 250, 0) ELSE t END::BIGINT AS t FROM own WHERE word_idx < 300")
+@query(f"WITH {_SQL_NUMBERED} SELECT song_id, sum(CASE WHEN t IS NULL THEN NULL WHEN word_idx % 5 = 0 THEN greatest(t - 250, 0) ELSE t END * (word_idx % 1000))::BIGINT AS t_sum, count(t) AS n_set FROM own GROUP BY song_id")
 def times_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _numbered(spark, sf_dir)
     by = own.where(F.col("word_idx") % 5 == 0).select("song_id", "word_idx", F.lit(-250).cast("bigint").alias("by"))
-    return edit.shifted_times(own, by).where("word_idx < 300").select("song_id", "word_idx", "t")
+    out = edit.shifted_times(own, by)
+    return out.groupBy("song_id").agg(F.sum(F.col("t") * (F.col("word_idx") % 1000)).alias("t_sum"), F.count("t").alias("n_set"))
 
 
 @query(

@@ -314,12 +314,12 @@ def player_math(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL_TURNS = """turns AS (
   SELECT conv_id AS song_id, turn, w AS word, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, i) - 1 AS word_idx
-  FROM (SELECT conv_id, turn, role, unnest(range(len(l))) AS i, ' ' || unnest(l) AS w FROM (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '')[1:40] AS l FROM conversations))
+  FROM (SELECT conv_id, turn, role, unnest(range(len(l))) AS i, ' ' || unnest(l) AS w FROM (SELECT *, list_filter(string_split(text, ' '), lambda x: x <> '') AS l FROM conversations))
 ), timed AS (SELECT *, word_idx * 0.5 AS s, word_idx * 0.5 + 0.4 AS e FROM turns)"""
 
 
 def _turn_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.slice(F.filter(F.split("text", " "), lambda x: x != ""), 1, 40)
+    own = F.filter(F.split("text", " "), lambda x: x != "")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("song_id"), "turn", "role", F.posexplode(own).alias("i", "w"))
     idx = F.row_number().over(Window.partitionBy("song_id").orderBy("turn", "role", "i")) - 1
     return rows.select("song_id", idx.alias("word_idx"), F.concat(F.lit(" "), "w").alias("word"))
