@@ -11,7 +11,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm.common import prepare, shared_dir
+from quaver.llm.common import cut, prepare, shared_dir
 from quaver.llm.lexicon import compile_lexicon
 from quaver.llm.wordbpe import WordBpe, encoder
 
@@ -45,11 +45,22 @@ def word_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFram
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", size: int = LEXICON_WORDS) -> str:
-    """Compiles the ``size`` most frequent words (ties by word) of all texts; adds the file to the
-    Spark application from the shared folder and returns its name for SparkFiles."""
+    """Compiles the most frequent words of all texts, those above the count that at most ``size``
+    words reach; adds the file to the Spark application from the shared folder and returns its
+    name for SparkFiles."""
     spark = docs.sparkSession
-    top = word_counts(docs, tokenizer, text).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
-    words = [bytes(r.word) for r in top]
+    counts = cut(word_counts(docs, tokenizer, text).where("n > 1"))
+    # Counts of counts, of three digits above 1000, so that few rows tell where to cut.
+    unit = F.pow(10, F.greatest(F.floor(F.log10("n")) - 2, F.lit(0))).cast("long")
+    steps = counts.groupBy((F.floor(F.col("n") / unit) * unit).alias("least")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("least")).collect()
+    total, least = 0, None
+    for r in steps:
+        total += r.words
+        if total > size:
+            break
+        least = r.least
+    top = counts.where(F.col("n") >= least).select("word").collect() if least else []
+    words = sorted(bytes(r.word) for r in top)
     whole, _ = compile_lexicon(dict(zip(words, WordBpe(tokenizer).merge(words), strict=True)))
     return share_file(spark, whole, f"lexicon-{uuid.uuid4().hex}.bin")
 
@@ -76,7 +87,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, text: st
     """
     prepare(docs.sparkSession)
     docs = docs.drop("ids", "decoded")
-    schema = docs.schema.add("ids", "binary").add("decoded", "binary")
+    schema = docs.select("*").schema.add("ids", "binary").add("decoded", "binary")
     at = docs.columns.index(text)
 
     def run(batches):
@@ -99,7 +110,7 @@ def digests(docs: DataFrame, tokenizer: str, lexicon: str | None = None, text: s
     Only digests leave the task, whatever the texts' lengths. Empty tables give no rows.
     """
     prepare(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in (text, "n_tokens", "ids_sha256", "decoded_sha256")]
+    rest = [c for c in docs.columns if c.lower() not in (text.lower(), "n_tokens", "ids_sha256", "decoded_sha256")]
     docs = docs.select(*rest, text)
     schema = docs.select(*rest).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
