@@ -15,15 +15,15 @@ from quaver.llm.common import shared_dir, table
 from quaver.llm.lines import dedup_lines
 from quaver.llm.neardup import one_of_each
 from quaver.llm.packing import pack
-from quaver.llm.quality import grade_documents, ratings_of, train
+from quaver.llm.quality import CLEAN, grade_documents, ratings_of, train
 from quaver.llm.registry import tokenizer_file
 from quaver.llm.substring import dedup_substrings
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject."""
+    """Documents that the classifier takes for good and not toxic."""
     model = train(docs, ratings_of(table(spark, sf_dir, "labels")))
-    return grade_documents(docs, model).where("keep").select(*docs.columns)
+    return grade_documents(docs, model, CLEAN).where("keep").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,12 +3,14 @@
 Ratings are ordered grades. One weight vector w over hashed features is shared by all grades and
 ordered thresholds t1 < t2 < ... part them: P(grade <= k) = sigmoid(t_k - w x). The features are
 the square roots of the shares of byte trigrams and lower-case words among a text's own, hashed to
-``TRIGRAMS`` and ``WORDS`` columns, and three figures of its make-up.
+``TRIGRAMS`` and ``WORDS`` columns, three figures of its make-up, and the rates of the *marks*: byte six-grams whose
+rates differ most between one grade and the next in the sample. What makes a text toxic is a few
+words among hundreds, which shares alone don't show.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +26,106 @@ TRIGRAMS, WORDS, MORE = 2048, 2048, 3
 WIDTH = TRIGRAMS + WORDS + MORE
 #: The bound of the sample of rated rows that the model is fitted on.
 SAMPLE = 6000
+#: Bytes of a gram, bits of its hash, and the most marks between two grades. A rate is one thousandth
+#: for each 1 / FULL of a text's bytes that the gram begins, FULL / GRAM per word; at most 1000.
+GRAM, GRAM_BITS, MARKS, FULL = 6, 20, 64, 600
+#: Added to the variance of a difference of rates (0 to 1): grams that few texts have aren't marks.
+PLAIN = 1e-4
+#: The grade of ``ratings_of`` that is worth keeping; toxic documents are below it.
+CLEAN = 2
 STEPS, RATE, DECAY = 250, 0.05, 2e-5
 
 
-def features(texts: pa.Array):
-    """Yields (first document, rows x WIDTH float32) for runs of documents; null is empty."""
+def runs(texts: pa.Array):
+    """Yields (first document, texts, their bytes, offsets) for runs of documents; null is empty."""
     texts = texts.cast(pa.large_string()).fill_null("")
     data, offsets = buffers(texts)
     i, n = 0, len(texts)
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20), "right")) - 1)
         j = min(j, i + 512)
-        yield i, _rows(texts.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        yield i, texts.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
 
+def features(texts: pa.Array, marks: np.ndarray | None = None):
+    """Yields (first document, rows x WIDTH float32, and a column for each mark) for runs of documents."""
+    for i, own, data, at in runs(texts):
+        x = _rows(own, data, at)
+        if marks is not None and len(marks):
+            place = np.full(1 << GRAM_BITS, -1, np.int32)
+            place[marks] = np.arange(len(marks))
+            doc, gram, size = grams(own)
+            column = place[gram]
+            hit = column >= 0
+            count = np.bincount(doc[hit] * len(marks) + column[hit], minlength=len(own) * len(marks)).reshape(len(own), len(marks))
+            x = np.concatenate([x, (rates(count, size[:, None]) / 1000).astype(np.float32)], axis=1)
+        yield i, x
+
+
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The documents and the hashes of all lower-case grams, white space being a blank, and each
+    document's bytes."""
+    data, offsets = buffers(pc.utf8_lower(texts))
+    offsets = offsets - offsets[0]
+    size = np.diff(offsets)
+    data = np.where((data >= 9) & (data <= 13), 32, data[: offsets[-1]]).astype(np.uint64) if len(data) else np.zeros(0, np.uint64)
+    n = max(len(data) - GRAM + 1, 0)
+    key = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        key = key << np.uint64(8) | data[k : k + n]
+    key = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAM_BITS)
+    doc = np.repeat(np.arange(len(size)), size)
+    inside = doc[:n] == doc[len(doc) - n :]
+    return doc[:n][inside], key[inside].astype(np.int64), size
+
+
+def rates(count: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Thousandths, whole numbers: their sums are the same in any order."""
+    return np.minimum(count * FULL * 1000 // np.maximum(size, 1), 1000)
+
+
+def marks_of(rated: DataFrame) -> np.ndarray:
+    """The marks of rated (grade, text): for each grade and the next the grams whose mean rates
+    differ most, by the difference over its deviation."""
+    sizes = {r.grade: r.n for r in rated.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    levels = sorted(sizes)
+    if len(levels) < 2:
+        return np.zeros(0, np.int64)
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            grade = np.array(batch.column(0).to_pylist(), np.int64)
+            for first, own, _, _ in runs(batch.column(1)):
+                doc, gram, size = grams(own)
+                key, count = np.unique(doc << GRAM_BITS | gram, return_counts=True)
+                doc, gram = key >> GRAM_BITS, key & (1 << GRAM_BITS) - 1
+                rate, of = rates(count, size[doc]), grade[first : first + len(own)][doc]
+                for level in np.unique(of).tolist():
+                    sums = total.setdefault(level, np.zeros((2, 1 << GRAM_BITS), np.int64))
+                    np.add.at(sums[0], gram[of == level], rate[of == level])
+                    np.add.at(sums[1], gram[of == level], rate[of == level] ** 2)
+        for level, sums in total.items():
+            at = np.flatnonzero(sums[0])
+            for part in (at[k : k + 50_000] for k in range(0, len(at), 50_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), level), pa.int32()), pa.array(part, pa.int32()), pa.array(sums[0][part]), pa.array(sums[1][part])], ["grade", "gram", "s", "ss"])
+
+    parts = [F.sum(F.when(F.col("grade") == g, F.col(c)).otherwise(0)).alias(f"{c}{k}") for k, g in enumerate(levels) for c in ("s", "ss")]
+    sums = cut(rated.select("grade", "text").mapInArrow(run, "grade int, gram int, s long, ss long").groupBy("gram").agg(*parts))
+    found: set[int] = set()
+    for k in range(1, len(levels)):
+        n, mean, spread = {}, {}, {}
+        for j in (k - 1, k):
+            n[j] = sizes[levels[j]]
+            mean[j] = F.col(f"s{j}") / F.lit(1e3 * n[j])
+            spread[j] = F.col(f"ss{j}") / F.lit(1e6) - mean[j] * mean[j] * F.lit(float(n[j]))
+        shared = (spread[k - 1] + spread[k]) / F.lit(float(n[k - 1] + n[k])) * F.lit(1 / n[k - 1] + 1 / n[k])
+        apart = F.abs(mean[k] - mean[k - 1]) / F.sqrt(shared + F.lit(PLAIN))
+        found |= {r.gram for r in sums.select("gram", apart.alias("apart")).orderBy(F.desc("apart"), "gram").limit(MARKS).collect()}
+    return np.array(sorted(found), np.int64)
+
+
 def _rows(texts: pa.Array, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     n = len(at) - 1
     out = np.zeros((n, WIDTH), np.float32)
@@ -65,11 +152,13 @@ def _rows(texts: pa.Array, data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Ordinal:
-    """Weights and rising thresholds; thresholds is empty if fewer than two grades were rated."""
+    """Weights, rising thresholds and the marks among the features; thresholds is empty if fewer than
+    two grades were rated."""
 
     weights: np.ndarray
     thresholds: np.ndarray
     grades: np.ndarray
+    marks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     def tails(self, x: np.ndarray) -> np.ndarray:
         """P(grade >= grades[k]) for k = 1, 2, ... of each row."""
@@ -120,20 +209,25 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Ordinal:
     rated = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = F.broadcast(cut(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)))  # at most ``sample`` rows
 
+    # A doc_id may be repeated; the bound of the driver holds for the rows too.
+    rated = cut(docs.select("doc_id", "text").join(chosen, "doc_id").select("grade", "text"))
+    marks = marks_of(rated)
+
     def run(batches):
         for batch in batches:
-            rows = [r.astype(np.float16).tobytes() for _, x in features(batch.column(1)) for r in x]
+            rows = [r.astype(np.float16).tobytes() for _, x in features(batch.column(1), marks) for r in x]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["grade", "x"])
 
-    # A doc_id may be repeated; the bound holds for the rows too.
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("grade", "text").mapInArrow(run, "grade int, x binary").limit(2 * sample).collect()
+    rows = rated.mapInArrow(run, "grade int, x binary").limit(2 * sample).collect()
     rows.sort(key=lambda r: (r.grade, bytes(r.x)))
-    x = np.empty((len(rows), WIDTH), np.float32)
+    x = np.empty((len(rows), WIDTH + len(marks)), np.float32)
     for k, r in enumerate(rows):
         x[k] = np.frombuffer(r.x, np.float16)
     grades = np.array([r.grade for r in rows], np.int64)
     rows.clear()
-    return fit(x, grades)
+    model = fit(x, grades)
+    model.marks = marks
+    return model
 
 
 def grade_documents(docs: DataFrame, model: Ordinal, least: int = 1) -> DataFrame:
@@ -141,22 +235,23 @@ def grade_documents(docs: DataFrame, model: Ordinal, least: int = 1) -> DataFram
     keep boolean: P(grade >= ``least``) of at least a half.
 
     Null and empty texts are graded as empty texts. If fewer than two grades were rated all are
-    kept, with that grade and no tails. Columns of these names are replaced; others stay.
+    kept, with that grade and no tails; if no rating reached ``least``, none. Columns of these names are replaced; others stay.
     """
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.drop("expected_grade", "p_tail", "keep")
-    shared = spark.sparkContext.broadcast(model)  # WIDTH weights
+    shared = spark.sparkContext.broadcast(model)  # WIDTH weights, and those of the marks
     at, names = docs.columns.index("text"), docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("p_tail", T.ArrayType(T.DoubleType())), T.StructField("keep", T.BooleanType())])
 
     def run(batches):
         for batch in batches:
             model = shared.value
-            tails = np.concatenate([np.zeros((0, len(model.thresholds))), *(model.tails(x) for _, x in features(batch.column(at)))])
+            tails = np.concatenate([np.zeros((0, len(model.thresholds))), *(model.tails(x) for _, x in features(batch.column(at), model.marks))])
             expected = model.grades[0] + tails @ np.diff(model.grades)
-            above = np.flatnonzero(model.grades[1:] >= least) if len(model.thresholds) else []
-            keep = tails[:, above[0]] >= 0.5 if len(above) else np.ones(len(tails), bool)
+            below = int((model.grades < least).sum()) if len(model.thresholds) else 0
+            reach = np.column_stack([np.ones(len(tails)), tails, np.zeros(len(tails))])  # P(grade >= each), then of what no rating reached
+            keep = reach[:, below] >= 0.5
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tails) + 1) * tails.shape[1], pa.int32()), pa.array(tails.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected, pa.float64()), lists, pa.array(keep)], [*names, "expected_grade", "p_tail", "keep"])
 

@@ -60,11 +60,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quaver.llm.quality import grade_documents, ratings_of, train
+    from quaver.llm.quality import CLEAN, grade_documents, ratings_of, train
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, ratings_of(table(spark, sf_dir, "labels")))
-    return grade_documents(docs, model).select("doc_id", "expected_grade", "p_tail", "keep")
+    return grade_documents(docs, model, CLEAN).select("doc_id", "expected_grade", "p_tail", "keep")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,34 @@ def test_quality_on_held_out_documents(spark):
     assert np.mean([abs(r.expected_grade - r.grade) < 0.6 for r in out]) > 0.8
 
 
+def test_toxic_documents_go(spark, monkeypatch):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from quaver.llm import registry
+
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    real = quality.train
+    held = lambda docs, ratings: real(docs, ratings.where("doc_id % 2 = 0"))
+    monkeypatch.setattr(quality, "train", held)
+    monkeypatch.setattr(corpus_pipeline, "train", held)
+    kept = {r.doc_id for r in registry.op8_quality_classifier(spark, sf).where("keep").select("doc_id").collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    staged = {r.doc_id for r in corpus_pipeline.quality(spark, docs, sf).select("doc_id").collect()}
+    rows = labels.where("doc_id % 2 = 1").join(docs.select("doc_id").distinct(), "doc_id").collect()
+    toxic, clean = [r.doc_id for r in rows if r.quality and r.toxic], [r.doc_id for r in rows if r.quality and not r.toxic]
+    for got in (kept, staged):
+        assert np.mean([d in got for d in toxic]) < 0.1
+        assert np.mean([d in got for d in clean]) > 0.9
+
+
+def test_keep_of_grades_that_no_rating_has(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    w = np.zeros(quality.WIDTH, np.float32)
+    for grades, want in (([0, 1], False), ([2, 3], True)):
+        model = quality.Ordinal(w, np.array([9.0 if want else -9.0]), np.array(grades))
+        assert [r.keep for r in quality.grade_documents(df, model, quality.CLEAN).collect()] == [want] * 2
+
+
 def test_quality_odd_tables(spark):
     df = spark.createDataFrame([(1, "a", "x"), (1, None, "x"), (None, "", None)], "doc_id long, text string, KEEP string")
     none = quality.train(df, spark.createDataFrame([], "doc_id long, grade int"))
