@@ -24,7 +24,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quaver.llm.lines import dedup_lines
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return dedup_lines(docs, rare=None).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,34 @@ def test_lines_equal_brute_force(spark):
     assert got[0] == docs[0] and got[200] == "\n".join(x for x in docs[0].split("\n") if False)
 
 
+def test_passages_of_many_documents_go(spark):
+    r = random.Random(4)
+    s1, s2 = text(r, 9), text(r, 9)
+    docs = {0: f"{s2}\n{s1}", 1: f"{s1}\nok\n{s2}"} | {i: f"{text(r, 8)}\n{s1}\n{s2}\n{text(r, 8)}" for i in range(2, 100)}
+    docs |= {i: f"{text(r, 8)}\n{s1}\nok\n{s2}" for i in range(100, 200)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    for hot in (2048, 16):  # in one range and in several
+        got = {r.doc_id: r.text for r in dedup_lines(df, rare=None, hot=hot).collect()}
+        assert got == {i: t if i == 0 else got[1] if i == 1 else "\n".join(x for x in t.split("\n") if x not in (s1, s2, "ok")) for i, t in docs.items()}
+
+
+def test_lines_against_all_overlapping_pairs(spark):
+    r = random.Random(9)
+    line = [text(r, r.randrange(2, 9)) for _ in range(40)]
+    docs = {i: "\n".join(r.choice([*line, text(r, 6), "", "ok"]) for _ in range(r.randrange(1, 12))) for i in range(250)}
+    number = {h: (k << 1) | (len(h) >= 20) for k, h in enumerate(sorted({h for t in docs.values() for h in t.split("\n") if h}), 1)}
+    code = {i: [number.get(h, 0) for h in t.split("\n")] for i, t in docs.items()}
+    want = {i: {k for j in range(i) for k in common_blocks(code[i], code[j])} for i in docs}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    total, lost = sum(map(len, want.values())), {}
+    for rare in (64, None):
+        got = {r.doc_id: r.n_removed for r in dedup_lines(df, rare=rare).collect()}
+        assert all(got[i] <= len(want[i]) for i in docs)
+        lost[rare] = total - sum(got.values())
+    print("lines of all overlapping pairs", total, "left", lost)
+    assert lost[None] < 0.03 * total and lost[None] < lost[64] / 4
+
+
 def test_blocks():
     a, b, c, short = 3, 5, 7, 2
     assert common_blocks([a, b, c], [a, b, c]) == [0, 1, 2]
