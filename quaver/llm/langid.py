@@ -21,7 +21,8 @@ from quaver.llm.common import cut, prepare, small
 from quaver.llm.textbuf import buffers
 
 BITS = 16
-MAX_LANGUAGES = 64
+#: Languages whose tables are in a worker's memory at a time; any number is scored, block by block.
+BLOCK = 64
 #: Trigrams of a text aren't independent: its log likelihood counts as that of at most ENOUGH.
 ENOUGH = 60
 #: Pseudo-counts that a level of the host hierarchy, a declaration and a suffix get from above.
@@ -50,6 +51,11 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
     """lang, feature, n over all rows of labelled (lang, text)."""
     prepare(labelled.sparkSession)
 
+    def told(total):
+        for lang, count in total.items():
+            at = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(count[at], pa.int64())], ["lang", "feature", "n"])
+
     def run(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -59,34 +65,48 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
                 for lang in {x for x in own if x is not None}:
                     hit = (own == lang)[doc]
                     total[lang] = total.get(lang, 0) + np.bincount(tri[hit], minlength=1 << BITS)
-        for lang, count in total.items():
-            at = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(count[at], pa.int64())], ["lang", "feature", "n"])
+                    if len(total) > BLOCK:
+                        yield from told(total)
+                        total.clear()
+        yield from told(total)
 
     return labelled.select("lang", "text").mapInArrow(run, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
 
 
-def train(labelled: DataFrame, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """Languages (the most frequent, at most ``max_languages``), in order of name, and their log
-    shares of each trigram: max_languages x 2**BITS numbers at most, whatever the table's size."""
+def train(labelled: DataFrame, block: int = BLOCK) -> tuple[list[str], list]:
+    """All languages that have a trigram, in order of name, and their log shares of each trigram as
+    broadcast tables of at most ``block`` languages, one of which is at the driver at a time."""
     counts = cut(trigram_counts(labelled))
-    top = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    langs = sorted(r.lang for r in top.collect())
-    table = np.full((1 << BITS, max(1, len(langs))), 0.5)
-    if langs:
-        packed = counts.where(F.col("lang").isin(langs)).groupBy("lang").agg(F.collect_list("feature").alias("f"), F.collect_list("n").alias("n"))
-        for r in packed.toLocalIterator():
-            table[r.f, langs.index(r.lang)] += r.n
-    return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
-
-
-def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """rows without the text, with ``loglik`` (array<double> by language, 0 for an empty text)."""
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    blocks = []
+    for own in [langs[k : k + block] for k in range(0, len(langs), block)] or [[]]:
+        table = np.full((1 << BITS, max(1, len(own))), 0.5)
+        if own:
+            packed = counts.where(F.col("lang").isin(own)).groupBy("lang").agg(F.collect_list("feature").alias("f"), F.collect_list("n").alias("n"))
+            for r in packed.toLocalIterator():
+                table[r.f, own.index(r.lang)] += r.n
+        blocks.append(labelled.sparkSession.sparkContext.broadcast(np.log(table / table.sum(axis=0)).astype(np.float32)))
+    return langs, blocks
+
+
+def text_evidence(rows: DataFrame, model: tuple[list[str], list], text: str = "text") -> DataFrame:
+    """rows without the text, with ``loglik`` (array<double> by language, 0 for an empty text).
+    Beyond one block of languages the rows are written between one block and the next."""
     prepare(rows.sparkSession)
-    shared = rows.sparkSession.sparkContext.broadcast(model[1])  # bounded by MAX_LANGUAGES
     rest = [c for c in rows.columns if c not in (text, "loglik")]
     rows = rows.select(*rest, text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*rest).schema) + ", loglik array<double>"
+    for k, shared in enumerate(model[1]):
+        rows = _scored(cut(rows) if k else rows, rest, text, shared, k + 1 == len(model[1]))
+    return rows
+
+
+def _scored(rows: DataFrame, rest: list[str], text: str, shared, last: bool) -> DataFrame:
+    """rows (rest, text, loglik if there is one) with a block's languages added to loglik; without the
+    text if it is the last block."""
+    names = rest if last else [*rest, text]
+    more = "loglik" in rows.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema) + ", loglik array<double>"
+    schema = schema.removeprefix(", ")
 
     def run(batches):
         table = shared.value
@@ -96,9 +116,11 @@ def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray], text: st
                 score = np.stack([np.bincount(doc, weights=table[tri, k], minlength=n) for k in range(table.shape[1])], axis=1)
                 many = np.maximum(np.bincount(doc, minlength=n), 1)[:, None]
                 out.append(score / many * np.minimum(many, ENOUGH))
-            flat = np.concatenate([np.zeros((0, table.shape[1])), *out])
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * table.shape[1], pa.int32()), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*rest, "loglik"])
+            all_ = np.concatenate([np.zeros((0, table.shape[1])), *out])
+            if more and len(all_):
+                all_ = np.concatenate([batch.column(len(rest) + 1).flatten().to_numpy(zero_copy_only=False).reshape(len(all_), -1), all_], axis=1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(all_) + 1) * all_.shape[1], pa.int32()), pa.array(all_.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], lists], [*names, "loglik"])
 
     return rows.mapInArrow(run, schema)
 
@@ -196,9 +218,9 @@ def fuse(rows: DataFrame, langs: list[str], columns: list[str]) -> DataFrame:
 def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """page_id, lang, confidence, text_lang of pages (page_id, url, html), by models of labelled
     (lang, text); rows of labelled without a language or a text don't count."""
-    langs, table = train(labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()))
+    langs, tables = train(labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()))
     rows = pages.select("page_id", declared_language(F.col("html")).alias("declared"), *address(F.col("url")), visible_text(F.col("html")).alias("text"))
-    return fuse(text_evidence(rows, (langs, table)), langs, ["page_id"])
+    return fuse(text_evidence(rows, (langs, tables)), langs, ["page_id"])
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -207,10 +229,10 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     The models are of all documents with a language. A document declares nothing and has no
     address; its source stands for the host. Null texts and html are empty; repeated rows are kept.
     """
-    langs, table = train(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()))
+    langs, tables = train(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()))
     none = F.lit(None).cast("string")
     page_rows = pages.select(F.col("page_id"), F.lit(None).cast("long").alias("doc_id"), declared_language(F.col("html")).alias("declared"), *address(F.col("url")), visible_text(F.col("html")).alias("text"))
     source = F.concat(F.lit("source:"), F.col("source"))
     doc_rows = docs.select(F.lit(None).cast("long").alias("page_id"), "doc_id", none.alias("declared"), source.alias("host"), source.alias("domain"), F.lit("source:").alias("suffix"), "text")
-    both = text_evidence(page_rows.unionByName(doc_rows), (langs, table))
+    both = text_evidence(page_rows.unionByName(doc_rows), (langs, tables))
     return fuse(both, langs, ["page_id", "doc_id"])

@@ -141,6 +141,18 @@ def test_evidence_other_than_text(spark):
     assert langid.identify_pages(df.limit(0), docs).count() == 0
 
 
+def test_no_language_is_left_out(spark):
+    r = random.Random(3)
+    letters = [a + b for a in "bcdfghjklm" for b in "aeiouyw"]
+    said = lambda k: " ".join("".join(r.choice(letters[k : k + 1] + ["q" + letters[k][0]]) for _ in range(4)) for _ in range(30))
+    rows = [(f"l{k:02}", said(k)) for k in range(70) for _ in range(3 if k < 66 else 1)]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    pages = spark.createDataFrame([(k, None, said(k)) for k in range(70)], "page_id long, url string, html string")
+    got = {x.page_id: x for x in langid.identify_pages(pages, labelled).collect()}
+    assert [got[k].text_lang for k in range(70)] == [f"l{k:02}" for k in range(70)]
+    assert all(got[k].lang == f"l{k:02}" for k in range(66, 70))
+
+
 def drawn(seed):
     r = np.random.default_rng(seed)
     return images.resized(r.uniform(0, 255, (9, 9)), 72, 72)
