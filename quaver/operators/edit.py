@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaver.functions import text as T
+from quaver.functions import timecode as C
+from quaver.functions import word as W
 from quaver.functions.timecode import BLANK, half_up, shifted
 from quaver.operators.words import reindexed
 
@@ -67,15 +69,51 @@ def split_in_two(words: DataFrame, at: DataFrame) -> DataFrame:
     return replaced(words, rows.withColumn("kind", T.kind(F.col("reading"))))
 
 
-def merged_runs(words: DataFrame, selected: str = "selected") -> DataFrame:
-    """Each run of selected neighbours as one word with the joined reading and the first's time."""
-    w = Window.partitionBy("song_id").orderBy("word_idx")
-    starts = ~F.col(selected) | ~F.coalesce(F.lag(selected).over(w), F.lit(False))
-    rows = words.withColumn("run", F.sum(starts.cast("int")).over(w))
-    parts = F.array_sort(F.collect_list(F.struct("word_idx", "reading", "t")))
-    out = rows.groupBy("song_id", "run").agg(parts.alias("p"))
-    out = out.select("song_id", F.col("run").alias("word_idx"), F.array_join(F.transform("p", lambda x: x["reading"]), "").alias("reading"), F.get("p", 0)["t"].alias("t"))
-    return reindexed(out, ["word_idx"]).withColumn("kind", T.kind(F.col("reading")))
+def merged_selection(words: DataFrame, which: DataFrame) -> DataFrame:
+    """words (song_id, word_idx, word) with each song's selected words (which: song_id, word_idx) as
+    one, by ``functions.word.merged``. A selection of fewer than two words, or one with a gap, changes
+    nothing. One grouping of the selected words; places after them move up, without a window."""
+    chosen = words.select(*KEY, "word").join(which.select(*KEY).distinct(), KEY, "left_semi")
+    parts = F.array_sort(F.collect_list(F.struct("word_idx", "word")))
+    spans = chosen.groupBy("song_id").agg(F.min("word_idx").alias("low_"), F.max("word_idx").alias("high_"), F.count(F.lit(1)).alias("n_"), parts.alias("parts_"))
+    spans = spans.where("n_ > 1 and high_ - low_ + 1 = n_").select("song_id", "low_", "high_", W.merged(F.transform("parts_", lambda x: x["word"])).alias("one_"))
+    out = words.join(spans, "song_id", "left").where("low_ is null or word_idx <= low_ or word_idx > high_")
+    at = F.col("word_idx")
+    place = F.when(at > F.col("high_"), at - (F.col("high_") - F.col("low_"))).otherwise(at)
+    return out.withColumn("word", F.when(at == F.col("low_"), F.col("one_")).otherwise(F.col("word"))).withColumn("word_idx", place.cast("int")).drop("low_", "high_", "one_")
+
+
+def converted(words: DataFrame, which: DataFrame, to: str = " ") -> DataFrame:
+    """The named words as unset separators: spaces or newlines."""
+    out = words.join(which.select(*KEY).distinct().withColumn("to_", F.lit(to)), KEY, "left")
+    new = F.col("to_").isNotNull()
+    out = out.withColumn("t", F.when(~new, F.col("t"))).withColumn("reading", F.coalesce("to_", "reading"))
+    return out.withColumn("kind", T.kind(F.col("reading"))).drop("to_")
+
+
+def key_deleted(words: DataFrame, which: DataFrame) -> DataFrame:
+    """words less those named, but newlines stay: the delete key doesn't join lines."""
+    return removed(words, words.join(which.select(*KEY).distinct(), KEY, "left_semi").where(F.col("reading") != "\n"))
+
+
+def tabbed(words: DataFrame, edits: DataFrame) -> DataFrame:
+    """Text edits (song_id, word_idx, text) finished with the tab key: a space word after each."""
+    done = retexted(words, edits)
+    spaces = edits.select(*KEY).distinct().select(*KEY, F.lit(" ").alias("reading"), F.lit("space").alias("kind"), F.lit(None).cast(words.schema["t"].dataType).alias("t"), F.lit(1).alias("nth"))
+    return inserted(done, spaces, after=True)
+
+
+def segmented(words: DataFrame, units: DataFrame, with_ruby: bool) -> DataFrame:
+    """words (song_id, word_idx, word) with those that units (song_id, word_idx, nth, surface, readings)
+    take apart replaced by a word for each unit, unset. Without ruby a single unit changes nothing;
+    separators never change. Readings that differ from the surface become ruby."""
+    count = units.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1" if not with_ruby else "n_ > 0")
+    sung = words.where(~T.is_separator(F.col("word.reading"))).select(*KEY)
+    rows = units.join(count, KEY, "left_semi").join(sung, KEY, "left_semi")
+    own = F.when(F.size("readings") > 0, F.transform("readings", lambda r: W.syllable(r))).otherwise(F.array(W.syllable(F.col("surface"))))
+    ruby = (F.size("readings") > 0) & (F.array_join("readings", "") != F.col("surface")) & F.lit(with_ruby)
+    new = rows.select(*KEY, W.with_syllables(F.col("surface"), own, ruby, F.size("readings") == 0).alias("word"), "nth")
+    return replaced(words, new)
 
 
 def shifted_times(words: DataFrame, shifts: DataFrame) -> DataFrame:
@@ -116,16 +154,42 @@ def metadata(current: Column, entries: Column) -> Column:
     return F.map_concat(F.map_filter(current, lambda k, _: ~F.map_contains_key(last, k)), last)
 
 
-def tempo_edited(tempo: DataFrame, edits: DataFrame) -> DataFrame:
+def tempo_edited(tempo: DataFrame, edits: DataFrame, duration: float | None = None) -> DataFrame:
     """Tempo rows after edits (song_id, ordinal, action, bpm, start_ms): delete, bpm, move or add.
 
-    Starts are rounded and not before 0, rates have a decimal; the rows are numbered by start.
+    Moved starts are rounded and not before 0 (nor after ``duration``), rates have a decimal; the rows
+    are numbered by start.
     """
     e = edits.select("song_id", "ordinal", "action", F.col("bpm").alias("new_bpm"), F.col("start_ms").alias("new_start"))
     changed = tempo.join(e.where("action <> 'add'"), ["song_id", "ordinal"], "left").where("action is null or action <> 'delete'")
     rate = F.when(F.col("action") == "bpm", F.greatest(half_up(F.col("new_bpm") * 10) / 10, F.lit(0.0))).otherwise(F.col("bpm"))
-    start = F.when(F.col("action") == "move", F.greatest(half_up(F.col("new_start")), F.lit(0)).cast("double")).otherwise(F.col("start_ms").cast("double"))
+    wanted = F.col("new_start") if duration is None else F.least("new_start", F.lit(float(duration)))
+    start = F.when(F.col("action") == "move", F.greatest(half_up(wanted), F.lit(0)).cast("double")).otherwise(F.col("start_ms").cast("double"))
     changed = changed.select("song_id", "ordinal", rate.alias("bpm"), start.alias("start_ms"))
     added = e.where("action = 'add'").select("song_id", "ordinal", F.col("new_bpm").alias("bpm"), F.col("new_start").cast("double").alias("start_ms"))
     order = Window.partitionBy("song_id").orderBy("start_ms", "ordinal")
     return changed.unionByName(added).withColumn("seg_idx", (F.row_number().over(order) - 1).cast("int"))
+
+
+#: The keys that the metadata editor always lists, in its order.
+DEFAULT_KEYS = ("title", "artist", "album", "timer", "lyricist", "offset")
+
+
+def metadata_entries(current: Column) -> Column:
+    """Rows (key, value) of the metadata editor: the default keys first, empty where unset, then others."""
+    known = [F.struct(F.lit(k).alias("key"), F.coalesce(F.try_element_at(current, F.lit(k)), F.lit("")).alias("value")) for k in DEFAULT_KEYS]
+    return F.concat(F.array(*known), F.filter(F.map_entries(current), lambda e: ~e["key"].isin(*DEFAULT_KEYS)))
+
+
+def with_metadata(current: Column, key: Column, value: Column) -> Column:
+    """Metadata with one key set."""
+    return F.map_concat(F.map_filter(current, lambda k, _: k != key), F.create_map(key, value))
+
+
+def tempo_form(kind: Column, raw: Column) -> Column:
+    """The number that a tempo form takes, null if it refuses: a rate (``bpm``, ``new``) of 0 or more, by
+    the leading number of the text, or a start (``time``), which needs a digit and isn't negative."""
+    bare = C.trimmed(raw)
+    rate = F.regexp_extract(bare, r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double")
+    start = C.parse_time(bare)
+    return F.when(kind == "time", F.when((start >= 0) & C.has_digit(bare), half_up(start).cast("double"))).otherwise(F.when(rate >= 0, rate))

@@ -60,16 +60,17 @@ def nearest(points: DataFrame, tempo: DataFrame) -> DataFrame:
 
 def ruby_for(words: DataFrame, ruby: DataFrame) -> DataFrame:
     """words with texts and offsets_ms of the first ruby rule (by idx) of their reading that is
-    valid at t: valid_from <= t < valid_to, an open end being null."""
-    w, r = words.alias("w"), ruby.alias("r")
-    valid = (F.col("w.reading") == F.col("r.base")) & (F.col("r.valid_from") <= F.col("w.t")) & (F.col("r.valid_to").isNull() | (F.col("w.t") < F.col("r.valid_to")))
-    same = [F.col("w.song_id") == F.col("r.song_id")] if "song_id" in ruby.columns else []
-    for extra in same:
-        valid = valid & extra
-    keys = [F.col(f"w.{c}").alias(c) for c in words.columns]
-    best = F.min_by(F.struct("r.texts", "r.offsets_ms"), "r.idx").alias("rule")
-    out = w.join(r, valid, "left").groupBy(*keys).agg(best)
-    return out.select(*words.columns, F.col("rule.texts").alias("texts"), F.col("rule.offsets_ms").alias("offsets_ms"))
+    valid at t: valid_from <= t < valid_to, an open end being null.
+
+    The rules of a base text are one row, so a word meets one row and no range is joined; repeated
+    words stay apart.
+    """
+    rule = F.struct("idx", "valid_from", "valid_to", "texts", "offsets_ms")
+    song = ["song_id"] if "song_id" in ruby.columns else []
+    rules = ruby.groupBy(*song, F.col("base").alias("reading")).agg(F.array_sort(F.collect_list(rule)).alias("rules_"))
+    holds = lambda r: (r["valid_from"] <= F.col("t")) & (r["valid_to"].isNull() | (F.col("t") < r["valid_to"]))
+    out = words.join(rules, [*song, "reading"], "left").withColumn("rule_", F.get(F.filter("rules_", holds), 0))
+    return out.select(*words.columns, F.col("rule_.texts").alias("texts"), F.col("rule_.offsets_ms").alias("offsets_ms"))
 
 
 def owner_of_chars(words: DataFrame, char_times: DataFrame) -> DataFrame:

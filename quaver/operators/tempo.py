@@ -80,6 +80,29 @@ def changes(ticks: DataFrame, window: int = 8, threshold: float = 0.15, of_inter
     return rows.where((F.col("i") >= window) & (F.col("i") < F.col("n") - window) & far).select("song_id", "ordinal", "t", "i", "before", "after")
 
 
+def change_segments(ticks: DataFrame, window: int = 8, threshold: float = 0.15) -> DataFrame:
+    """Tempo segments of ticks (song_id, ordinal, t in milliseconds): song_id, seg_idx, bpm, start_ms.
+
+    A segment begins at each tick that ``changes`` (of tick times) finds; its bpm is by the upper median
+    of its own distances, within 20 and 300, its start rounded, the first one's 0. Segments of one
+    tick drop. Fewer than two windows of ticks are one segment by the mean distance; a single tick
+    has no bpm.
+    """
+    found = changes(ticks, window, threshold, of_intervals=False).select("song_id", "ordinal", F.lit(1).alias("new_"))
+    rows = ticks.join(found, ["song_id", "ordinal"], "left").withColumn("part_", F.coalesce(F.sum("new_").over(in_ticks()), F.lit(0)))
+    inside = Window.partitionBy("song_id", "part_").orderBy("t", "ordinal")
+    rows = rows.withColumn("gap_", (F.col("t") - F.lag("t").over(inside)).cast("double"))
+    parts = rows.groupBy("song_id", "part_").agg(F.count(F.lit(1)).alias("n"), upper_median(F.collect_list("gap_")).alias("median"), F.avg("gap_").alias("mean"), F.min("t").alias("t"))
+    whole = Window.partitionBy("song_id")
+    parts = parts.withColumn("few_", F.sum("n").over(whole) < 2 * window)
+    gap = F.when(F.col("few_"), F.col("mean")).otherwise(F.col("median"))
+    rate = F.when(gap > 0, clamp(half_up(F.lit(60000.0) / gap).cast("double"), 20.0, 300.0)).when(gap.isNotNull(), 300.0)
+    start = F.when(F.col("part_") == 0, 0).otherwise(half_up(F.col("t").cast("double"))).cast("bigint")
+    parts = parts.where(F.col("few_") | (F.col("n") > 1))
+    order = Window.partitionBy("song_id").orderBy("part_")
+    return parts.select("song_id", (F.row_number().over(order) - 1).alias("seg_idx"), rate.alias("bpm"), start.alias("start_ms"))
+
+
 def grid_lines(tempo: DataFrame, view_end: Column, denominator: int = 4) -> DataFrame:
     """song_id, seg_idx, line, t of the grid lines of each tempo row up to the next one's start.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaver.functions import word as W
 from quaver.functions.timecode import half_up
 from quaver.operators.lookup import asof_tempo
 
@@ -75,6 +76,33 @@ def infer_separators(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.withColumn("inferred", F.when(separator, F.coalesce(F.when(last, left + 500), middle, F.col("t"))).otherwise(F.col("t")))
 
 
+def pending_beats(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with ``pending_left`` and ``pending_right``: the places (ordinal) of beats that wait for a time
+    once a sung row is set, because a separator between both can't be timed without them."""
+    w = by_song(*order)
+    separator = lambda c: c.isin("space", "newline")
+
+    def waits(f) -> Column:
+        across = separator(f("kind", 1).over(w)) & ~separator(f("kind", 2).over(w))
+        return F.when(~separator(F.col("kind")) & F.col("t").isNotNull() & across & f("t", 2).over(w).isNull(), f("ordinal", 2).over(w))
+
+    return rows.withColumn("pending_left", waits(F.lag)).withColumn("pending_right", waits(F.lead))
+
+
+def cards(words: DataFrame) -> DataFrame:
+    """song_id, line, item, word_idx, syl_idx, label, time_text, is_set of words (song_id, word_idx, word):
+    the syllables of each line in order, a separator as one item; unset times show as 0:00.000."""
+    newline = (F.col("word.reading") == "\n").cast("int")
+    before = Window.partitionBy("song_id").orderBy("word_idx").rowsBetween(*PAST)
+    rows = words.withColumn("line", F.coalesce(F.sum(newline).over(before), F.lit(0)).cast("int"))
+    separator = F.col("word.reading").isin(" ", "\n")
+    own = F.when(separator, F.slice("word.syllables", 1, 1)).otherwise(F.col("word.syllables"))
+    rows = rows.select("song_id", "line", "word_idx", separator.alias("sep_"), F.posexplode(own).alias("syl_idx", "s"))
+    label = F.when(F.col("sep_"), F.when(F.col("s.reading") == "\n", W.NEWLINE_GLYPH).otherwise("…")).otherwise(F.col("s.reading"))
+    item = F.row_number().over(Window.partitionBy("song_id", "line").orderBy("word_idx", "syl_idx")) - 1
+    return rows.select("song_id", "line", item.alias("item"), "word_idx", "syl_idx", label.alias("label"), W.card_time(F.col("s.t")).alias("time_text"), F.col("s.t").isNotNull().alias("is_set"))
+
+
 def clamped(rows: DataFrame, target: str, order: list[str]) -> DataFrame:
     """rows with ``clamped``: the target kept a millisecond from the set beats on both sides."""
     w = by_song(*order)
@@ -83,6 +111,14 @@ def clamped(rows: DataFrame, target: str, order: list[str]) -> DataFrame:
     return rows.withColumn("clamped", F.when(F.col("t").isNotNull(), F.greatest(low + 1, F.least(high - 1, F.col(target)))))
 
 
+def dragged(rows: DataFrame, tempo: DataFrame, target: str, order: list[str], denominator: int = 4) -> DataFrame:
+    """rows (song_id, ordinal, t and more) with ``clamped``: the target on the tempo's grid, then kept a
+    millisecond from the set beats on both sides."""
+    at = rows.select("song_id", "ordinal", F.col(target).alias("t"), F.struct(*rows.columns).alias("own_"))
+    out = snapped(at, tempo, denominator).select("own_.*", F.col("snapped").alias("snapped_"))
+    return clamped(out, "snapped_", order).drop("snapped_")
+
+
 def repaired(times: Column) -> Column:
     """An array of times in which none is before the last: an earlier one is the last plus 1."""
     step = lambda a, t: F.concat(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaver.plans import texts, timing
+from quaver.plans import texts, timing, words
 
-QUERIES = texts.QUERIES | timing.QUERIES
-SQL = texts.SQL | timing.SQL
+QUERIES = texts.QUERIES | timing.QUERIES | words.QUERIES
+SQL = texts.SQL | timing.SQL | words.SQL

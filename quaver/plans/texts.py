@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaver.functions import text as T
 from quaver.functions import timecode as C
+from quaver.functions import viewport
 from quaver.operators import edit, words
 from quaver.plans.common import SQL_BEATS, SQL_TOKENS, beats, kinded, songs, table
 from quaver.sources import lyrics
@@ -219,26 +220,23 @@ def stamped_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH own AS (
-  SELECT doc_id AS song_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS w FROM documents
-), words AS (
-  SELECT song_id, unnest(range(len(w))) AS word_idx, lower(unnest(w)) AS reading FROM own
-), timed AS (
-  SELECT *, word_idx * 500 AS t, CASE WHEN word_idx % 5 <> 4 THEN left(reading, (word_idx // 40 % 2 + 1)::INT) END AS signature FROM words
+    rf"""WITH {SQL_TOKENS}, timed AS (
+  SELECT *, word_idx * 500 AS t, CASE WHEN word_idx % 5 <> 4 THEN left(reading, (word_idx // 40 % 2 + 1)::INT) END AS signature FROM words WHERE reading NOT IN (' ', chr(10))
 ), marked AS (
   SELECT *, CASE WHEN signature IS DISTINCT FROM lag(signature) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new FROM timed WINDOW w AS (PARTITION BY song_id, reading ORDER BY t, word_idx)
-), runs AS (
+), counted AS (
   SELECT song_id, reading, sum(new) OVER (PARTITION BY song_id, reading ORDER BY t, word_idx) AS run, t, signature FROM marked
 ), grouped AS (
-  SELECT song_id, reading, run, min(t) AS t_from, any_value(signature) AS signature, count(*) AS n FROM runs GROUP BY ALL
+  SELECT song_id, reading, run, min(t) AS t_from, any_value(signature) AS signature, count(*) AS n FROM counted GROUP BY ALL
 ), ended AS (
   SELECT *, lead(t_from) OVER (PARTITION BY song_id, reading ORDER BY run) AS t_to FROM (SELECT song_id, reading, run, min(t_from) AS t_from, max(signature) AS signature, sum(n)::BIGINT AS n FROM grouped GROUP BY song_id, reading, run)
 )
-SELECT song_id, reading, run::BIGINT AS run, t_from::BIGINT AS t_from, signature, n, t_to::BIGINT AS t_to FROM ended WHERE signature IS NOT NULL"""
+SELECT song_id, reading, run::BIGINT AS run, t_from::BIGINT AS t_from, signature, n, t_to::BIGINT AS t_to, open AND run = low AS first, open AND run = high AS last FROM (
+  SELECT *, min(run) FILTER (signature IS NOT NULL) OVER p AS low, max(run) OVER p AS high, last_value(signature IS NOT NULL) OVER (PARTITION BY song_id, reading ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS open FROM ended WINDOW p AS (PARTITION BY song_id, reading)
+) WHERE signature IS NOT NULL"""
 )
 def ruby_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
-    rows = songs(spark, sf_dir).select("song_id", F.posexplode(w).alias("word_idx", "r")).select("song_id", "word_idx", F.lower("r").alias("reading"))
+    rows = words.from_text(songs(spark, sf_dir)).where(~T.is_separator(F.col("reading"))).select("song_id", "word_idx", "reading")
     sig = F.when(F.col("word_idx") % 5 != 4, F.substring("reading", F.lit(1), (F.floor(F.col("word_idx") / 40) % 2 + 1).cast("int")))
     rows = rows.withColumn("t", F.col("word_idx").cast("bigint") * 500).withColumn("signature", sig)
     return lyrics.ruby_runs(rows)
@@ -316,16 +314,6 @@ def words_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(edit.split_in_two(own, at))
 
 
-@query(
-    f"""WITH {_SQL_NUMBERED}, s AS (SELECT *, word_idx % 6 IN (1, 2, 3) AS p FROM own), r AS (
-  SELECT *, sum((NOT p OR NOT coalesce(lag, FALSE))::INT) OVER (PARTITION BY song_id ORDER BY word_idx) AS run FROM (SELECT *, lag(p) OVER (PARTITION BY song_id ORDER BY word_idx) AS lag FROM s)
-), m AS (SELECT song_id, run AS k, string_agg(reading, '' ORDER BY word_idx) AS reading, first(t ORDER BY word_idx) AS t FROM r GROUP BY song_id, run)
-SELECT song_id, {_DIGEST} FROM m GROUP BY song_id"""
-)
-def words_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(edit.merged_runs(_numbered(spark, sf_dir).withColumn("selected", (F.col("word_idx") % 6).isin(1, 2, 3))))
-
-
 @query(f"WITH {_SQL_NUMBERED} SELECT song_id, sum(CASE WHEN t IS NULL THEN NULL WHEN word_idx % 5 = 0 THEN greatest(t - 250, 0) ELSE t END * (word_idx % 1000))::BIGINT AS t_sum, count(t) AS n_set FROM own GROUP BY song_id")
 def times_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _numbered(spark, sf_dir)
@@ -392,16 +380,6 @@ def mora_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "kana", T.morae(F.col("kana")).alias("morae"), T.hiragana(F.col("kana")).alias("hira"))
 
 
-@query()
-def ruby_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quaver.functions.units import ruby_units as units
-
-    pairs = [("食べ物", "タベモノ"), ("恋", "コイ"), ("お茶", "オチャ"), ("カラオケ", "カラオケ"), ("見る", "x")]
-    kinds = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(r).alias("r")) for s, r in pairs])
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.get(kinds, (F.col("c_custkey") % 5).cast("int")).alias("p"))
-    return rows.select("c_custkey", "p.s", units(F.col("p.s"), F.col("p.r")).alias("units"))
-
-
 @query(
     r"""SELECT page_id, regexp_extract(url, '([^/\\]*)$', 1) AS file, regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '\.[^.]*$', '') || '-vocal.wav' AS cache,
   regexp_extract(url, '^(.*)[/\\][^/\\]*$', 1) AS folder, CASE page_id % 3 WHEN 0 THEN 'audio/mpeg' WHEN 1 THEN 'audio/flac' END AS media FROM pages"""
@@ -415,24 +393,15 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, lang, coalesce(CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' WHEN 'ja' THEN 'Japanese' END, lang) AS name,
-  lang IN ('en', 'fr', 'de', 'es', 'ja') AS known FROM documents"""
-)
-def lang_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = {"en": "English", "fr": "French", "de": "German", "es": "Spanish", "ja": "Japanese"}
-    side = spark.createDataFrame(list(names.items()), "code string, name string")
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(F.broadcast(side), F.col("lang") == F.col("code"), "left")  # five rows
-    return rows.select("doc_id", "lang", F.coalesce("name", "lang").alias("name"), F.col("name").isNotNull().alias("known"))
-
-
-@query(
-    r"""SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN least(greatest(round(value / 100, 2), 0), 1) END AS share,
-  CASE WHEN event_id % 4 <> 3 THEN 0.15 + 0.85 * least(greatest(round(value / 100, 2), 0), 1) END AS shown FROM events"""
+    """SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN least(event_id % 130 / 100.0::DOUBLE, 1.0::DOUBLE) END AS share,
+  CASE WHEN event_id % 4 <> 3 THEN 1500 + 85 * least(event_id % 130, 100) END::BIGINT AS shown FROM events"""
 )
 def progress_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.when(F.col("event_id") % 4 != 3, F.concat(F.lit("PROGRESS "), F.round(F.col("value") / 100, 2).cast("decimal(9,2)").cast("string"))).otherwise("error: x")
+    """Shares by hundredths, so that both engines read the same numbers; shown in ten-thousandths."""
+    n = F.col("event_id") % 130
+    line = F.when(F.col("event_id") % 4 != 3, F.concat(F.lit("PROGRESS "), (n / 100).cast("decimal(9,2)").cast("string"))).otherwise("error: x")
     rows = table(spark, sf_dir, "events").select("event_id", T.progress(line).alias("share"))
-    return rows.withColumn("shown", F.lit(0.15) + F.lit(0.85) * F.col("share"))
+    return rows.withColumn("shown", F.round(viewport.shown_progress(F.col("share")) * 10_000).cast("bigint"))
 
 
 @query(
@@ -453,17 +422,18 @@ def project_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinded(spark, sf_dir).groupBy("song_id").agg(F.count(F.lit(1)).alias("n_syllables"), F.count_if(sung).alias("n_sung"), F.count("t").alias("n_set"), F.count_if(sung & F.col("t").isNull()).alias("n_unset"))
 
 
-@query()
+@query("""SELECT doc_id AS song_id, '{"version":"1.0"}' AS project, '{"digest":"' || md5(coalesce(text, '')) || '"}' AS lyrics, NULL::VARCHAR AS timing, NULL::VARCHAR AS error FROM documents""")
 def project_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quaver.sources.files import pack_projects, unpack_projects
 
-    rows = songs(spark, sf_dir).select("song_id", F.to_json(F.struct(F.lit("1.0").alias("version"))).alias("project"), F.to_json(F.struct(F.struct("text").alias("metadata"))).alias("lyrics"), F.lit(None).cast("string").alias("timing"))
-    return unpack_projects(pack_projects(rows)).select("song_id", "project", F.md5("lyrics").alias("lyrics_md5"), "timing", "error")
+    rows = songs(spark, sf_dir).select("song_id", F.to_json(F.struct(F.lit("1.0").alias("version"))).alias("project"), F.to_json(F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("digest"))).alias("lyrics"), F.lit(None).cast("string").alias("timing"))
+    return unpack_projects(pack_projects(rows)).select("song_id", "project", "lyrics", "timing", "error")
 
 
-@query()
+@query("SELECT vec_id AS song_id, CASE WHEN vec_id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS channels, 16000::BIGINT AS rate, 32::BIGINT AS bits, len(embedding)::BIGINT AS frames FROM embeddings")
 def wav_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quaver.sources.files import probe_wav, write_wav
 
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("song_id"), F.col("embedding").alias("samples"))
-    return probe_wav(write_wav(rows, 16_000))
+    own = F.col("embedding").cast("array<double>")
+    channels = F.when(F.col("vec_id") % 2 == 0, F.array(own, own)).otherwise(F.array(own))
+    return probe_wav(write_wav(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("song_id"), channels.alias("samples")), 16_000))

@@ -23,6 +23,19 @@ def media_type(path):
     return F.get(F.array(kinds[F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))]), 0)
 
 
+def data_url(path, content):
+    """A data URL of an audio file's bytes; null for other files."""
+    return F.concat(F.lit("data:"), media_type(path), F.lit(";base64,"), F.base64(content))
+
+
+def present(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, exists of named files."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    return spark.createDataFrame([(p, place(p).getFileSystem(conf).exists(place(p))) for p in paths], "path string, exists boolean")
+
+
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """path and content of files."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
@@ -95,11 +108,15 @@ def wav_header(whole: bytes | None) -> tuple[int, int, int, int] | None:
 
 
 def write_wav(signals: DataFrame, rate: int) -> DataFrame:
-    """song_id, content: a mono WAV file of each row's samples."""
+    """song_id, content: a WAV file of each row's samples: one channel, or an array of channels of one
+    length, whose samples are interleaved."""
+    import pyspark.sql.types as S
+
+    many = isinstance(signals.schema["samples"].dataType.elementType, S.ArrayType)
 
     def run(batches):
         for batch in batches:
-            out = [wav_bytes([x or []], rate) for x in batch.column(1).to_pylist()]
+            out = [wav_bytes((x or [[]]) if many else [x or []], rate) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["song_id", "content"])
 
     return signals.select("song_id", "samples").mapInArrow(run, "song_id long, content binary")

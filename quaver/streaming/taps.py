@@ -15,13 +15,20 @@ STATE = "cursor long"
 def timed_beats(rows: pd.DataFrame, cursor: int) -> tuple[pd.DataFrame, int]:
     """Beats that taps (t, compensation, already_set; in order) time, and the cursor after them.
 
-    A beat that is already set keeps its time: the cursor just moves on.
+    A beat that is already set keeps its time: the cursor just moves on. A tap whose ``action`` is
+    ``clear`` unsets the beat under the cursor, if it is set (its t is null), and moves back.
     """
     rows = rows.sort_values(["t", "ordinal"], kind="stable").reset_index(drop=True)
-    rows["beat_idx"] = cursor + rows.index
-    fresh = rows[~rows["already_set"].astype(bool)]
-    t = (fresh["t"] + fresh["compensation"] + 0.5).floordiv(1).astype("int64")
-    return pd.DataFrame({"song_id": fresh["song_id"], "ordinal": fresh["ordinal"], "beat_idx": fresh["beat_idx"], "t": t}), cursor + len(rows)
+    clear = rows["action"].eq("clear") if "action" in rows else pd.Series(False, index=rows.index)
+    places = []
+    for back in clear:
+        places.append(cursor)
+        cursor = max(cursor - 1, 0) if back else cursor + 1
+    rows["beat_idx"] = pd.Series(places, dtype="int64")
+    done = rows["already_set"].astype(bool) == clear
+    t = (rows["t"] + rows["compensation"] + 0.5).floordiv(1).astype("Int64").mask(clear)
+    out = pd.DataFrame({"song_id": rows["song_id"], "ordinal": rows["ordinal"], "beat_idx": rows["beat_idx"], "t": t})
+    return out[done], cursor
 
 
 def _step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -33,7 +40,9 @@ def _step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Itera
 
 
 def tap_stream(taps: DataFrame) -> DataFrame:
-    """Times of beats from a stream of taps (song_id, ordinal, t, compensation, already_set).
+    """Times of beats from a stream of taps (song_id, ordinal, t, compensation, already_set and, if keys
+    other than the tap are among them, action). What a new time means for the separators beside it is
+    ``timeline.infer_separators`` and ``timeline.pending_beats`` of the table that takes these rows.
 
     The state of a song is its cursor alone. There is no lateness: a micro-batch's taps are taken
     in the order of their times.

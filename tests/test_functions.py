@@ -56,6 +56,11 @@ def test_paths_and_progress(spark):
 
 
 def test_units():
-    assert units("食べ物", "タベモノ") == [{"surface": "食", "reading": "た"}, {"surface": "べ", "reading": "べ"}, {"surface": "物", "reading": "もの"}]
-    assert units("見る", "x") == [{"surface": "見る", "reading": "x"}]
-    assert units(None, None) == [] and units("恋", None) == [{"surface": "恋", "reading": "恋"}]
+    from quaver.functions.units import morae
+
+    show = lambda x: [(u["surface"], u["readings"]) for u in x]
+    assert show(units("食べ物", "タベモノ")) == [("食", ["た"]), ("べ", []), ("物", ["も", "の"])]
+    assert show(units("見る", "x")) == [("見", ["x"])]  # a kana that the reading doesn't hold is left out
+    assert units(None, None) == [] and show(units("恋", None)) == [("恋", ["恋"])]
+    assert show(units("きょう", "キョウ")) == [("きょ", []), ("う", [])] and show(units("は", "ワ")) == [("は", ["わ"])]
+    assert morae("きゃっとー") == ["きゃ", "っ", "と", "ー"]

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from quaver.functions import word as W
 from quaver.operators import edit, history, lookup, signal, timeline, words
 from quaver.operators import tempo as rates
-from quaver.sources import files, lyrics
+from quaver.sources import files, lyrics, projects
 from quaver.streaming.taps import tap_stream, timed_beats
 
 
@@ -118,13 +119,67 @@ def test_edits_keep_numbers_dense(spark):
     assert readings(edit.removed(own, pick)) == [" ", "c", "\n", "d", "\n"]
     assert readings(edit.split_characters(own, pick)) == ["a", "b", " ", "c", "\n", "d", "\n"]
     assert readings(edit.split_in_two(own, pick.withColumn("left", F.lit("a")))) == ["a", "b", " ", "c", "\n", "d", "\n"]
-    assert readings(edit.merged_runs(own.withColumn("selected", F.col("word_idx") < 3))) == ["ab c", "\n", "d", "\n"]
     assert readings(edit.pasted(own, pick, before=True)) == ["ab", "ab", " ", "c", "\n", "d", "\n"]
     out = edit.split_characters(own, pick)
     assert [r.word_idx for r in out.orderBy("word_idx").collect()] == list(range(7))
     assert [r.t for r in out.orderBy("word_idx").collect()][:2] == [5, None]
 
 
+def test_merging_a_selection(spark):
+    plain = lambda r, t=None: W.word(F.lit(r), F.lit(t).cast("bigint"))
+    ruby = W.with_syllables(F.lit("恋"), F.array(W.syllable(F.lit("こ"), F.lit(5)), W.syllable(F.lit("い"))), True, False)
+    songs = {1: [plain("ab", 1), plain(" "), plain("c", 3), plain("\n")], 2: [plain("ab", 1), ruby, plain("c", 3)], 3: [plain("a"), plain("b"), plain("c")], 4: [plain(" "), plain("\n"), plain("c", 3)]}
+    rows = None
+    for k, ws in songs.items():
+        own = spark.range(1).select(F.lit(k).alias("song_id"), F.posexplode(F.array(*ws)).alias("word_idx", "word"))
+        rows = own if rows is None else rows.unionByName(own)
+    chosen = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 1), (2, 2), (3, 0), (3, 2), (4, 0), (4, 1)], "song_id int, word_idx int")
+    got = {}
+    for r in edit.merged_selection(rows, chosen).orderBy("song_id", "word_idx").collect():
+        got.setdefault(r.song_id, []).append((r.word_idx, r.word.reading, [tuple(s) for s in r.word.syllables], r.word.with_ruby, r.word.auto))
+    assert got[1] == [(0, "abc", [("abc", None)], False, True), (1, "\n", [("\n", None)], False, True)]
+    assert got[2] == [(0, "ab", [("ab", 1)], False, True), (1, "恋c", [("こ", 5), ("い", None), ("c", 3)], True, False)]
+    assert [x[1] for x in got[3]] == ["a", "b", "c"]  # a gap: nothing changes
+    assert [x[1] for x in got[4]] == [" ", "c"]
+    assert edit.merged_selection(rows.limit(0), chosen).count() == 0
+
+
+def test_ruby_rules_keep_repeated_words(spark):
+    words_ = spark.createDataFrame([(1, 0, "恋", 1500), (1, 0, "恋", 1500), (1, 1, "恋", 3000), (1, 2, "x", 0)], "song_id int, word_idx int, reading string, t long")
+    ruby = spark.createDataFrame([(1, 2, "恋", 1000, 2000, ["b"], [0]), (1, 1, "恋", 0, 2000, ["a"], [0]), (1, 3, "恋", 2500, None, ["c"], [0])], "song_id int, idx int, base string, valid_from long, valid_to long, texts array<string>, offsets_ms array<long>")
+    got = sorted((r.word_idx, (r.texts or [None])[0]) for r in lookup.ruby_for(words_, ruby).collect())
+    assert got == [(0, "a"), (0, "a"), (1, "c"), (2, None)]
+
+
+def test_projects_are_saved_and_opened(spark, tmp_path):
+    rows = spark.createDataFrame([(1, '{"createdAt":"t0","version":"0"}', '{"metadata":{"Title":"T"},"words":[]}', '{"audioFilePath":"a","bpmSegments":[{"bpm":120.04,"start":1.6},{"bpm":-1,"start":-3}]}'), (2, None, "{", None)], "song_id long, project string, lyrics string, timing string")
+    folder = str(tmp_path / "p")
+    projects.save(rows, folder, "1.0", "t1", "secret")
+    assert {r.error for r in projects.open_projects(spark, folder).collect()} == {"bad_password"}
+    got = {r.song_id: r for r in projects.open_projects(spark, folder, "secret").collect()}
+    assert (got[1].project.version, got[1].project.createdAt, got[1].project.updatedAt) == ("1.0", "t0", "t1") and got[2].project.createdAt == "t1"
+    assert got[1].metadata == {"title": "T"} and got[2].words == [] and got[1].error is None
+    assert got[1].timing.audioMeta is None and [tuple(s) for s in got[1].timing.bpmSegments] == [(0.0, 0), (120.0, 2)]
+    projects.save(rows, folder, "1.1", "t2")
+    assert {r.project.version for r in projects.open_projects(spark, folder).collect()} == {"1.1"}
+
+
+def test_present_files(spark, tmp_path):
+    (tmp_path / "a").write_text("x")
+    assert [r.exists for r in files.present(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).collect()] == [True, False]
+
+
+def test_undo_predicates(spark):
+    log = spark.createDataFrame([(1, 0, False), (1, 1, True), (2, 0, False)], "user_id long, step int, undone boolean")
+    assert {r.user_id: (r.undo, r.redo) for r in history.can_undo(log).collect()} == {1: (True, True), 2: (True, False)}
+    assert history.can_undo(log.limit(0)).count() == 0
+
+
+def test_finished_text(spark):
+    rows = spark.createDataFrame([(" a b ",), ("x\n",), ("  ",)], "t string").select(edit.finished_text(F.col("t")).alias("x")).collect()
+    assert [r.x for r in rows] == ["ab", "\n", " "]
+
+
 def test_history(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
     new = spark.createDataFrame([(1, "a"), (2, "x"), (4, "d")], "k int, v string")
@@ -150,6 +205,8 @@ def test_taps(spark, tmp_path):
     part = pd.DataFrame({"song_id": [1, 1, 1], "ordinal": [0, 1, 2], "t": [10, 20, 30], "compensation": [0.5, 0, 0], "already_set": [False, True, False]})
     out, cursor = timed_beats(part, 4)
     assert out[["beat_idx", "t"]].values.tolist() == [[4, 11], [6, 30]] and cursor == 7
+    back, cursor = timed_beats(part.assign(action=["tap", "clear", "clear"]), 4)
+    assert back["beat_idx"].tolist() == [4, 5] and back["t"].isna().tolist() == [False, True] and cursor == 3
     schema = "song_id long, ordinal long, t long, compensation double, already_set boolean"
     spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = tap_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
