@@ -17,9 +17,16 @@ from quaver.operators.words import reindexed
 KEY = ["song_id", "word_idx"]
 
 
-def removed(words: DataFrame, which: DataFrame) -> DataFrame:
-    """words without those named in which."""
-    return reindexed(words.join(which.select(*KEY).distinct(), KEY, "left_anti"), ["word_idx"])
+def marked(words: DataFrame, which: DataFrame | Column) -> DataFrame:
+    """words with ``hit_``: whether a row is named in which, or meets a condition, which needs no join."""
+    if isinstance(which, Column):
+        return words.withColumn("hit_", F.coalesce(which, F.lit(False)))
+    return words.join(which.select(*KEY).distinct().withColumn("hit_", F.lit(True)), KEY, "left").withColumn("hit_", F.coalesce("hit_", F.lit(False)))
+
+
+def removed(words: DataFrame, which: DataFrame | Column) -> DataFrame:
+    """words without those that which names or describes."""
+    return reindexed(marked(words, which).where("not hit_").drop("hit_"), ["word_idx"])
 
 
 def inserted(words: DataFrame, new: DataFrame, after: bool = False) -> DataFrame:
@@ -50,11 +57,12 @@ def finished_text(text: Column) -> Column:
     return F.when(text.contains("\n"), "\n").when(T.is_blank(text), " ").otherwise(F.regexp_replace(text, BLANK, ""))
 
 
-def split_characters(words: DataFrame, which: DataFrame) -> DataFrame:
-    """Each named word as its characters; the first keeps the time."""
-    rows = words.join(which.select(*KEY).distinct(), KEY, "left_semi").select("*", F.posexplode(F.split("reading", "")).alias("nth", "char"))
-    rows = rows.withColumn("t", F.when(F.col("nth") == 0, F.col("t"))).withColumn("reading", F.col("char")).drop("char")
-    return replaced(words, rows.withColumn("kind", T.kind(F.col("reading"))))
+def split_characters(words: DataFrame, which: DataFrame | Column) -> DataFrame:
+    """Each word that which names or describes as its characters; the first keeps the time."""
+    parts = F.when(F.col("hit_"), F.split("reading", "")).otherwise(F.array("reading"))
+    rows = marked(words, which).select("*", F.posexplode(parts).alias("nth", "char"))
+    rows = rows.withColumn("t", F.when(F.col("nth") == 0, F.col("t"))).withColumn("reading", F.col("char")).withColumn("kind", T.kind(F.col("reading")))
+    return reindexed(rows, ["word_idx", "nth"]).select(*words.columns)
 
 
 def split_in_two(words: DataFrame, at: DataFrame) -> DataFrame:
@@ -83,17 +91,17 @@ def merged_selection(words: DataFrame, which: DataFrame) -> DataFrame:
     return out.withColumn("word", F.when(at == F.col("low_"), F.col("one_")).otherwise(F.col("word"))).withColumn("word_idx", place.cast("int")).drop("low_", "high_", "one_")
 
 
-def converted(words: DataFrame, which: DataFrame, to: str = " ") -> DataFrame:
+def converted(words: DataFrame, which: DataFrame | Column, to: str = " ") -> DataFrame:
     """The named words as unset separators: spaces or newlines."""
-    out = words.join(which.select(*KEY).distinct().withColumn("to_", F.lit(to)), KEY, "left")
-    new = F.col("to_").isNotNull()
-    out = out.withColumn("t", F.when(~new, F.col("t"))).withColumn("reading", F.coalesce("to_", "reading"))
-    return out.withColumn("kind", T.kind(F.col("reading"))).drop("to_")
+    out = marked(words, which)
+    out = out.withColumn("t", F.when(~F.col("hit_"), F.col("t"))).withColumn("reading", F.when(F.col("hit_"), to).otherwise(F.col("reading")))
+    return out.withColumn("kind", T.kind(F.col("reading"))).drop("hit_")
 
 
-def key_deleted(words: DataFrame, which: DataFrame) -> DataFrame:
+def key_deleted(words: DataFrame, which: DataFrame | Column) -> DataFrame:
     """words less those named, but newlines stay: the delete key doesn't join lines."""
-    return removed(words, words.join(which.select(*KEY).distinct(), KEY, "left_semi").where(F.col("reading") != "\n"))
+    rows = marked(words, which).where(~F.col("hit_") | (F.col("reading") == "\n"))
+    return reindexed(rows.drop("hit_"), ["word_idx"])
 
 
 def tabbed(words: DataFrame, edits: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaver.functions.arrays import let
+from quaver.operators.scan import along
 
 
 def _whole(x: Column) -> Column:
@@ -49,14 +50,13 @@ def linear_percentile(values: Column, percent: Column) -> Column:
 
 def gate_levels(rms: Column, threshold: Column, attack: float = 0.6, release: float = 0.08) -> Column:
     """Smoothed gain of each frame: shut at the threshold, open at one and a half times it."""
-    target = lambda r: F.when(r <= 1, 0.0).otherwise(F.least(F.lit(1.0), (r - 1) / 0.5))
+    def step(last: float | None, x: float, shut: float) -> tuple[float, list[float]]:
+        r, prev = x / max(shut, 1e-9), last or 0.0
+        goal = 0.0 if r <= 1 else min(1.0, (r - 1) / 0.5)
+        now = prev + (goal - prev) * (attack if goal > prev else release)
+        return now, [now]
 
-    def step(a: Column, x: Column) -> Column:
-        prev = F.coalesce(F.element_at(F.concat(F.array(F.lit(0.0)), a), -1), F.lit(0.0))
-        goal = target(x / F.greatest(threshold, F.lit(1e-9)))
-        return F.concat(a, F.array(prev + (goal - prev) * F.when(goal > prev, attack).otherwise(release)))
-
-    return F.aggregate(rms, F.array().cast("array<double>"), step)
+    return along("double", step, rms, threshold)
 
 
 def gated(signals: DataFrame, percent: float, frame: int, hop: int, samples: str = "samples") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaver.functions.timecode import half_up
+from quaver.operators.scan import along, scanned, segmenter
 
 
 def in_ticks():
@@ -41,32 +42,11 @@ def segments(curve: DataFrame, split: float = 5.0, join: float = 5.0) -> DataFra
 
     A segment ends where the tempo differs from its first by more than ``split``; its bpm is the
     mean to a tenth. Then neighbours closer than ``join`` become one, with the mean of both. curve
-    has song_id, ordinal, t_s (seconds), tempo. The folds keep only segments, not points.
+    has song_id, ordinal, t_s (seconds), tempo; points without one of both drop. One pass over each
+    song's sorted points, with two segments as its state.
     """
-    point = F.struct("ordinal", "t_s", "tempo")
-    rows = curve.groupBy("song_id").agg(F.array_sort(F.collect_list(point)).alias("points"))
-    seg = "struct<first:double,start:double,n:bigint,total:double>"
-    new = lambda p: F.struct(tenth(p["tempo"]).alias("first"), p["t_s"].alias("start"), F.lit(1).cast("bigint").alias("n"), p["tempo"].alias("total"))
-
-    def step(found: Column, p: Column) -> Column:
-        last = F.element_at(found, -1)
-        same = F.abs(tenth(p["tempo"]) - last["first"]) <= split
-        grown = F.struct(last["first"].alias("first"), last["start"].alias("start"), (last["n"] + 1).alias("n"), (last["total"] + p["tempo"]).alias("total"))
-        return F.when(F.size(found) == 0, F.array(new(p))).when(same, F.concat(F.slice(found, 1, F.size(found) - 1), F.array(grown))).otherwise(F.concat(found, F.array(new(p))))
-
-    found = F.aggregate("points", F.array().cast(f"array<{seg}>"), step)
-    plain = F.transform(found, lambda s: F.struct(tenth(s["total"] / s["n"]).alias("bpm"), half_up(s["start"] * 1000).alias("start_ms")))
-
-    def merge(kept: Column, s: Column) -> Column:
-        last = F.element_at(kept, -1)
-        both = F.struct(tenth((last["bpm"] + s["bpm"]) / 2).alias("bpm"), last["start_ms"].alias("start_ms"))
-        close = F.abs(s["bpm"] - last["bpm"]) < join
-        return F.when(F.size(kept) > 0, F.when(close, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(both))).otherwise(F.concat(kept, F.array(s)))).otherwise(F.array(s))
-
-    rows = rows.withColumn("plain", plain)
-    merged = F.aggregate("plain", F.slice("plain", 1, 0), merge)
-    out = rows.select("song_id", F.posexplode(merged).alias("seg_idx", "s"))
-    return out.select("song_id", "seg_idx", "s.bpm", "s.start_ms")
+    own = curve.where(F.col("t_s").isNotNull() & F.col("tempo").isNotNull()).withColumn("t_s", F.col("t_s").cast("double")).withColumn("tempo", F.col("tempo").cast("double"))
+    return scanned(own, ["ordinal", "t_s", "tempo"], ["t_s", "tempo"], *segmenter(split, join), "song_id long,seg_idx int,bpm double,start_ms long")
 
 
 def changes(ticks: DataFrame, window: int = 8, threshold: float = 0.15, of_intervals: bool = True) -> DataFrame:
@@ -118,9 +98,8 @@ def grid_lines(tempo: DataFrame, view_end: Column, denominator: int = 4) -> Data
 
 
 def spaced(positions: Column, gap: float) -> Column:
-    """Ascending positions less those nearer than ``gap`` to the last one kept."""
-    keep = lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= gap), F.concat(a, F.array(x))).otherwise(a)
-    return F.aggregate(positions, F.slice(positions, 1, 0), keep)
+    """Ascending positions (whole numbers) less those nearer than ``gap`` to the last one kept."""
+    return along("bigint", lambda last, x: (x, [x]) if last is None or x - last >= gap else (last, []), positions)
 
 
 def ruler_step(pixels_per_second: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quaver.functions import word as W
 from quaver.functions.timecode import half_up
 from quaver.operators.lookup import asof_tempo
+from quaver.operators.scan import repair, scanned
 
 PAST = (Window.unboundedPreceding, -1)
 FUTURE = (1, Window.unboundedFollowing)
@@ -119,21 +120,30 @@ def dragged(rows: DataFrame, tempo: DataFrame, target: str, order: list[str], de
     return clamped(out, "snapped_", order).drop("snapped_")
 
 
-def repaired(times: Column) -> Column:
-    """An array of times in which none is before the last: an earlier one is the last plus 1."""
-    step = lambda a, t: F.concat(
-        a, F.array(F.when((F.size(a) > 0) & (t < F.element_at(a, -1)), F.element_at(a, -1) + 1).otherwise(t))
-    )
-    return F.aggregate(times, F.slice(times, 1, 0), step)
-
-
 def monotone(rows: DataFrame, t: str, order: list[str]) -> DataFrame:
-    """rows (song_id, ordinal, t) with ``repaired`` times; one fold over each song's array."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(t).alias("t_"), F.col("ordinal").alias("o_"))))
-    out = rows.where(F.col(t).isNotNull()).groupBy("song_id").agg(items.alias("items"))
-    out = out.withColumn("fixed", repaired(F.transform("items", lambda x: x["t_"])))
-    pairs = out.select("song_id", F.explode(F.arrays_zip("items", "fixed")).alias("p"))
-    return pairs.select("song_id", F.col("p.items.o_").alias("ordinal"), F.col("p.items.t_").alias(t), F.col("p.fixed").alias("repaired"))
+    """rows (song_id, ordinal, t) with ``repaired`` times, in which none is before the last: an earlier
+    one is the last plus 1. One pass over each song's sorted rows with the last time as its state."""
+    own = rows.where(F.col(t).isNotNull()).withColumn(t, F.col(t).cast("bigint"))
+    return scanned(own, [*order, t, "ordinal"], ["ordinal", t], repair, lambda _: [], f"song_id long,ordinal long,{t} long,repaired long")
+
+
+def dropped(rows: DataFrame, tempo: DataFrame, target: str, duration: Column, order: list[str], denominator: int = 4) -> DataFrame:
+    """rows (song_id, ordinal, kind, t and more) after a beat was dropped at ``target`` (null where none
+    was): within 0 and the duration, on the grid, a whole number; then punctuation is filled again
+    in ``filled``."""
+    at = F.greatest(F.least(F.col(target), duration), F.lit(0))
+    moved = rows.where(F.col(target).isNotNull()).select("song_id", "ordinal", at.alias("t"))
+    new = snapped(moved, tempo, denominator).select("song_id", "ordinal", F.col("snapped").alias("new_"))
+    out = rows.join(new, ["song_id", "ordinal"], "left").withColumn("t", F.coalesce("new_", "t")).drop("new_")
+    return fill_punctuation(out, order)
+
+
+def statistics(rows: DataFrame, tempo: DataFrame) -> DataFrame:
+    """Per song: syllables, sung ones, set ones, sung ones without a time, and tempo segments."""
+    sung = F.col("kind") == "sung"
+    own = rows.groupBy("song_id").agg(F.count(F.lit(1)).alias("n_syllables"), F.count_if(sung).alias("n_sung"), F.count("t").alias("n_set"), F.count_if(sung & F.col("t").isNull()).alias("n_unset"))
+    parts = tempo.groupBy("song_id").agg(F.count(F.lit(1)).alias("n_segments"))
+    return own.join(parts, "song_id", "left").withColumn("n_segments", F.coalesce("n_segments", F.lit(0).cast("bigint")))
 
 
 def audit(beats: DataFrame, order: list[str]) -> DataFrame:

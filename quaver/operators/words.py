@@ -44,6 +44,11 @@ def statistics(songs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def word_at(words: DataFrame, places: DataFrame) -> DataFrame:
+    """places (song_id, word_idx) with the words there; a place that a song doesn't have gets nulls."""
+    return places.join(words, ["song_id", "word_idx"], "left")
+
+
 def lines(words: DataFrame) -> DataFrame:
     """song_id, line, start, end (exclusive) and text of each line; a newline word ends one."""
     newline = (F.col("reading") == "\n").cast("int")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from quaver.functions import text as T
 from quaver.functions import timecode as C
 from quaver.functions import viewport
-from quaver.operators import edit, words
-from quaver.plans.common import SQL_BEATS, SQL_TOKENS, beats, kinded, songs, table
+from quaver.operators import edit, timeline, words
+from quaver.plans.common import SQL_BEATS, SQL_TOKENS, beats, kinded, songs, table, tempo
 from quaver.sources import lyrics
 
 QUERIES: dict = {}
@@ -253,7 +253,7 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("back", lyrics.from_json(F.col("json"))).withColumn("bad", lyrics.from_json(F.lit("{")))
     readings = F.transform("back.words", lambda x: x["reading"])
     return rows.select(
-        "song_id", F.size("back.words").alias("n_words"), F.md5(F.array_join(readings, "|")).alias("words_md5"), F.col("back.metadata")["title"].alias("title"), (F.to_json("back.words") == F.to_json("w")).alias("same"), F.size("bad.words").alias("broken")
+        "song_id", F.size("back.words").alias("n_words"), F.md5(F.array_join(readings, "|")).alias("words_md5"), F.col("back.metadata")["title"].alias("title"), (F.col("back.words") == F.col("w")).alias("same"), F.size("bad.words").alias("broken")
     )
 
 
@@ -277,7 +277,7 @@ def _digest(rows: DataFrame) -> DataFrame:
 @query(f"WITH {_SQL_NUMBERED} SELECT song_id, {_DIGEST.replace('ORDER BY k', 'ORDER BY word_idx')} FROM own WHERE NOT (word_idx % 7 = 0 AND reading <> chr(10)) GROUP BY song_id")
 def words_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _numbered(spark, sf_dir)
-    return _digest(edit.removed(own, own.where((F.col("word_idx") % 7 == 0) & (F.col("reading") != "\n"))))
+    return _digest(edit.removed(own, (F.col("word_idx") % 7 == 0) & (F.col("reading") != "\n")))
 
 
 @query(
@@ -299,7 +299,7 @@ def words_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def characters_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _numbered(spark, sf_dir)
-    return _digest(edit.split_characters(own, own.where((F.col("word_idx") % 4 == 1) & ~T.is_separator(F.col("reading")))))
+    return _digest(edit.split_characters(own, (F.col("word_idx") % 4 == 1) & ~T.is_separator(F.col("reading"))))
 
 
 @query(
@@ -414,12 +414,12 @@ def text_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {SQL_BEATS} SELECT song_id, count(*) AS n_syllables, count(*) FILTER (kind = 'sung') AS n_sung, count(t) AS n_set,
-  count(*) FILTER (kind = 'sung' AND t IS NULL) AS n_unset FROM kinded GROUP BY song_id"""
+    f"""WITH {SQL_BEATS}, s AS (SELECT song_id, count(*) AS n FROM tempo GROUP BY song_id)
+SELECT song_id, count(*) AS n_syllables, count(*) FILTER (kind = 'sung') AS n_sung, count(t) AS n_set, count(*) FILTER (kind = 'sung' AND t IS NULL) AS n_unset, coalesce(any_value(n), 0)::BIGINT AS n_segments
+FROM kinded LEFT JOIN s USING (song_id) GROUP BY song_id"""
 )
 def project_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sung = F.col("kind") == "sung"
-    return kinded(spark, sf_dir).groupBy("song_id").agg(F.count(F.lit(1)).alias("n_syllables"), F.count_if(sung).alias("n_sung"), F.count("t").alias("n_set"), F.count_if(sung & F.col("t").isNull()).alias("n_unset"))
+    return timeline.statistics(kinded(spark, sf_dir), tempo(spark, sf_dir))
 
 
 @query("""SELECT doc_id AS song_id, '{"version":"1.0"}' AS project, '{"digest":"' || md5(coalesce(text, '')) || '"}' AS lyrics, NULL::VARCHAR AS timing, NULL::VARCHAR AS error FROM documents""")

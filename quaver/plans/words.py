@@ -313,9 +313,45 @@ def viewport_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {SQL_BEATS}, own AS (SELECT *, CASE WHEN kind = 'sung' AND ordinal % 5 = 0 THEN greatest(least(place + (ordinal % 9 - 4) * 3000000, 1704900000000), 0) END AS target FROM kinded), s AS (
+  SELECT o.song_id, o.ordinal, o.place, o.kind, CASE WHEN o.target IS NULL THEN o.t ELSE floor(CASE WHEN p.start_ms IS NULL THEN o.target::DOUBLE ELSE greatest(p.start_ms + floor((o.target - p.start_ms) / (60000.0::DOUBLE / p.bpm / 4.0::DOUBLE) + 0.5) * (60000.0::DOUBLE / p.bpm / 4.0::DOUBLE), 0) END + 0.5)::BIGINT END AS t
+  FROM own o LEFT JOIN LATERAL (SELECT start_ms, bpm FROM tempo WHERE tempo.song_id = o.song_id AND start_ms <= o.target ORDER BY start_ms DESC, tempo.ordinal DESC LIMIT 1) p ON TRUE
+)
+SELECT song_id, ordinal, CASE WHEN kind = 'punctuation' THEN coalesce(first_value(CASE WHEN kind = 'sung' THEN t END IGNORE NULLS) OVER (PARTITION BY song_id ORDER BY place, ordinal ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), t) ELSE t END AS filled FROM s"""
+)
+def beats_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kinded(spark, sf_dir)
+    rows = rows.withColumn("target", F.when((F.col("kind") == "sung") & (F.col("ordinal") % 5 == 0), F.col("at") + (F.col("ordinal") % 9 - 4) * 3_000_000))
+    return timeline.dropped(rows, tempo(spark, sf_dir), "target", F.lit(1_704_900_000_000), ["at", "ordinal"]).select("song_id", "ordinal", "filled")
+
+
+@query(
+    f"""WITH {SQL_BEATS}, own AS (SELECT song_id, ordinal, bpm, CASE WHEN ordinal % 3 = 0 THEN greatest(floor(least(start_ms + (ordinal % 7 - 3) * 10000000.5, 1704900000000.0) + 0.5), 0) ELSE start_ms END::DOUBLE AS start_ms FROM tempo)
+SELECT song_id, ordinal, bpm, start_ms, (row_number() OVER (PARTITION BY song_id ORDER BY start_ms, ordinal) - 1)::INT AS seg_idx FROM own"""
+)
+def tempo_dragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tempo(spark, sf_dir)
+    moves = own.where("ordinal % 3 = 0").select("song_id", "ordinal", F.lit("move").alias("action"), F.lit(None).cast("double").alias("bpm"), (F.col("start_ms") + (F.col("ordinal") % 7 - 3) * 10_000_000.5).alias("start_ms"))
+    return edit.tempo_edited(own, moves, 1_704_900_000_000.0)
+
+
 # --- editor rules -------------------------------------------------------------------------------
 
 
+@query(f"WITH {SQL_TOKENS}, p AS (SELECT DISTINCT song_id, unnest([2, 100000]) AS word_idx FROM words) SELECT song_id, word_idx::INT AS word_idx, reading FROM p LEFT JOIN words USING (song_id, word_idx)")
+def words_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = words.from_text(songs(spark, sf_dir)).select("song_id", "word_idx", "reading")
+    places = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("song_id"), F.explode(F.array(F.lit(2), F.lit(100_000))).alias("word_idx"))
+    return words.word_at(own, places)
+
+
+@query("""SELECT * FROM (VALUES ('恋', TRUE, FALSE), ('カラ', FALSE, TRUE), ('ヶ', FALSE, FALSE), ('食べ', TRUE, FALSE), ('abc', FALSE, FALSE), ('ー', FALSE, TRUE)) v(s, kanji, kana)""")
+def scripts_told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(x,) for x in ("恋", "カラ", "ヶ", "食べ", "abc", "ー")], "s string")
+    return rows.select("s", T.has_kanji(F.col("s")).alias("kanji"), T.is_kana(F.col("s")).alias("kana"))
+
+
 @query(
     f"""WITH {SQL_TOKENS}, own AS (SELECT *, CASE WHEN word_idx % 3 <> 2 THEN word_idx * 100 END AS t FROM words), c AS (
   SELECT song_id, word_idx, CASE word_idx % 8 WHEN 1 THEN ' ' WHEN 2 THEN chr(10) ELSE reading END AS reading, CASE WHEN word_idx % 8 NOT IN (1, 2) THEN t END AS t FROM own
@@ -325,8 +361,8 @@ SELECT song_id, md5(string_agg(reading, '|' ORDER BY word_idx)) AS words_md5, su
 def words_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = words.from_text(songs(spark, sf_dir)).withColumn("t", F.when(F.col("word_idx") % 3 != 2, F.col("word_idx").cast("bigint") * 100))
     at = F.col("word_idx")
-    out = edit.converted(edit.converted(own, own.where(at % 8 == 1)), own.where(at % 8 == 2), "\n")
-    return _digest(edit.key_deleted(out, own.where(at % 5 == 0)))
+    out = edit.converted(edit.converted(own, at % 8 == 1), at % 8 == 2, "\n")
+    return _digest(edit.key_deleted(out, at % 5 == 0))
 
 
 def _digest(rows: DataFrame) -> DataFrame:
