@@ -15,8 +15,9 @@ from quaver.llm.common import cut, prepare, shared_dir
 from quaver.llm.lexicon import compile_lexicon
 from quaver.llm.wordbpe import WordBpe, encoder
 
-#: Words in the lexicon; with their ids about 100 bytes each, so the file is bounded at some 7 MB.
-LEXICON_WORDS = 65_536
+#: Words in the lexicon and the bytes of the longest: no more than 4 MB come to the driver. Longer words
+#: are merged like rare ones.
+LEXICON_WORDS, LEXICON_BYTES = 65_536, 64
 #: Distinct words that a task tallies before it sends what it has.
 TALLY_WORDS = 400_000
 
@@ -49,7 +50,7 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", size: int
     words reach; adds the file to the Spark application from the shared folder and returns its
     name for SparkFiles."""
     spark = docs.sparkSession
-    counts = cut(word_counts(docs, tokenizer, text).where("n > 1"))
+    counts = cut(word_counts(docs, tokenizer, text).where((F.col("n") > 1) & (F.octet_length("word") <= LEXICON_BYTES)))
     # Counts of counts, of three digits above 1000, so that few rows tell where to cut.
     unit = F.pow(10, F.greatest(F.floor(F.log10("n")) - 2, F.lit(0))).cast("long")
     steps = counts.groupBy((F.floor(F.col("n") / unit) * unit).alias("least")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("least")).collect()

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -20,14 +19,24 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 48_000_000
 
 
+#: Bytes of an Arrow batch, where the session has Spark's default of 64 MB: a worker holds a batch, what
+#: it makes of it and the answer, the executor both as well, beside its heap.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package and names a checkpoint folder where none is set."""
+    """Lets Python workers import this package, bounds their batches, and names a checkpoint folder
+    where none is set (in local mode only)."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH) == f"{64 << 20}b":
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
     have = sc.environment.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
@@ -53,6 +62,18 @@ def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
     return F.broadcast(df) if df.count() <= min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes) else df
 
 
+def beside(pairs: DataFrame, side: DataFrame, key: str, each: int = 4096) -> DataFrame:
+    """pairs (a, b, ...) with ``left`` and ``right``, structs of the rows of side that a and b name.
+
+    b may be a hot one: its row is repeated, so that at most about ``each`` of its pairs meet one."""
+    degree = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("parts_")).where(F.col("parts_") > each)
+    degree = small(cut(degree.select("b", F.ceil(F.col("parts_") / each).cast("int").alias("parts_"))), 16)
+    split = pairs.join(degree, "b", "left").withColumn("part_", F.pmod(F.xxhash64("a"), F.coalesce("parts_", F.lit(1))).cast("int")).drop("parts_")
+    rows = side.select(F.col(key).alias("b"), F.struct(*side.columns).alias("right")).join(degree, "b", "left")
+    rows = rows.withColumn("part_", F.explode(F.sequence(F.lit(0), F.coalesce("parts_", F.lit(1)) - 1))).drop("parts_")
+    return split.join(side.select(F.col(key).alias("a"), F.struct(*side.columns).alias("left")), "a").join(rows, ["b", "part_"]).drop("part_")
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have (case-insensitively)."""
     have = {c.lower() for c in df.columns}
@@ -73,7 +94,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
     )
-    before = None
+    total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    state = now.agg(F.count(F.lit(1)), total).first()
     while True:
         # Large star: each larger neighbour of u moves to u's smallest neighbour (or u itself).
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -83,14 +105,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = large.where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
-        state = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.count_if(F.lit(False))).first()
-        if state == before:
+        before, now = now, cut(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+        last, state = state, now.agg(F.count(F.lit(1)), total).first()
+        if state == last and now.join(before, ["u", "v"], "left_anti").isEmpty():
             break
-        before = state
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda x, y: x & y, conditions)

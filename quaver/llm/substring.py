@@ -3,8 +3,9 @@
 A window is ``span`` consecutive words. Every window is represented in the sketch by the smallest
 hash among its runs of eight words (its minimiser), which equal windows share; consecutive windows
 mostly share it too, so the sketch needs some twenty times fewer counters than windows. The
-sketch counts documents for each minimiser, each partition makes its own, and sums of those
-overestimate how many documents any window is in: no repeated window is lost. Windows estimated
+sketch counts documents for each minimiser; each partition makes its own, and sums of those
+overestimate how many documents any window is in: no repeated window is lost. Its counters grow
+with the text and are merged by shards of two million, whose tasks hold no more. Windows estimated
 repeated go to an exact pass by 128-bit hashes. There each task first settles the windows that
 repeat within it, so that at most one row per task is shuffled for any window however common.
 Exact copies of a text are settled by the text's digest and take no part in either pass.
@@ -24,9 +25,15 @@ from quaver.llm.textbuf import buffers, grams, mix, slices, sliding_min
 from quaver.llm.wordbpe import ragged
 
 SPAN, CORE = 50, 8
-#: Counters in each of the sketch's rows, and the number of rows.
-WIDTH_BITS, DEPTH = 24, 4
-BLOCKS = 64
+#: Counters of a minimiser, all of them in one block of the sketch; bits that number a block's
+#: counters; blocks of a shard, which are merged together.
+DEPTH, BLOCK_BITS, SHARD = 4, 15, 64
+#: Bytes of text for each counter; some 140 bytes of prose have a new minimiser, so a third is taken.
+ROOM = 16
+#: Blocks that may be broadcast (a bit for a counter: 32 MB); a larger sketch is joined to the minimisers.
+BROADCAST_BLOCKS = 1 << 13
+#: Minimisers that a task holds before it counts and sends them.
+HELD_KEYS = 200_000
 #: Runs of removed windows that may be broadcast in all, of 8 bytes each; more are shuffled.
 BROADCAST_RUNS = 2_000_000
 #: Windows that a task holds before it settles and sends them: always as many, so that what is
@@ -34,9 +41,17 @@ BROADCAST_RUNS = 2_000_000
 HELD = 100_000
 
 
-def cells(keys: np.ndarray, depth: int, bits: int) -> np.ndarray:
-    """The counters of each key: depth x len(keys), numbered over all rows."""
-    return np.stack([(mix(keys, 20 + d) >> np.uint64(64 - bits)).astype(np.int64) + (d << bits) for d in range(depth)])
+def places(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each key and DEPTH x len(keys) counters of it."""
+    wide = BLOCK_BITS - DEPTH.bit_length() + 1
+    own = packed_places(keys)
+    rows = [(own >> d * wide & (1 << wide) - 1) + (d << wide) for d in range(DEPTH)]
+    return (mix(keys, 20) % np.uint64(blocks)).astype(np.int64), np.stack(rows)
+
+
+def packed_places(keys: np.ndarray) -> np.ndarray:
+    """The counters of each key within their rows, all in one number."""
+    return (mix(keys, 21) >> np.uint64(64 - DEPTH * (BLOCK_BITS - DEPTH.bit_length() + 1))).astype(np.int64)
 
 
 def windows(words, span: int, core: int = CORE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,80 +66,104 @@ def windows(words, span: int, core: int = CORE) -> tuple[np.ndarray, np.ndarray,
     return at, doc[at], least[at]
 
 
-def sketch(docs: DataFrame, span: int, bits: int, depth: int) -> bytes:
-    """Bits of the counters that reach two, summed over all partitions; depth * 2**bits / 8 bytes."""
-    block_cells = depth << bits >> BLOCKS.bit_length() - 1
-
-    def own(batches):
-        counts = np.zeros(depth << bits, np.uint8)
-        for batch in batches:
-            for words in slices(batch.column(0)):
-                _, doc, least = windows(words, span)
-                if not len(doc):
-                    continue
-                new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])
-                keys = np.unique(np.stack([doc[new].astype(np.uint64), least[new]]), axis=1)[1] if len(doc) < 1000 else _distinct(doc[new], least[new])
-                for row in cells(keys, depth, bits):
-                    at, n = np.unique(row, return_counts=True)
-                    counts[at] = np.minimum(counts[at] + np.minimum(n, 2), 2)
-        yield from _sparse(counts, block_cells)
-
-    def merged(key, rows):
-        counts = np.zeros(block_cells, np.uint8)
-        for ones, twos in zip(rows.column("ones").to_pylist(), rows.column("twos").to_pylist(), strict=True):
-            at = np.frombuffer(ones, np.uint32)
-            counts[at] = np.minimum(counts[at] + 1, 2)
-            counts[np.frombuffer(twos, np.uint32)] = 2
-        return pa.Table.from_batches([_row(key[0].as_py(), -1, counts)])
-
-    schema = "block int, salt int, ones binary, twos binary"
-    parts = docs.select("text").mapInArrow(own, schema)
-    for by in (["block", "salt"], ["block"]):  # in two steps: no block's parts all meet in one task at first
-        parts = parts.groupBy(*by).applyInArrow(merged, schema)
-    out = np.zeros(depth << bits >> 3, np.uint8)
-    for r in parts.select("block", "twos").collect():
-        bitmap = np.zeros(block_cells, bool)
-        bitmap[np.frombuffer(r.twos, np.uint32)] = True
-        out[r.block * block_cells >> 3 : (r.block + 1) * block_cells >> 3] = np.packbits(bitmap)
-    return out.tobytes()
-
-
-def _distinct(doc: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Minimisers, once for each document."""
+def minimisers(words, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and the minimisers of their windows, each once for a document."""
+    _, doc, least = windows(words, span)
+    if not len(doc):
+        return doc, least
+    changes = lambda: np.append(True, (doc[1:] != doc[:-1]) | (least[1:] != least[:-1]))
+    new = changes()
+    doc, least = doc[new], least[new]
     by = np.lexsort((least, doc))
     doc, least = doc[by], least[by]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])
-    return least[new]
-
-
-def _row(block: int, salt: int, counts: np.ndarray):
-    one, two = (np.flatnonzero(counts == k).astype(np.uint32).tobytes() for k in (1, 2))
-    return pa.RecordBatch.from_arrays(
-        [pa.array([block], pa.int32()), pa.array([salt], pa.int32()), pa.array([one], pa.binary()), pa.array([two], pa.binary())],
-        ["block", "salt", "ones", "twos"],
-    )
+    new = changes()
+    return doc[new], least[new]
 
 
-def _sparse(counts: np.ndarray, block_cells: int):
-    from pyspark import TaskContext
+def sketch(docs: DataFrame, span: int, blocks: int) -> DataFrame:
+    """block int, bits binary: a bit for each counter that reaches two in the sum of all partitions'
+    sketches. Blocks without one are left out."""
 
-    task = TaskContext.get()
-    salt = (task.partitionId() if task else 0) % 16
-    for block in range(len(counts) // block_cells):
-        own = counts[block * block_cells : (block + 1) * block_cells]
-        if own.any():
-            yield _row(block, salt, own)
+    def own(batches):
+        held, n = [], 0
+        for batch in batches:
+            for words in slices(batch.column(0)):
+                _, keys = minimisers(words, span)
+                held.append(keys)
+                n += len(keys)
+                if n > HELD_KEYS:
+                    yield counted(held, blocks)
+                    held, n = [], 0
+        if n:
+            yield counted(held, blocks)
 
+    def merged(batches):
+        counts, now = np.zeros(SHARD << BLOCK_BITS, np.uint8), None
+        for batch in batches:
+            for shard, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if shard != now and now is not None:
+                    yield full(now, counts)
+                    counts[:] = 0
+                now = shard
+                cells = np.frombuffer(own.as_buffer(), np.uint32)
+                counts[cells >> 1] = np.minimum(counts[cells >> 1] + 1 + (cells & 1), 2)
+        if now is not None:
+            yield full(now, counts)
+
+    parts = docs.select("text").mapInArrow(own, "shard int, cells binary")
+    return parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(merged, "block int, bits binary")
+
+
+def counted(held: list[np.ndarray], blocks: int):
+    """Rows (shard, cells) of a task's minimisers: counters, twice their number, or that and one if
+    they reach two."""
+    block, rows = places(np.concatenate(held), blocks)
+    code, n = np.unique(((block << BLOCK_BITS) + rows).ravel(), return_counts=True)
+    shard = code // (SHARD << BLOCK_BITS)
+    cells = ((code % (SHARD << BLOCK_BITS)) << 1 | (n > 1)).astype(np.uint32)
+    first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+    ends = pa.py_buffer(np.append(first, len(code)).astype(np.int32) * 4)
+    own = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(cells)])
+    return pa.RecordBatch.from_arrays([pa.array(shard[first], pa.int32()), own], ["shard", "cells"])
+
+
+def full(shard: int, counts: np.ndarray):
+    reached = np.packbits((counts > 1).reshape(SHARD, -1), axis=1)
+    some = np.flatnonzero(reached.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(shard * SHARD + some, pa.int32()), pa.array([reached[k].tobytes() for k in some], pa.binary())], ["block", "bits"])
+
+
+def sparse_runs(docs: DataFrame, span: int, blocks: int, reached: DataFrame) -> DataFrame:
+    """doc_id, th, keys: the minimisers of each text all of whose counters reach two, found by a join
+    with the sketch."""
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, bits: int = WIDTH_BITS, depth: int = DEPTH) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for words in slices(batch.column(2)):
+                doc, keys = minimisers(words, span)
+                at = pa.array(words.first + doc)
+                block, _ = places(keys, blocks)
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(keys.view(np.int64)), pa.array(block, pa.int32()), pa.array(packed_places(keys))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "key", "block", "places"])
+
+    rows = docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, key long, block int, places long")
+    wide = BLOCK_BITS - DEPTH.bit_length() + 1
+    hit = F.lit(True)
+    for d in range(DEPTH):
+        cell = F.shiftright("places", d * wide).bitwiseAND(F.lit((1 << wide) - 1)) + F.lit(d << wide)
+        byte = F.conv(F.hex(F.substring("bits", (F.shiftright(cell, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        hit = hit & (F.pmod(byte / F.pow(F.lit(2), F.lit(7) - cell.bitwiseAND(F.lit(7))), F.lit(2)) >= 1)
+    return rows.join(reached, "block").where(hit).groupBy("doc_id", "th").agg(F.collect_set("key").alias("keys"))
+
+
+def repeated_spans(docs: DataFrame, span: int = SPAN, room: int = ROOM, most: int = BROADCAST_BLOCKS) -> DataFrame:
     """doc_id, th, starts, sizes array<int>: runs of first words of the windows to be removed; a
     start of -1 is a whole text.
 
     docs has doc_id and text. th is xxhash64 of the text, which tells rows with the same doc_id
     apart. Rows without a doc_id have no order and neither lose windows nor make others lose them;
-    nor do null texts.
+    nor do null texts. The sketch has a counter for each ``room`` bytes of text; one of more than
+    ``most`` blocks isn't broadcast but joined.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -141,10 +180,35 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, bits: int = WIDTH_BITS, de
     )
     single = docs.join(small(later), ["doc_id", "th"], "left_anti")
 
-    seen = spark.sparkContext.broadcast(sketch(single, span, bits, depth))  # depth * 2**bits / 8 bytes
+    size = single.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    blocks = max(1, -(-size // (room << BLOCK_BITS)))
+    reached = cut(sketch(single, span, blocks))
+    seen, own = None, single.select("doc_id", "th", "text")
+    if blocks <= most:
+        bitmap = np.zeros((blocks, 1 << BLOCK_BITS - 3), np.uint8)
+        for r in reached.toLocalIterator():
+            bitmap[r.block] = np.frombuffer(r.bits, np.uint8)
+        seen = spark.sparkContext.broadcast(bitmap.tobytes())  # at most ``most`` blocks of 4 KB
+        del bitmap
+    else:
+        own = own.join(sparse_runs(single, span, blocks, reached), ["doc_id", "th"]).select("doc_id", "th", "text", "keys")
+
+    def passed(words, doc, least, batch):
+        """Whether each window's minimiser is estimated repeated."""
+        new = np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]))
+        if seen is not None:
+            bits = np.frombuffer(seen.value, np.uint8)
+            block, rows = places(least[new], blocks)
+            cells = (block << BLOCK_BITS) + rows
+            few = (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).all(axis=0)
+        else:
+            few, own = np.zeros(int(new.sum()), bool), doc[new]
+            for d in np.unique(own).tolist():
+                keys = np.asarray(batch.column(3)[words.first + d].values).view(np.uint64)
+                few[own == d] = np.isin(least[new][own == d], keys)
+        return few[np.cumsum(new) - 1]
 
     def repeated(batches):
-        bitmap = np.frombuffer(seen.value, np.uint8)
         held: list[tuple] = []
         n = 0
         for batch in batches:
@@ -154,16 +218,10 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, bits: int = WIDTH_BITS, de
                 at, doc, least = windows(words, span)
                 if not len(at):
                     continue
-                new = np.ones(len(at), bool)
-                new[1:] = least[1:] != least[:-1]
-                run = np.cumsum(new) - 1
-                few = np.ones(int(new.sum()), bool)
-                for row in cells(least[new], depth, bits):
-                    few &= (bitmap[row >> 3] >> (7 - (row & 7)).astype(np.uint8) & 1).astype(bool)
-                keep = few[run]
+                keep = passed(words, doc, least, batch)
                 if keep.any():
                     at, doc = at[keep], doc[keep]
-                    low, high = (grams(words.hash, span, base, 30 + base)[at] for base in (2, 3))
+                    low, high = grams(words.hash, span, 32)[at], grams(words.other, span, 33)[at]
                     held.append((low, high, doc_ids[words.first + doc], ths[words.first + doc], at - words.at[doc]))
                     n += len(at)
                 if n >= HELD:
@@ -174,7 +232,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, bits: int = WIDTH_BITS, de
 
     # A window, however common, has a row for each HELD windows of a task at most. Rows that are done
     # pass by in a group of their own.
-    rows = single.select("doc_id", "th", "text").mapInArrow(repeated, "low long, high long, doc_id long, th long, done boolean, starts array<int>")
+    rows = own.mapInArrow(repeated, "low long, high long, doc_id long, th long, done boolean, starts array<int>")
     everywhere = Window.partitionBy("low", "high")
     spread = rows.withColumn("least", F.min("doc_id").over(everywhere)).where("done or doc_id > least").select("doc_id", "th", "starts")
     found = spread.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("starts")).alias("starts"))
@@ -226,7 +284,7 @@ def settle(held: list[tuple]):
         yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(first), kind)), starts], ["low", "high", "doc_id", "th", "done", "starts"])
 
 
-def dedup_substrings(docs: DataFrame, span: int = SPAN, bits: int = WIDTH_BITS, depth: int = DEPTH, digests: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, span: int = SPAN, digests: bool = False, room: int = ROOM, most: int = BROADCAST_BLOCKS) -> DataFrame:
     """docs with n_words, n_removed long and, as text, the kept words joined by one blank.
 
     A word goes if a window of ``span`` words over it also starts in a document with a smaller
@@ -237,7 +295,7 @@ def dedup_substrings(docs: DataFrame, span: int = SPAN, bits: int = WIDTH_BITS,
     docs = docs.drop("n_words", "n_removed", *(["kept_sha256"] if digests else []))
     th, starts = fresh(docs, "th_"), fresh(docs, "starts_")
     runs = F.arrays_zip("starts", "sizes").alias(starts)
-    cuts = cut(repeated_spans(docs, span, bits, depth)).select(F.col("doc_id").alias(f"{th}id"), F.col("th").alias(th), runs)
+    cuts = cut(repeated_spans(docs, span, room, most)).select(F.col("doc_id").alias(f"{th}id"), F.col("th").alias(th), runs)
     total = cuts.agg(F.sum(F.size(starts)).alias("n")).first().n or 0
     side = small(cuts, 48) if total <= BROADCAST_RUNS else cuts
     joined = docs.join(side, (F.col("doc_id") == F.col(f"{th}id")) & (F.xxhash64("text") == F.col(th)), "left").drop(th, f"{th}id")

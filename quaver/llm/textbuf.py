@@ -7,28 +7,19 @@ longest single text rather than the batch. Words are runs of anything but the by
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
+#: Bytes of a word that are taken as they are, eight to a lane; longer words give their digest instead.
+LANES = 4
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _rng = np.random.Generator(np.random.PCG64(20240607))
-BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
-BASES = [int(x) | 5 for x in _rng.integers(1, 2**63, 4, dtype=np.uint64)]
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** (0 .. n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 12), base, np.uint64)
-        have[0] = 1
-        _powers[base] = have = np.cumprod(have, dtype=np.uint64)
-    return have[:n]
+ODD = [int(x) | 5 for x in _rng.integers(1, 2**63, 4, dtype=np.uint64)]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -57,8 +48,44 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def lanes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Words (begin, size) of the bytes data as LANES rows of 64-bit numbers: the bytes themselves,
+    or, of words beyond 8 * LANES bytes, their 256-bit digest. Two words of the same size have the
+    same lanes only if they are equal (or their digests are)."""
+    out = np.zeros((LANES, len(begin)), np.uint64)
+    if not len(begin):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))
+    rows = slice(None)
+    for k in range(LANES):
+        if k:
+            rows = np.flatnonzero(size > 8 * k)
+            if not len(rows):
+                break
+        rest = np.minimum(size[rows] - 8 * k, 8).astype(np.uint64)
+        out[k, rows] = eight[begin[rows] + 8 * k] & (np.uint64(2**64 - 1) >> (np.uint64(64) - (rest << np.uint64(3))))
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        own = data[begin[i] : begin[i] + size[i]].tobytes()
+        out[:, i] = np.frombuffer(hashlib.blake2b(own, digest_size=8 * LANES).digest(), "<u8")
+    return out
+
+
+def folded(lanes_: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each word from its lanes and size; seeds give independent ones."""
+    odd = np.uint64(ODD[seed % len(ODD)])
+    out = mix(lanes_[0] ^ (size.astype(np.uint64) * odd), seed)
+    for k in range(1, LANES):
+        rows = np.flatnonzero(size > 8 * k)
+        if not len(rows):
+            break
+        out[rows] = mix((out[rows] ^ lanes_[k, rows]) * odd, seed)
+    return out
+
+
 class Words:
-    """Hashes of the words of documents first .. first+n-1; word k of document d is at[d]+k."""
+    """Words of documents first .. first+n-1; word k of document d is at[d]+k. ``hash`` and
+    ``other`` are independent 64-bit hashes of each."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int = 0):
         self.first, self.n = first, len(offsets) - 1
@@ -71,19 +98,15 @@ class Words:
         end[cuts - 1] = inside[cuts - 1]
         self.begin, self.end = np.flatnonzero(begin), np.flatnonzero(end) + 1
         self.at = np.searchsorted(self.begin, offsets)
-        size = self.end - self.begin
-        if len(size):
-            starts = np.zeros(len(size), np.int64)
-            np.cumsum(size[:-1], out=starts[1:])
-            place = np.arange(starts[-1] + size[-1], dtype=np.int64)
-            place -= np.repeat(starts, size)
-            value = BYTE[data[inside]]
-            value *= powers(BASES[0], int(size.max()) + 1)[place]
-            self.hash = mix(np.add.reduceat(value, starts), 1)
-        else:
-            self.hash = np.zeros(0, np.uint64)
+        self.size = self.end - self.begin
+        self._lanes = lanes(data, self.begin, self.size)
+        self.hash = folded(self._lanes, self.size, 1)
         self.count = np.diff(self.at)
 
+    @property
+    def other(self) -> np.ndarray:
+        return folded(self._lanes, self.size, 2)
+
     def doc(self) -> np.ndarray:
         """The document of each word."""
         return np.repeat(np.arange(self.n), self.count)
@@ -99,21 +122,27 @@ def slices(texts: pa.Array) -> Iterator[Words]:
         i = j
 
 
-def grams(words: np.ndarray, k: int, base: int = 1, seed: int = 2) -> np.ndarray:
-    """A hash of each k consecutive values (over document bounds too); empty if there are fewer."""
-    n = len(words) - k + 1
+def joined(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each pair; the shift keeps it from being a polynomial, whose values repeat."""
+    return (a ^ (a >> np.uint64(32))) * np.uint64(ODD[seed % len(ODD)]) + b
+
+
+def grams(words: np.ndarray, k: int, seed: int = 2) -> np.ndarray:
+    """A hash of each k consecutive values (over document bounds too); empty if there are fewer.
+    Runs of one, two, four ... values are doubled, and those that make up k joined."""
+    n, size = len(words) - k + 1, 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    if k <= 12:
-        out = words[:n].copy()
-        for j in range(1, k):
-            out *= np.uint64(BASES[base])
-            out += words[j : n + j]
-        return mix(out, seed)
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * powers(BASES[base], len(words)), out=total[1:])
-    inverse = pow(BASES[base], -1, 2**64)
-    return mix((total[k:] - total[:n]) * powers(inverse, n), seed)
+    own, out, done = words, None, 0
+    while True:
+        if k & size:
+            part = own[done : done + n]
+            out = part if out is None else joined(out, part, seed)
+            done += size
+        if size * 2 > k:
+            return mix(out, seed)
+        own = joined(own[:-size], own[size:], seed + 1)
+        size *= 2
 
 
 def sliding_min(x: np.ndarray, k: int) -> np.ndarray:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from quaver.llm.textbuf import BASES, BYTE, buffers, mix, powers
+from quaver.llm.textbuf import LANES, buffers, folded, lanes, mix
 
 SLICE_BYTES = 1 << 20
 #: Words kept in the table before it starts anew; bounds a worker's memory at about 100 MB.
@@ -169,6 +169,7 @@ class WordBpe:
         self.table, self.used = Table(18), 0
         self.ids = np.zeros(1 << 20, np.uint32)
         self.start, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.known = np.zeros((LANES + 1, 1 << 18), np.uint64)  # lanes and size in bytes of each word of the table
 
     @staticmethod
     def byte_letters() -> list[str]:
@@ -258,18 +259,25 @@ class WordBpe:
                         heapq.heappush(heap, (r, x, ids[x], ids[after[x]]))
         return np.array([x for x in ids if x >= 0], np.uint32)
 
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
-        """Adds distinct words to the table."""
+    def ids_of(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of each word, by the lexicon or by merging."""
         found = self.lexicon.lookup(words) if self.lexicon is not None else [None] * len(words)
         rest = [i for i, x in enumerate(found) if x is None]
         for i, ids in zip(rest, self.merge([words[i] for i in rest]), strict=True):
             found[i] = ids
+        return found
+
+    def learn(self, keys: np.ndarray, own: np.ndarray, words: list[bytes]) -> None:
+        """Adds words of distinct keys, with their lanes and sizes in bytes, to the table."""
+        found = self.ids_of(words)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         n, total = self.table.n, int(sizes.sum())
         while n + len(words) > len(self.start):
             self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
+            self.known = np.concatenate([self.known, self.known], axis=1)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, self.ids])
+        self.known[:, n : n + len(words)] = own
         self.size[n : n + len(words)] = sizes
         self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + total] = np.concatenate(found)
@@ -280,8 +288,10 @@ class WordBpe:
         """Ids of all words, one after another, and the number of each."""
         if not len(begin):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        keys = word_keys(data, begin, size)
+        own = np.concatenate([lanes(data, begin, size), size[None].astype(np.uint64)])
+        keys = folded(own, size, 3)
         at = self.table.get(keys)
+        text = b""
         if (at < 0).any():
             if self.table.n > TABLE_WORDS:
                 self.reset()
@@ -289,10 +299,22 @@ class WordBpe:
             new, first = np.unique(keys[at < 0], return_index=True)
             where = np.flatnonzero(at < 0)[first]
             text = data.tobytes()
-            self.learn(new, [text[b : b + s] for b, s in zip(begin[where].tolist(), size[where].tolist(), strict=True)])
+            self.learn(new, own[:, where], [text[b : b + s] for b, s in zip(begin[where].tolist(), size[where].tolist(), strict=True)])
             at = self.table.get(keys)
         sizes = self.size[at]
-        return self.ids[ragged(self.start[at], sizes)], sizes
+        ids = self.ids[ragged(self.start[at], sizes)]
+        # A word whose key another word has in the table isn't that word.
+        wrong = (self.known[0, at] != own[0]) | (self.known[LANES, at] != own[LANES])
+        long = np.flatnonzero(size > 8)
+        wrong[long] |= (self.known[1:LANES, at[long]] != own[1:LANES, long]).any(axis=0)
+        if not wrong.any():
+            return ids, sizes
+        text = text or data.tobytes()
+        rows = np.flatnonzero(wrong)
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        for i, found in zip(rows.tolist(), self.ids_of([text[begin[i] : begin[i] + size[i]] for i in rows]), strict=True):
+            parts[i] = found
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def runs(self, texts: pa.Array):
         """Runs of documents: (first, lower-case bytes, their Pieces, odd documents, texts).
@@ -329,7 +351,7 @@ class WordBpe:
             for found in [(data, pieces.begin, pieces.size), *(x for k in np.flatnonzero(odd) for x in self.library_words(run[int(k)].as_py()) if not isinstance(x, int))]:
                 data, begin, size = found
                 if len(begin):
-                    _, first, n = np.unique(word_keys(data, begin, size), return_index=True, return_counts=True)
+                    _, first, n = np.unique(folded(lanes(data, begin, size), size, 3), return_index=True, return_counts=True)
                     text = data.tobytes()
                     for b, s, k in zip(begin[first].tolist(), size[first].tolist(), n.tolist(), strict=True):
                         w = text[b : b + s]
@@ -360,14 +382,6 @@ class WordBpe:
 LETTER_BYTES = {c: b for b, c in enumerate(WordBpe.byte_letters())}
 
 
-def word_keys(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit keys of words (begin, size) of the bytes data."""
-    starts = np.cumsum(size) - size
-    value = BYTE[data[ragged(begin, size)]]
-    value *= powers(BASES[0], int(size.max()) + 1)[ragged(np.zeros(len(size), np.int64), size)]
-    return mix(np.add.reduceat(value, starts), 3)
-
-
 def uncommon(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text has a character whose case, composition or class isn't plain, or "<|"."""
     bad = np.flatnonzero(raw >= 0xC6)

@@ -49,27 +49,27 @@ def brute_removed(docs, span):
     return out
 
 
-@pytest.mark.parametrize("bits", [16, 10])
-def test_substrings_equal_brute_force(spark, bits):
-    """Also with a sketch so small that nearly every window is estimated repeated."""
+@pytest.mark.parametrize(("room", "most"), [(16, 64), (1, 0), (10**9, 64)])
+def test_substrings_equal_brute_force(spark, room, most):
+    """Also with the sketch joined, and so small that nearly every window is estimated repeated."""
     r = random.Random(1)
     base = [text(r, r.randrange(10, 300)) for _ in range(40)]
     docs = base + [base[2]] * 5 + [f"{text(r, 30)}\n{base[7]}\t{text(r, 5)}" for _ in range(10)] + ["la " * 500, "la " * 300, "", None, "é x"]
     docs = dict(enumerate(docs))
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring.dedup_substrings(df, bits=bits).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring.dedup_substrings(df, room=room, most=most).collect()}
     assert got == brute_removed(docs, 50)
-    sha = {r.doc_id: r.kept_sha256 for r in substring.dedup_substrings(df, bits=16, digests=True).collect()}
+    sha = {r.doc_id: r.kept_sha256 for r in substring.dedup_substrings(df, digests=True).collect()}
     assert sha == {i: hashlib.sha256(x[2].encode()).hexdigest() for i, x in got.items()}
 
 
 def test_substring_odd_tables(spark):
     long = "w " * 60
     df = spark.createDataFrame([(1, long, "a", 1, "b", 2, "c"), (None, long, "a", 1, "b", 2, "c"), (2, long, None, None, None, None, None), (2, "x", "a", 1, "b", 2, "c"), (3, None, "a", 1, "b", 2, "c")], ODD)
-    out = substring.dedup_substrings(df, bits=16)
+    out = substring.dedup_substrings(df)
     assert out.columns == [*df.columns, "n_words", "n_removed"]
     assert sorted((str(r.doc_id), r.n_words, r.n_removed) for r in out.collect()) == [("1", 60, 0), ("2", 1, 0), ("2", 60, 60), ("3", 0, 0), ("None", 60, 0)]
-    assert substring.dedup_substrings(df.limit(0), bits=16).count() == 0
+    assert substring.dedup_substrings(df.limit(0)).count() == 0
 
 
 def test_hash_kernels():
