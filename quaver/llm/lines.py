@@ -1,8 +1,8 @@
 """Operator 2, line dedup by pairwise alignment: shared lines find overlapping documents.
 
 A line, or two that follow each other, pair each holder with the first one and with the one before,
-in however many documents they are unless a caller names a bound, so pairs grow with the lines and
-never with the square of a group. Each pair is aligned by patience diff over line
+in however many documents they are, so pairs grow with the lines and never with the square of a
+group. Each pair is aligned by patience diff over line
 hashes, and the common blocks are deleted from the document with the greater doc_id.
 """
 
@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaver.llm.common import cut, fresh, prepare, small
+from quaver.llm.common import beside, cut, fresh, prepare, small
 
-#: Documents that may hold a rare line; lines of fewer characters than SOLID are never evidence. The
-#: holders of a line in more than HOT documents are put in order by ranges.
-RARE, SOLID, HOT = 64, 20, 2048
+#: What a line is for this operator: one of fewer characters is no evidence that texts overlap, and goes
+#: only within a block that has a longer one. The same at every size of the table.
+SOLID = 20
+#: The holders of a line in more documents are put in order by ranges; the pairs are the same.
+HOT = 2048
 
 
 def rising(values: list[int]) -> list[int]:
@@ -104,15 +106,12 @@ def hashed_lines(docs: DataFrame, solid: int = SOLID) -> DataFrame:
     return own.select("doc_id", F.xxhash64("text").alias("th"), F.transform(trimmed, lambda x: F.when(x == "", F.lit(0).cast("long")).otherwise(odd(x))).alias("lines"))
 
 
-def overlapping(lines: DataFrame, rare: int | None = RARE, hot: int = HOT) -> DataFrame:
-    """Pairs (doc_id, other) of documents that share a solid line, other the smaller: each holder of
-    a line with the first one and, if at most ``rare`` hold it, with the one before. With None each
-    is paired with the one before, and the same for each two lines, one of them solid, that follow
-    each other, at once or after blank ones."""
-    evidence = F.filter("lines", lambda x: x.bitwiseAND(F.lit(1)) == 1)
-    if rare is None:
-        two = lambda c: F.filter(F.zip_with(c, F.slice(c, F.lit(2), F.greatest(F.size(c), F.lit(1))), lambda x, y: F.when(x.bitwiseOR(y).bitwiseAND(F.lit(1)) == 1, F.xxhash64(x, y))), lambda x: x.isNotNull())
-        evidence = F.concat(evidence, two(F.col("lines")), two(F.filter("lines", lambda x: x != 0)))
+def overlapping(lines: DataFrame, hot: int = HOT) -> DataFrame:
+    """Pairs (doc_id, other) of documents that share a solid line, or two lines, one of them solid,
+    that follow each other at once or after blank ones; other is the smaller: each holder with the
+    first one and with the one before."""
+    two = lambda c: F.filter(F.zip_with(c, F.slice(c, F.lit(2), F.greatest(F.size(c), F.lit(1))), lambda x, y: F.when(x.bitwiseOR(y).bitwiseAND(F.lit(1)) == 1, F.xxhash64(x, y))), lambda x: x.isNotNull())
+    evidence = F.concat(F.filter("lines", lambda x: x.bitwiseAND(F.lit(1)) == 1), two(F.col("lines")), two(F.filter("lines", lambda x: x != 0)))
     held = lines.select("doc_id", F.explode(F.array_distinct(evidence)).alias("line")).distinct()
     found = held.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     shared = cut(found.where("first < last"))
@@ -121,15 +120,13 @@ def overlapping(lines: DataFrame, rare: int | None = RARE, hot: int = HOT) -> Da
     part = F.floor((wide("doc_id") - wide("first")) / (wide("last") - wide("first") + 1) * F.ceil(F.col("n") / hot)).cast("int")
     holders = cut(held.join(small(shared, 56), "line").select("line", "doc_id", "first", "n", F.when(F.col("n") > hot, F.greatest(part, F.lit(0))).otherwise(0).alias("part"), (F.col("n") > hot).alias("hot")))
     star = holders.where("doc_id > first").select("doc_id", F.col("first").alias("other"))
-    if rare is not None:
-        holders = holders.where(F.col("n") <= rare)
     chain = holders.select("doc_id", F.lag("doc_id").over(Window.partitionBy("line", "part").orderBy("doc_id")).alias("other"))
     ends = holders.where("hot").groupBy("line", "part").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("end"))
     across = ends.select("doc_id", F.lag("end").over(Window.partitionBy("line").orderBy("part")).alias("other"))
     return star.union(chain.union(across).where("other is not null")).distinct()
 
 
-def dedup_lines(docs: DataFrame, rare: int | None = RARE, solid: int = SOLID, hot: int = HOT) -> DataFrame:
+def dedup_lines(docs: DataFrame, solid: int = SOLID, hot: int = HOT) -> DataFrame:
     """docs with the text less its deleted lines, and n_lines, n_removed long.
 
     Lines end at a line feed. Blocks are judged on the texts as they came. A null text stays null
@@ -140,15 +137,15 @@ def dedup_lines(docs: DataFrame, rare: int | None = RARE, solid: int = SOLID, ho
     prepare(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
     lines = cut(hashed_lines(docs, solid))
-    pairs = overlapping(lines, rare, hot)
-    both = pairs.join(lines, "doc_id").join(lines.select(F.col("doc_id").alias("other"), F.col("lines").alias("old")), "other")
+    pairs = cut(overlapping(lines, hot).select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
+    both = beside(pairs, lines, "doc_id").select("left.doc_id", "left.th", "left.lines", F.col("right.lines").alias("old"))
 
     def run(batches):
         for batch in batches:
             out = [common_blocks(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "th", "gone"])
 
-    aligned = both.select("doc_id", "th", "lines", "old").mapInArrow(run, "doc_id long, th long, gone array<int>")
+    aligned = both.mapInArrow(run, "doc_id long, th long, gone array<int>")
     spots = aligned.select("doc_id", "th", F.explode("gone").alias("at")).distinct()
     gone = cut(spots.groupBy("doc_id", "th").agg(F.collect_list("at").alias("gone")))
 
