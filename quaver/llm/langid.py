@@ -1,10 +1,11 @@
 """Operator 3, language identification by Bayesian evidence fusion.
 
-Four kinds of evidence are multiplied: the text's likelihood under byte-trigram models, the
-language that the markup declares, the suffix of the address, and a prior of the host. All tables
-are grouped aggregations: trigram counts over all labelled texts, and for declarations, suffixes
-and hosts the expected language counts under the text evidence alone. A host's prior is smoothed
-towards its domain's, that towards its suffix's, that towards the whole table's, so rare hosts
+Four kinds of evidence are fused: the text's likelihood under byte-trigram models, the language that
+the markup declares, and a prior of the host, which is smoothed towards its domain's, that towards its
+address suffix's, that towards the whole table's. All tables are grouped aggregations: trigram counts
+over all labelled texts, and for declarations, suffixes, domains and hosts the expected language counts
+under the text evidence alone. A row's own part is taken out of every count before it is used for that
+row, and the suffix enters once, through the hierarchy. Rare hosts
 borrow strength and frequent ones speak for themselves.
 """
 
@@ -23,7 +24,7 @@ from quaver.llm.textbuf import buffers
 BITS = 16
 #: Languages whose tables are in a worker's memory at a time; any number is scored, block by block.
 BLOCK = 64
-#: Trigrams of a text aren't independent: its log likelihood counts as that of at most ENOUGH.
+#: Trigrams of a text aren't independent: n of them count as n / (1 + (n - 1) / ENOUGH).
 ENOUGH = 60
 #: Pseudo-counts that a level of the host hierarchy, a declaration and a suffix get from above.
 LEAN, FLOOR = 5.0, 0.5
@@ -115,7 +116,7 @@ def _scored(rows: DataFrame, rest: list[str], text: str, shared, last: bool) ->
             for _, tri, doc, n in trigrams(batch.column(len(rest))):
                 score = np.stack([np.bincount(doc, weights=table[tri, k], minlength=n) for k in range(table.shape[1])], axis=1)
                 many = np.maximum(np.bincount(doc, minlength=n), 1)[:, None]
-                out.append(score / many * np.minimum(many, ENOUGH))
+                out.append(score / (1 + (many - 1) / ENOUGH))
             all_ = np.concatenate([np.zeros((0, table.shape[1])), *out])
             if more and len(all_):
                 all_ = np.concatenate([batch.column(len(rest) + 1).flatten().to_numpy(zero_copy_only=False).reshape(len(all_), -1), all_], axis=1)
@@ -138,16 +139,17 @@ def logs(a: Column) -> Column:
     return F.transform(a, lambda x: F.log(x))
 
 
-def expected(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """keys and ``sums``: the text posteriors of their rows added up, by language (n of them)."""
+def expected(rows: DataFrame, keys: list[str], n: int, name: str) -> DataFrame:
+    """keys, the text posteriors of their rows added up by language (n of them) as ``name``, and the
+    number of rows as ``name``_n."""
     parts = [F.sum(F.get("post", k)).alias(f"s{k}") for k in range(n)]
-    return rows.groupBy(*keys).agg(*parts).select(*keys, F.array(*[f"s{k}" for k in range(n)]).alias("sums"))
+    rows = rows.where(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}_n"), *parts)
+    return rows.select(*keys, F.array(*[f"s{k}" for k in range(n)]).alias(name), f"{name}_n")
 
 
-def smoothed(own: Column, above: Column, lean: float = LEAN) -> Column:
-    """Shares of the counts ``own`` after ``lean`` pseudo-counts in the shares ``above``."""
-    total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x) + F.lit(lean)
-    return F.zip_with(own, above, lambda x, y: (x + F.lit(lean) * y) / total)
+def smoothed(own: Column, n: Column, above: Column, lean: float = LEAN) -> Column:
+    """Shares of the counts ``own`` (n in all) after ``lean`` pseudo-counts in the shares ``above``."""
+    return F.zip_with(own, above, lambda x, y: (x + F.lit(lean) * y) / (n + F.lit(lean)))
 
 
 def address(url: Column) -> list[Column]:
@@ -182,33 +184,26 @@ def fuse(rows: DataFrame, langs: list[str], columns: list[str]) -> DataFrame:
         none = F.lit(None).cast("string")
         return rows.select(*columns, none.alias("lang"), F.lit(0.0).alias("confidence"), none.alias("text_lang"))
     rows = cut(rows.withColumn("post", softmax(F.col("loglik"))))
-    even = [1.0 / n] * n
-    whole = rows.agg(*[F.sum(F.get("post", k)).alias(f"s{k}") for k in range(n)]).first()
-    sums = [float(x or 0.0) for x in whole]
-    share = [(x + LEAN * e) / (sum(sums) + LEAN) for x, e in zip(sums, even, strict=True)]
-    top = F.array(*[F.lit(x) for x in share])
-
-    known = lambda c: rows.where(F.col(c).isNotNull())
-    by_suffix = cut(expected(known("suffix"), ["suffix"], n))
-    by_domain = expected(known("domain"), ["suffix", "domain"], n)
-    by_host = expected(known("host"), ["suffix", "domain", "host"], n)
-    suffixes = by_suffix.select("suffix", smoothed(F.col("sums"), top).alias("above"))
-    domains = by_domain.join(suffixes, "suffix").select("domain", smoothed(F.col("sums"), F.col("above")).alias("above"))
-    hosts = by_host.join(domains, "domain").select("host", logs(smoothed(F.col("sums"), F.col("above"))).alias("host_log"))
-    # P(declared | language) and P(suffix | language): expected counts over each language's total.
-    given = lambda: F.array(*[F.lit(x + FLOOR) for x in sums])
-    likely = lambda c: F.transform(F.zip_with(F.col(c), given(), lambda x, y: (x + F.lit(FLOOR)) / y), lambda x: F.log(x))
-    declared = expected(known("declared"), ["declared"], n).select("declared", likely("sums").alias("declared_log"))
-    suffix_log = by_suffix.select("suffix", likely("sums").alias("suffix_log"))
-
-    size = 48 + 8 * n
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.get("post", k)).alias(f"s{k}") for k in range(n)], F.count("declared").alias("declared_n"), *[F.sum(F.when(F.col("declared").isNotNull(), F.get("post", k))).alias(f"d{k}") for k in range(n)]).first()
+    numbers = lambda c: F.array(*[F.lit(float(whole[f"{c}{k}"] or 0.0)) for k in range(n)])
+
+    levels = [("suffix", ["suffix"]), ("domain", ["suffix", "domain"]), ("host", ["suffix", "domain", "host"])]
+    said = cut(expected(rows, ["declared"], n, "declared_sums"))
+    kinds = said.count()
     out = rows
-    for side, key in ((hosts, "host"), (declared, "declared"), (suffix_log, "suffix")):
-        out = out.join(small(cut(side), size), key, "left")
+    for name, keys in levels:
+        out = out.join(small(cut(expected(rows, keys, n, f"{name}_sums").drop(*keys[:-1])), 64 + 8 * n), name, "left")
+    out = out.join(small(said, 64 + 8 * n), "declared", "left")
+
     zero = F.array(*[F.lit(0.0)] * n)
-    total = F.col("loglik")
-    for c, other in (("host_log", logs(top)), ("declared_log", zero), ("suffix_log", zero)):
-        total = added(total, F.coalesce(F.col(c), other))
+    less = lambda sums: F.zip_with(F.coalesce(sums, zero), "post", lambda x, y: F.greatest(x - y, F.lit(0.0)))
+    out = out.withColumn("prior", smoothed(less(numbers("s")), F.lit(float(whole.n - 1)), F.array(*[F.lit(1.0 / n)] * n)))
+    for name, _ in levels:  # without a key there is no row to take out, and the prior stays
+        more = smoothed(less(F.col(f"{name}_sums")), F.col(f"{name}_sums_n") - 1.0, F.col("prior"))
+        out = out.withColumn("prior", F.when(F.col(f"{name}_sums").isNull(), F.col("prior")).otherwise(more))
+    # P(declared | language): shares of the declared values within each language.
+    given = F.zip_with(less(F.col("declared_sums")), less(numbers("d")), lambda x, y: F.log((x + F.lit(FLOOR)) / (y + F.lit(FLOOR * max(kinds, 1)))))
+    total = added(added(F.col("loglik"), logs(F.col("prior"))), F.when(F.col("declared_sums").isNotNull(), given).otherwise(zero))
     names = F.array(*[F.lit(x) for x in langs])
     out = out.withColumn("fused", softmax(total))
     best = lambda c: F.get(names, (F.array_position(F.col(c), F.array_max(c)) - 1).cast("int"))
