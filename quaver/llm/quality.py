@@ -209,8 +209,10 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Ordinal:
     rated = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = F.broadcast(cut(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)))  # at most ``sample`` rows
 
-    # A doc_id may be repeated; the bound of the driver holds for the rows too.
-    rated = cut(docs.select("doc_id", "text").join(chosen, "doc_id").select("grade", "text"))
+    # Of the texts of a repeated doc_id one is taken, the same however the rows are spread.
+    own = docs.select("doc_id", "text").join(chosen, "doc_id")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text")
+    rated = cut(own.groupBy("doc_id").agg(F.first("grade").alias("grade"), one).select("grade", "text"))
     marks = marks_of(rated)
 
     def run(batches):
@@ -218,7 +220,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Ordinal:
             rows = [r.astype(np.float16).tobytes() for _, x in features(batch.column(1), marks) for r in x]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["grade", "x"])
 
-    rows = rated.mapInArrow(run, "grade int, x binary").limit(2 * sample).collect()
+    rows = rated.mapInArrow(run, "grade int, x binary").collect()  # at most ``sample``
     rows.sort(key=lambda r: (r.grade, bytes(r.x)))
     x = np.empty((len(rows), WIDTH + len(marks)), np.float32)
     for k, r in enumerate(rows):
