@@ -25,7 +25,8 @@ from quaver.llm.wordbpe import encoder
 SEQUENCE = 4096
 END = 1
 CLASSES = 64
-SALTS = 128
+#: Pieces of one length that are ranked together; a length of more is dealt out.
+RANKED = 100_000
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, with_ids: bool = False) -> DataFrame:
@@ -231,15 +232,19 @@ def slots(templates, spark) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame(rows, columns=names, dtype="int64"), ", ".join(f"{c} long" for c in names))
 
 
-def assign(pieces: DataFrame, size: int = SEQUENCE, salts: int = SALTS) -> DataFrame:
+def assign(pieces: DataFrame, size: int = SEQUENCE, ranked: int = RANKED) -> DataFrame:
     """pieces with sequence_id and offset long: no sequence over ``size``, gapless from 0.
 
     pieces has doc_id, piece, length (1 .. size) and may have more columns. Repeated rows are
     separate pieces; an empty table gives no rows.
     """
-    pieces = cut(pieces.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")))
+    pieces = cut(pieces)
+    lengths = cut(pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n_")))  # at most ``size`` rows
+    histogram = {r.length: r.n_ for r in lengths.collect()}
+    parts = lengths.select("length", F.ceil(F.col("n_") / ranked).alias("parts_"))
+    salt = F.pmod(F.xxhash64("doc_id", "piece", *[c for c in ("ids_crc32",) if c in pieces.columns]), F.col("parts_")).cast("int")
+    pieces = pieces.join(F.broadcast(parts), "length").withColumn("salt_", salt).drop("parts_")
     counts = cut(pieces.groupBy("length", "salt_").agg(F.count(F.lit(1)).alias("n_")))
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n_").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("salt_").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("length", "salt_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("from_"))
     order = Window.partitionBy("length", "salt_").orderBy("doc_id", "piece", *[c for c in ("ids_crc32",) if c in pieces.columns])
