@@ -26,11 +26,12 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id long, url string, record_type string, refers_to long, payload_digest string, file string, offset long, length long"
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
+def record_id(place: str) -> str:
+    """An id of the archive and the offset that a record is written at: unique, also of repeated rows."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, place)}>"
 
 
-def record(page_id: int | None, url: str | None, kind: str, refers_to: int | None, digest: str, payload: bytes) -> bytes:
+def record(place: str, page_id: int | None, url: str | None, kind: str, refers_to: int | None, digest: str, payload: bytes) -> bytes:
     """One record; a revisit has no payload."""
     body = payload if kind == "response" else b""
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + body
@@ -38,18 +39,30 @@ def record(page_id: int | None, url: str | None, kind: str, refers_to: int | Non
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(page_id, digest)}",
+        f"WARC-Record-ID: {record_id(place)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Page-Id: {'' if page_id is None else page_id}",
     ]
     if kind == "revisit":
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-Id: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def info_record(name: str) -> bytes:
+    """The record that each archive begins with."""
+    block = b"format: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(name)}", f"WARC-Date: {DATE}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def member(whole: bytes) -> bytes:
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return packer.compress(whole) + packer.flush()
+
+
 def parse(whole: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields of a record (lower-case names) and its payload."""
     head, _, rest = whole.partition(b"\r\n\r\n")
@@ -68,17 +81,19 @@ def record_kinds(pages: DataFrame) -> DataFrame:
     """
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     own = own.withColumn("payload_digest", F.sha2("payload", 256))
-    long_enough = own.where(F.octet_length("payload") >= LEAST_REVISIT).select("page_id", "payload_digest")
+    long_enough = own.where((F.octet_length("payload") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "payload_digest")
     firsts = long_enough.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
     shared = cut(firsts.where("first < last").select("payload_digest", "first"))
-    again = F.coalesce(F.col("page_id") > F.col("first"), F.lit(False))
-    return own.join(small(shared, 96), "payload_digest", "left").select(
+    # Pages that revisit, by their ids: where they are too many to broadcast, pages meet them by id, not
+    # all copies of one payload in one place.
+    again = cut(long_enough.join(small(shared, 96), "payload_digest").where("page_id > first").distinct())
+    return own.join(small(again, 112), ["page_id", "payload_digest"], "left").select(
         "page_id",
         "url",
         "payload",
         "payload_digest",
-        F.when(again, "revisit").otherwise("response").alias("record_type"),
-        F.when(again, F.col("first")).alias("refers_to"),
+        F.when(F.col("first").isNotNull(), "revisit").otherwise("response").alias("record_type"),
+        F.col("first").alias("refers_to"),
     )
 
 
@@ -109,14 +124,15 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
                         if out is not None:
                             out.close()
                             nth += 1
-                        out, offset = fs.open_output_stream(f"{root}/{stem}-{nth}.warc.gz", compression=None), 0
-                    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    member = packer.compress(record(page, url, kind, to, digest, payloads[k].as_py().encode())) + packer.flush()
-                    out.write(member)
-                    files.append(f"{stem}-{nth}.warc.gz")
+                        name = f"{stem}-{nth}.warc.gz"
+                        out = fs.open_output_stream(f"{root}/{name}", compression=None)
+                        offset = out.write(member(info_record(f"{folder}/{name}")))
+                    own = member(record(f"{folder}/{name}#{offset}", page, url, kind, to, digest, payloads[k].as_py().encode()))
+                    out.write(own)
+                    files.append(name)
                     offsets.append(offset)
-                    lengths.append(len(member))
-                    offset += len(member)
+                    lengths.append(len(own))
+                    offset += len(own)
                 where = [pa.array(files, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())]
                 yield pa.RecordBatch.from_arrays([ids, urls, kinds, refers, digests, *where], ["page_id", "url", "record_type", "refers_to", "payload_digest", "file", "offset", "length"])
         finally:

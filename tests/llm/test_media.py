@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +50,29 @@ def test_archives(spark, tmp_path):
     index = warc.write_archives(df, f"file://{tmp_path}/v")
     one = warc.read_records(index.where("page_id = 7")).collect()
     assert [bytes(r.payload).decode() for r in one] == ["é" * 60]
+    import gzip
+
+    ids = []
+    for file in {r.file for r in index.collect()}:
+        whole = gzip.decompress(open(file.removeprefix("file://"), "rb").read())
+        assert whole.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+        ids += re.findall(rb"WARC-Record-ID: (\S+)", whole)
+    assert len(ids) == len(set(ids)) > len(pages)
     assert warc.archived(df.limit(0)).count() == 0
 
 
+def test_large_archives(spark, tmp_path, monkeypatch):
+    """Payloads beyond a byte range, archives that roll over, and many selected at once."""
+    monkeypatch.setattr(warc, "ROLL", 300_000)
+    r = random.Random(4)
+    html = {k: "".join(r.choice("abcdefgh<> ") for _ in range(40_000)) for k in range(30)} | {99: "x" + "".join(map(str, range(1_500_000)))}
+    df = spark.createDataFrame(list(html.items()), "page_id long, html string").withColumn("url", F.lit("u")).repartition(2)
+    index = warc.write_archives(df, f"file://{tmp_path}/w")
+    assert index.select("file").distinct().count() > 2
+    got = {x.page_id: bytes(x.payload).decode() for x in warc.read_records(index.where("page_id % 3 = 0")).collect()}
+    assert got == {k: v for k, v in html.items() if k % 3 == 0}
+
+
 def test_ranges():
     assert list(warc.ranges([(0, 10), (10, 5), (10**6, 7)])) == [(0, 15, [0, 1]), (10**6, 10**6 + 7, [2])]
     assert list(warc.ranges([])) == []
