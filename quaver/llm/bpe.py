@@ -11,7 +11,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm.common import cut, prepare, shared_dir
+from quaver.llm.common import cut, light, prepare, shared_dir
 from quaver.llm.lexicon import compile_lexicon
 from quaver.llm.wordbpe import WordBpe, encoder
 
@@ -29,6 +29,7 @@ def word_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFram
     """
     prepare(docs.sparkSession)
 
+    @light
     def tallies(batches):
         tally: dict[bytes, int] = {}
 
@@ -91,6 +92,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon: str | None = None, text: st
     schema = docs.select("*").schema.add("ids", "binary").add("decoded", "binary")
     at = docs.columns.index(text)
 
+    @light
     def run(batches):
         for batch in batches:
             coder = encoder(tokenizer, SparkFiles.get(lexicon) if lexicon else None)
@@ -115,6 +117,7 @@ def digests(docs: DataFrame, tokenizer: str, lexicon: str | None = None, text: s
     docs = docs.select(*rest, text)
     schema = docs.select(*rest).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
+    @light
     def run(batches):
         for batch in batches:
             coder = encoder(tokenizer, SparkFiles.get(lexicon) if lexicon else None)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+#: Fixed value: glibc's name for the size from which blocks are mapped each by itself.
+M_MMAP_THRESHOLD = -3
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,6 +44,26 @@ def prepare(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def light(run):
+    """run for ``mapInArrow``, in a worker that gives memory back: large arrays as they are freed, the rest
+    at the end of a task. Workers live through many stages, and what one stage took at most would
+    stay with them through all others."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        from pyarrow import default_memory_pool
+
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):  # glibc: no growing threshold, so that arrays of a MB are always returned
+            libc.mallopt(M_MMAP_THRESHOLD, 1 << 20)
+        yield from run(batches)
+        default_memory_pool().release_unused()
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share (Spark's checkpoint folder)."""
     prepare(spark)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaver.functions.arrays import let
-from quaver.llm.common import cut, prepare, small
+from quaver.llm.common import cut, light, prepare, small
 from quaver.llm.textbuf import buffers
 
 BITS = 16
@@ -57,6 +57,7 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
             at = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(count[at], pa.int64())], ["lang", "feature", "n"])
 
+    @light
     def run(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -109,6 +110,7 @@ def _scored(rows: DataFrame, rest: list[str], text: str, shared, last: bool) ->
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema) + ", loglik array<double>"
     schema = schema.removeprefix(", ")
 
+    @light
     def run(batches):
         table = shared.value
         for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaver.llm.common import beside, cut, fresh, prepare, small
+from quaver.llm.common import beside, cut, fresh, light, prepare, small
 
 #: What a line is for this operator: one of fewer characters is no evidence that texts overlap, and goes
 #: only within a block that has a longer one. The same at every size of the table.
@@ -140,6 +140,7 @@ def dedup_lines(docs: DataFrame, solid: int = SOLID, hot: int = HOT) -> DataFram
     pairs = cut(overlapping(lines, hot).select(F.col("doc_id").alias("a"), F.col("other").alias("b")))
     both = beside(pairs, lines, "doc_id").select("left.doc_id", "left.th", "left.lines", F.col("right.lines").alias("old"))
 
+    @light
     def run(batches):
         for batch in batches:
             out = [common_blocks(a, b) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -158,6 +159,7 @@ def dedup_lines(docs: DataFrame, solid: int = SOLID, hot: int = HOT) -> DataFram
     names = docs.columns
     schema = docs.select("*").schema.add("n_lines", "long").add("n_removed", "long")
 
+    @light
     def cut_out(batches):
         for batch in batches:
             texts, spots_ = batch.column(at), batch.column(spot_at)

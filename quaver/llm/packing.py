@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaver.llm.common import cut, prepare, small
+from quaver.llm.common import cut, light, prepare, small
 from quaver.llm.wordbpe import encoder
 
 SEQUENCE = 4096
@@ -41,6 +41,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, with_ids
     schema = schema.add("ids", "binary") if with_ids else schema
     end = np.array([END], "<u4").tobytes()
 
+    @light
     def run(batches):
         for batch in batches:
             row, piece, length, crc, kept = [], [], [], [], []

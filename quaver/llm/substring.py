@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaver.llm.common import cut, fresh, prepare, small
+from quaver.llm.common import cut, fresh, light, prepare, small
 from quaver.llm.textbuf import buffers, grams, mix, slices, sliding_min
 from quaver.llm.wordbpe import ragged
 
@@ -84,6 +84,7 @@ def sketch(docs: DataFrame, span: int, blocks: int) -> DataFrame:
     """block int, bits binary: a bit for each counter that reaches two in the sum of all partitions'
     sketches. Blocks without one are left out."""
 
+    @light
     def own(batches):
         held, n = [], 0
         for batch in batches:
@@ -97,6 +98,7 @@ def sketch(docs: DataFrame, span: int, blocks: int) -> DataFrame:
         if n:
             yield counted(held, blocks)
 
+    @light
     def merged(batches):
         counts, now = np.zeros(SHARD << BLOCK_BITS, np.uint8), None
         for batch in batches:
@@ -137,6 +139,7 @@ def sparse_runs(docs: DataFrame, span: int, blocks: int, reached: DataFrame) ->
     """doc_id, th, keys: the minimisers of each text all of whose counters reach two, found by a join
     with the sketch."""
 
+    @light
     def run(batches):
         for batch in batches:
             for words in slices(batch.column(2)):
@@ -208,6 +211,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, room: int = ROOM, most: in
                 few[own == d] = np.isin(least[new][own == d], keys)
         return few[np.cumsum(new) - 1]
 
+    @light
     def repeated(batches):
         held: list[tuple] = []
         n = 0
@@ -240,6 +244,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, room: int = ROOM, most: in
     return runs.union(later.select("doc_id", "th", F.array(F.lit(-1)), F.array(F.lit(1))))
 
 
+@light
 def as_runs(batches):
     """Places of each document, in any order, as runs of neighbours."""
     for batch in batches:
@@ -306,6 +311,7 @@ def dedup_substrings(docs: DataFrame, span: int = SPAN, digests: bool = False, r
     schema = docs.select(*kept_names).schema.add("n_words", "long").add("n_removed", "long")
     schema = schema.add(last, "string") if digests else schema
 
+    @light
     def run(batches):
         for batch in batches:
             data, offsets = buffers(batch.column(at))

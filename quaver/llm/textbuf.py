@@ -1,6 +1,6 @@
 """Whole Arrow string columns as word and window hashes, with numpy over the raw UTF-8 buffers.
 
-Runs inside Spark's Arrow tasks. Texts are taken in slices of about a MB, so memory follows the
+Runs inside Spark's Arrow tasks. Texts are taken in slices of about half a MB, so memory follows the
 longest single text rather than the batch. Words are runs of anything but the bytes 0x20 and
 0x09-0x0D, which never occur inside a multi-byte character.
 """
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Bytes of a word that are taken as they are, eight to a lane; longer words give their digest instead.
 LANES = 4
 IS_WORD = np.ones(256, bool)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaver.llm.common import cut, fresh, prepare, shared_dir, small
+from quaver.llm.common import cut, fresh, light, prepare, shared_dir, small
 
 LEAST_REVISIT = 100
 #: A byte range spans gaps up to GAP and is at most about RANGE long; archives roll over at ROLL.
@@ -107,6 +107,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     prepare(spark)
     folder = folder or f"{shared_dir(spark).rstrip('/')}/archives-{uuid.uuid4().hex}"
 
+    @light
     def run(batches):
         from pyarrow.fs import FileSystem
 
@@ -169,6 +170,7 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     schema = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads
     names = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", *["payload"] * payloads]
 
+    @light
     def run(batches):
         from itertools import groupby
 

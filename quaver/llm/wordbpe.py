@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 from quaver.llm.textbuf import LANES, buffers, folded, lanes, mix
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Words kept in the table before it starts anew; bounds a worker's memory at about 100 MB.
 TABLE_WORDS = 600_000
 NONE = np.int32(2**31 - 1)
