@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaver.llm.common import cut, prepare
+from quaver.llm.common import cut, light, prepare
 from quaver.llm.textbuf import Words, buffers
 
 TRIGRAMS, WORDS, MORE = 2048, 2048, 3
@@ -42,8 +42,8 @@ def runs(texts: pa.Array):
     data, offsets = buffers(texts)
     i, n = 0, len(texts)
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20), "right")) - 1)
-        j = min(j, i + 512)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 18), "right")) - 1)
+        j = min(j, i + 128)  # rows of features are wide
         yield i, texts.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
 
@@ -93,6 +93,7 @@ def marks_of(rated: DataFrame) -> np.ndarray:
     if len(levels) < 2:
         return np.zeros(0, np.int64)
 
+    @light
     def run(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -215,18 +216,23 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Ordinal:
     rated = cut(own.groupBy("doc_id").agg(F.first("grade").alias("grade"), one).select("grade", "text"))
     marks = marks_of(rated)
 
+    @light
     def run(batches):
         for batch in batches:
             rows = [r.astype(np.float16).tobytes() for _, x in features(batch.column(1), marks) for r in x]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["grade", "x"])
 
-    rows = rated.mapInArrow(run, "grade int, x binary").collect()  # at most ``sample``
-    rows.sort(key=lambda r: (r.grade, bytes(r.x)))
-    x = np.empty((len(rows), WIDTH + len(marks)), np.float32)
-    for k, r in enumerate(rows):
-        x[k] = np.frombuffer(r.x, np.float16)
-    grades = np.array([r.grade for r in rows], np.int64)
-    rows.clear()
+    # The order of the rows is that of their hashes, so that sums are the same on any partitioning; they
+    # come a partition at a time into the one array that is fitted.
+    rows = cut(rated.mapInArrow(run, "grade int, x binary").withColumn("key", F.xxhash64("x")))
+    places: dict[tuple, list[int]] = {}
+    for k, r in enumerate(sorted(rows.select("grade", "key").collect())):  # at most ``sample``
+        places.setdefault((r.grade, r.key), []).append(k)
+    n = sum(map(len, places.values()))
+    x, grades = np.empty((n, WIDTH + len(marks)), np.float32), np.empty(n, np.int64)
+    for r in rows.toLocalIterator():
+        k = places[r.grade, r.key].pop()
+        x[k], grades[k] = np.frombuffer(r.x, np.float16), r.grade
     model = fit(x, grades)
     model.marks = marks
     return model
@@ -246,6 +252,7 @@ def grade_documents(docs: DataFrame, model: Ordinal, least: int = 1) -> DataFram
     at, names = docs.columns.index("text"), docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("expected_grade", T.DoubleType()), T.StructField("p_tail", T.ArrayType(T.DoubleType())), T.StructField("keep", T.BooleanType())])
 
+    @light
     def run(batches):
         for batch in batches:
             model = shared.value
