@@ -81,6 +81,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fewer(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """df in no more partitions than its counted rows need: rounds over a small table aren't hundreds of
+    tasks each because the table that it came from had as many files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
     """A broadcast hint if df, which should be cheap to count, is within the bounds above."""
     return F.broadcast(df) if df.count() <= min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes) else df
@@ -120,6 +126,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     state = now.agg(F.count(F.lit(1)), total).first()
+    now = fewer(now, state[0])
     while True:
         # Large star: each larger neighbour of u moves to u's smallest neighbour (or u itself).
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -131,6 +138,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         moved = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, now = now, cut(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
         last, state = state, now.agg(F.count(F.lit(1)), total).first()
+        now = fewer(now, state[0])
         if state == last and now.join(before, ["u", "v"], "left_anti").isEmpty():
             break
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
