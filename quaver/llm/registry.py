@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.llm.common import table
+from quaver.llm.common import shared_dir, table
 
 
 def tokenizer_file() -> str:
@@ -80,6 +82,28 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaver.llm.middle import fill_in_middle, restored
+
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = F.sha2(restored(F.col("output"), F.col("form")), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), back.alias("restored_sha256"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By a cache of its own, empty at first: all distinct texts are encoded."""
+    from quaver.llm.tokencount import count_tokens
+
+    cache = f"{shared_dir(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(), cache)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaver.llm.audit import failures, interactions
+
+    return interactions(failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +117,9 @@ QUERIES = {
         op8_quality_classifier,
         op9_bpe,
         op10_fingerprints,
+        op11_fill_in_middle,
+        op12_token_counts,
+        op13_filter_audit,
     )
 }
 
@@ -127,5 +154,63 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
 FROM least
+""",
+    "op11_fill_in_middle": r"""
+WITH own AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), cut AS (
+  SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+    ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM own
+), told AS (
+  SELECT *, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+      WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM cut
+), parts AS (
+  SELECT *, array_to_string(w[1:a], '') AS p, array_to_string(w[a + 1:b], '') AS m, array_to_string(w[b + 1:], '') AS s FROM told
+)
+SELECT doc_id, len(w)::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+""",
+    "op13_filter_audit": r"""
+WITH own AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), worded AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM own
+), rated AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, list_filter([
+    CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+    CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t) THEN 'C' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > first THEN 'E' END], lambda x: x IS NOT NULL) AS f
+  FROM worded LEFT JOIN rated USING (doc_id)
+), cells AS (
+  SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, f
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+  SELECT filter_order, unnest(range(1, 6))::INT AS step FROM orders
+), played AS (
+  SELECT part, filter_order, step, filter_order[step] AS filter, n, good, toxic, f,
+    list_contains(f, filter_order[step]) AS fails, list_has_any(f, string_split(filter_order[1:step - 1], '')) AS before
+  FROM cells, steps
+), counted AS (
+  SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (NOT fails AND NOT before), 0) AS kept,
+    coalesce(sum(n) FILTER (fails AND NOT before), 0) AS removed, coalesce(sum(n) FILTER (fails AND before), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails AND len(f) = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (fails AND NOT before), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT before), 0) AS toxic_lost
+  FROM played GROUP BY ALL
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM counted
 """,
 }
