@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaver.functions.timecode import half_up
+from quaver.operators.rank import medians
 from quaver.operators.scan import along, scanned, segmenter
 
 
@@ -17,18 +20,21 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def upper_median(values: Column) -> Column:
-    """The middle of the sorted values, the upper one of two."""
-    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
+def with_medians(groups: DataFrame, gaps: DataFrame, by: list[str], gap: str) -> DataFrame:
+    """groups with ``median``, the upper median of each group's distances, null where it has none."""
+    found = medians(gaps, by, gap).select(*[F.col(c).alias(f"{c}_key_") for c in by], F.col(gap).alias("median"))
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}_key_")) for c in by])
+    return groups.join(found, on, "left").drop(*[f"{c}_key_" for c in by])
 
 
 def bpm_of_ticks(ticks: DataFrame) -> DataFrame:
     """Per song: bpm by the upper median of tick distances, and by their mean; 0 for one tick.
 
-    ticks has song_id, ordinal, t in milliseconds. Both are within 20 and 300.
+    ticks has song_id, ordinal, t in milliseconds. Both are within 20 and 300. Distances are neither gathered
+    nor sorted, however many a song has (``rank``).
     """
     gaps = ticks.withColumn("gap", F.col("t") - F.lag("t").over(in_ticks()))
-    out = gaps.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"), upper_median(F.collect_list("gap")).alias("median"), F.avg("gap").alias("mean"))
+    out = with_medians(gaps.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean")), gaps, ["song_id"], "gap")
     rate = lambda c: F.when(F.col("n") < 2, 0.0).otherwise(clamp(F.when(F.col(c) > 0, half_up(F.lit(60000.0) / F.col(c)).cast("double")).otherwise(300.0), 20.0, 300.0))
     return out.select("song_id", "n", rate("median").alias("bpm_median"), rate("mean").alias("bpm_mean"))
 
@@ -72,7 +78,8 @@ def change_segments(ticks: DataFrame, window: int = 8, threshold: float = 0.15)
     rows = ticks.join(found, ["song_id", "ordinal"], "left").withColumn("part_", F.coalesce(F.sum("new_").over(in_ticks()), F.lit(0)))
     inside = Window.partitionBy("song_id", "part_").orderBy("t", "ordinal")
     rows = rows.withColumn("gap_", (F.col("t") - F.lag("t").over(inside)).cast("double"))
-    parts = rows.groupBy("song_id", "part_").agg(F.count(F.lit(1)).alias("n"), upper_median(F.collect_list("gap_")).alias("median"), F.avg("gap_").alias("mean"), F.min("t").alias("t"))
+    parts = rows.groupBy("song_id", "part_").agg(F.count(F.lit(1)).alias("n"), F.avg("gap_").alias("mean"), F.min("t").alias("t"))
+    parts = with_medians(parts, rows, ["song_id", "part_"], "gap_")
     whole = Window.partitionBy("song_id")
     parts = parts.withColumn("few_", F.sum("n").over(whole) < 2 * window)
     gap = F.when(F.col("few_"), F.col("mean")).otherwise(F.col("median"))

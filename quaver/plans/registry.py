@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaver.plans import texts, timing, words
+from quaver.plans import signals, texts, timing, words
 
-QUERIES = texts.QUERIES | timing.QUERIES | words.QUERIES
-SQL = texts.SQL | timing.SQL | words.SQL
+QUERIES = texts.QUERIES | timing.QUERIES | words.QUERIES | signals.QUERIES
+SQL = texts.SQL | timing.SQL | words.SQL | signals.SQL
