@@ -1,12 +1,13 @@
-"""Queries on signals in blocks: a label's embeddings, by vec_id, are one song, 64 samples a block."""
+"""Queries on signals in blocks (a label's embeddings, by vec_id, are one song, 64 samples a block) and on taps."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaver.operators import blocks, rank, tempo
-from quaver.plans.common import table
+from quaver.operators import blocks, rank, tempo, timeline
+from quaver.plans.common import SQL_BEATS, kinded, table
+from quaver.streaming import taps
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -119,3 +120,26 @@ def block_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
     loudest = F.array_max(F.transform("samples", lambda x: F.abs(x)))
     return rows.select("song_id", "first", F.size("samples").cast("long").alias("n"), F.round(total, 6).alias("total"), F.round(loudest, 6).alias("loudest"))
+
+
+# --- taps ----------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {SQL_BEATS}, words AS (
+  SELECT song_id, row_number() OVER w - 1 AS word_idx, kind, place, lag(kind) OVER w AS k1, lag(kind, 2) OVER w AS k2, lead(kind) OVER w AS r1, lead(kind, 2) OVER w AS r2
+  FROM kinded WINDOW w AS (PARTITION BY song_id ORDER BY place, ordinal)
+), sung AS (
+  SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY word_idx) - 1 AS beat_idx, floor(place // 1000000 + 2.5 + 0.5)::BIGINT AS t FROM words WHERE kind = 'sung'
+), timed AS (SELECT *, lag(t) OVER (PARTITION BY song_id ORDER BY word_idx) AS before FROM sung)
+SELECT song_id, beat_idx AS ordinal, 'beat' AS what, word_idx, 0::INT AS syl_idx, beat_idx, t FROM timed
+UNION ALL SELECT song_id, beat_idx, 'separator', word_idx - 1, 0, NULL, (before + t) // 2 FROM timed WHERE k1 = 'space' AND k2 = 'sung'
+UNION ALL SELECT song_id, beat_idx, 'pending', word_idx + 2, 0, beat_idx + 1, NULL FROM timed WHERE r1 = 'space' AND r2 = 'sung'"""
+)
+def tap_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Songs without times, tapped through: the tap stream over a table."""
+    rows = kinded(spark, sf_dir)
+    words = taps.words_of_beats(rows, F.col("kind"), F.lit(None), ["at", "ordinal"])
+    beat = timeline.numbered_beats(rows, ["at", "ordinal"], F.col("kind") == "sung")
+    presses = beat.select("song_id", F.col("beat_idx").cast("long").alias("ordinal"), F.floor(F.col("at") / 1_000_000).cast("double").alias("t"), F.lit(2.5).alias("compensation"), F.lit("tap").alias("action"), F.lit(None).cast("long").alias("beat"))
+    return taps.tap_stream(presses, words)

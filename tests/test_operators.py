@@ -6,7 +6,6 @@ from quaver.functions import word as W
 from quaver.operators import edit, history, lookup, signal, timeline, words
 from quaver.operators import tempo as rates
 from quaver.sources import files, lyrics, projects
-from quaver.streaming.taps import tap_stream, timed_beats
 
 
 def rows_of(df, *order):
@@ -197,19 +196,3 @@ def test_files(spark):
     sound = files.write_wav(spark.createDataFrame([(1, [0.5, -0.5])], "song_id long, samples array<float>"), 8000)
     assert tuple(files.probe_wav(sound).first()) == (1, 1, 8000, 32, 2)
     assert files.probe_wav(bad).first().channels is None
-
-
-def test_taps(spark, tmp_path):
-    import pandas as pd
-
-    part = pd.DataFrame({"song_id": [1, 1, 1], "ordinal": [0, 1, 2], "t": [10, 20, 30], "compensation": [0.5, 0, 0], "already_set": [False, True, False]})
-    out, cursor = timed_beats(part, 4)
-    assert out[["beat_idx", "t"]].values.tolist() == [[4, 11], [6, 30]] and cursor == 7
-    back, cursor = timed_beats(part.assign(action=["tap", "clear", "clear"]), 4)
-    assert back["beat_idx"].tolist() == [4, 5] and back["t"].isna().tolist() == [False, True] and cursor == 3
-    schema = "song_id long, ordinal long, t long, compensation double, already_set boolean"
-    spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = tap_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    run = stream.writeStream.format("memory").queryName("taps").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    assert rows_of(spark.table("taps").select("beat_idx", "t"), "beat_idx") == [(0, 11), (2, 30)]
