@@ -35,40 +35,6 @@ def shown(w) -> F.Column:
 # --- single words -------------------------------------------------------------------------------
 
 
-@query(
-    """SELECT * FROM (VALUES ('cleared', '恋|こ@1000,い@|r|'), ('kept', '恋2|こ@1000,い@1200|r|'), ('moved', '恋|こ@1000,い@900|r|'), ('plain', 'xy|xy@5|||a'), ('read', '恋|こ@1000,く@1200|r|'),
-  ('reset', '恋|恋@||a'), ('reset_word', '恋|こ@,い@|r|'), ('saved', '恋|あ@1000,い@1200,う@|r|'), ('saved_less', '恋|あ@1000|r|'), ('separator', ' | @||a'), ('set', '恋|こ@7,い@1200|r|'),
-  ('shifted', '恋|こ@0,い@100|r|'), ('syllable_from_zero', 'a|a@10||a'), ('syllable_unset', 'a|a@||a'), ('none', 'a|a@||a')) v(op, word)""".replace("|||a", "||a")
-)
-def word_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = lambda x: F.lit(x).cast("bigint")
-    s = F.lit
-    ruby = W.with_syllables(s("恋"), F.array(W.syllable(s("こ"), n(1000)), W.syllable(s("い"), n(1200))), True, False)
-    a = W.word(s("a"))
-    ops = {
-        "plain": W.retexted(W.word(s("x"), n(5)), s("xy")), "kept": W.retexted(ruby, s("恋2")), "separator": W.retexted(W.space(), s("z")), "read": W.reread(ruby, s(1), s("く")), "set": W.timed(ruby, s(0), n(7)),
-        "cleared": W.timed(ruby, s(1), None), "moved": W.syllable_shifted(ruby, s(1), n(-300)), "syllable_unset": W.syllable_shifted(a, s(0), n(10)), "syllable_from_zero": W.syllable_shifted(a, s(0), n(10), True),
-        "shifted": W.word_shifted(ruby, n(-1100)), "reset_word": W.word_reset(ruby), "saved": W.ruby_saved(ruby, F.array(s("あ"), s("い"), s("う"))), "saved_less": W.ruby_saved(ruby, F.array(s("あ"))),
-        "reset": W.ruby_reset(ruby), "none": W.with_syllables(s("a"), F.array().cast("array<struct<reading:string,t:bigint>>"), True, False),
-    }
-    rows = F.array(*[F.struct(s(k).alias("op"), shown(w).alias("word")) for k, w in ops.items()])
-    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
-
-
-@query(
-    """SELECT * FROM (VALUES ('a', 100, 1, TRUE, FALSE, 'a', '', 100), ('恋', 1000, 2, FALSE, FALSE, '恋', 'こい', 1000), (' ', NULL, 1, FALSE, TRUE, '␣', '', 0), (chr(10), NULL, 1, FALSE, TRUE, '¶', '', 0))
-  v(reading, start_t, n_syllables, fully_set, fully_unset, glyph, caption, seek)""".replace("NULL, 1", "NULL::BIGINT, 1")
-)
-def word_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = lambda x: F.lit(x).cast("bigint")
-    ruby = W.with_syllables(F.lit("恋"), F.array(W.syllable(F.lit("こ"), n(1000)), W.syllable(F.lit("い"))), True, False)
-    rows = spark.range(1).select(F.explode(F.array(W.word(F.lit("a"), n(100)), ruby, W.space(), W.newline())).alias("w"))
-    w = F.col("w")
-    return rows.select(
-        "w.reading", W.start_time(w).alias("start_t"), W.n_syllables(w).alias("n_syllables"), W.fully_set(w).alias("fully_set"), W.fully_unset(w).alias("fully_unset"), W.glyph(w["reading"]).alias("glyph"), W.caption(w).alias("caption"), W.seek_target(W.start_time(w)).alias("seek")
-    )
-
-
 def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """song_id, word_idx, word: tokens with times; every fifth has a reading of its own."""
     own = words.from_text(songs(spark, sf_dir)).withColumn("t", F.when(F.col("word_idx") % 3 != 2, F.col("word_idx").cast("bigint") * 100))
@@ -107,28 +73,16 @@ def words_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {SQL_TOKENS}, lined AS (
-  SELECT *, coalesce(sum((reading = chr(10))::INT) OVER (PARTITION BY song_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM words WHERE song_id % 10 = 0
+  SELECT *, coalesce(sum((reading = chr(10))::INT) OVER (PARTITION BY song_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM words
 )
 SELECT song_id, line::INT AS line, (row_number() OVER (PARTITION BY song_id, line ORDER BY word_idx) - 1)::INT AS item, word_idx, CASE reading WHEN ' ' THEN '…' WHEN chr(10) THEN '¶' ELSE reading END AS label,
   CASE WHEN word_idx % 3 = 2 THEN '0:00.000' ELSE lpad((word_idx * 100 // 60000)::VARCHAR, 2, '0') || ':' || lpad((word_idx * 100 % 60000 // 1000)::VARCHAR, 2, '0') || '.' || lpad((word_idx * 100 % 1000)::VARCHAR, 3, '0') END AS time_text
 FROM lined"""
 )
 def word_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cards of one song in ten: a page of the editor shows one song, the table all of these."""
-    return timeline.cards(_plain(spark, sf_dir).where("song_id % 10 = 0")).select("song_id", "line", "item", "word_idx", "label", "time_text")
-
-
-_TOKENS = [("食べ物", "タベモノ"), ("恋", "コイ"), ("お茶", "オチャ"), ("カラオケ", "カラオケ"), ("見る", "x"), ("きょう", "キョウ"), ("思い出", "オモイデ"), ("は", "ワ"), ("hello", None), ("カ月", "カゲツ")]
-_UNITS = """('食べ物', '食=た|べ=|物=も,の'), ('恋', '恋=こ,い'), ('お茶', 'お=|茶=ちゃ'), ('カラオケ', 'カ=か|ラ=ら|オ=お|ケ=け'), ('見る', '見=x'), ('きょう', 'きょ=|う='),
-  ('思い出', '思=お,も|い=|出=で'), ('は', 'は=わ'), ('hello', 'h=|e=|l=|l=|o='), ('カ月', 'カ=か|月=げ,つ')"""
-
+    return timeline.cards(_plain(spark, sf_dir)).select("song_id", "line", "item", "word_idx", "label", "time_text")
 
-@query(f"SELECT * FROM (VALUES {_UNITS}) v(surface, units)")
-def ruby_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quaver.functions.units import ruby_units as units
 
-    rows = spark.createDataFrame(_TOKENS, "surface string, reading string").select("surface", units(F.col("surface"), F.col("reading")).alias("u"))
-    return rows.select("surface", F.array_join(F.transform("u", lambda x: F.concat(x["surface"], F.lit("="), F.array_join(x["readings"], ","))), "|").alias("units"))
 
 
 @query(
@@ -191,43 +145,22 @@ def stamped_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("song_id", "n_words", "n_ruby", F.md5(F.array_join(F.transform("rows", lambda x: x["s"]), "/")).alias("words_md5"))
 
 
-_STAMPED = {
-    1: "[00:01:00]恋[00:01:50]が[00:02:00]\n\n@Title=T\n@SilenceMsec=250\n@mood=sad\n@Ruby1=恋,こ[00:00:20]い\n",
-    2: "[00:01:00]恋[00:02:00]恋[00:03:00]恋[00:04:00]恋[00:05:00]\n\n@Ruby1=恋,こ,,[00:02:00]\n@Ruby2=恋,れん,[00:02:00],[00:03:00]\n@Ruby3=恋,こ,[00:04:00]\n",
-    3: "[00:01:00]恋[00:02:00]a[00:03:00]\n\n@Ruby1=恋,こ\n",
-}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("({}, {})".format(k, " || chr(10) || ".join("'" + x + "'" for x in v.split("\n"))) for k, v in _STAMPED.items()) + ") v(song_id, text)")
-def stamped_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that are read and written again come out the same."""
-    rows = spark.createDataFrame(list(_STAMPED.items()), "song_id long, text string")
-    return lyrics.to_stamped(lyrics.stamped_lyrics(rows), lyrics.stamped_metadata(rows)).select(F.col("song_id").cast("int").alias("song_id"), "text")
-
-
-@query("SELECT doc_id AS song_id, 'T' || doc_id AS title, source AS artist, doc_id::VARCHAR AS \"offset\", lang AS mood, 4 AS n_keys FROM documents WHERE source <> '' AND lang <> ''")
+@query("SELECT doc_id AS song_id, 'T' || doc_id AS title, coalesce(trim(source), '') AS artist, doc_id::VARCHAR AS \"offset\", coalesce(trim(lang), '') AS mood, 4 AS n_keys FROM documents")
 def stamped_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = F.concat_ws("\n", F.lit("@Title=old\r"), F.concat(F.lit("@Title= T"), F.col("doc_id").cast("string")), F.concat(F.lit("@Artist="), "source"), F.concat(F.lit("@SilenceMsec="), F.col("doc_id").cast("string"), F.lit("ms")), F.concat(F.lit("@MOOD="), "lang"), F.lit("@Ruby1=a,b"), F.lit("@nothing"), F.lit("@SilenceMsec=x"))
-    rows = table(spark, sf_dir, "documents").where("source <> '' and lang <> ''").select(F.col("doc_id").alias("song_id"), lines.alias("text"))
+    lines = F.concat_ws("\n", F.lit("@Title=old\r"), F.concat(F.lit("@Title= T"), F.col("doc_id").cast("string")), F.concat(F.lit("@Artist="), F.coalesce("source", F.lit(""))), F.concat(F.lit("@SilenceMsec="), F.col("doc_id").cast("string"), F.lit("ms")), F.concat(F.lit("@MOOD="), F.coalesce("lang", F.lit(""))), F.lit("@Ruby1=a,b"), F.lit("@nothing"), F.lit("@SilenceMsec=x"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("song_id"), lines.alias("text"))
     m = F.col("metadata")
     return lyrics.stamped_metadata(rows).select("song_id", m["title"].alias("title"), m["artist"].alias("artist"), m["offset"].alias("offset"), m["mood"].alias("mood"), F.size(m).alias("n_keys"))
 
 
 @query(
-    """SELECT * FROM (VALUES (1, 1, '恋', 0, NULL, 'こ|い', '0|200'), (1, 2, 'b', 1000, 2000, 'x', '0'), (1, 10, 'c', 0, 3500, 'y|z|w', '0|0|100')) v(song_id, idx, base, valid_from, valid_to, texts, offsets)""".replace("NULL", "NULL::BIGINT")
-)
-def ruby_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = "@Ruby1=恋,こ[00:00:20]い\n@Ruby2= b , x ,[00:01:00],[00:02:00]\n@ruby3=q,q\n@Ruby10=c,y[0:0:0]z[00:00:10]w,,[00:03:50]\n@Ruby11=,x\n@Ruby12=d"
-    out = lyrics.ruby_rules(spark.createDataFrame([(1, text)], "song_id int, text string"))
-    return out.select("song_id", "idx", "base", "valid_from", "valid_to", F.array_join("texts", "|").alias("texts"), F.array_join(F.transform("offsets_ms", lambda x: x.cast("string")), "|").alias("offsets"))
-
-
-@query(
-    """SELECT doc_id AS song_id, '[ti:T' || doc_id || ']' || chr(10) || '[ar:' || source || ']' || chr(10) || '[offset:5]' || chr(10) || '[mood:' || lang || ']' || chr(10) || '[00:01.00]a b' || chr(10) AS text
-  FROM documents WHERE source <> '' AND lang <> ''"""
+    """SELECT doc_id AS song_id, '[ti:T' || doc_id || ']' || chr(10) || CASE WHEN source <> '' THEN '[ar:' || source || ']' || chr(10) ELSE '' END || '[offset:5]' || chr(10)
+  || CASE WHEN lang <> '' THEN '[mood:' || lang || ']' || chr(10) ELSE '' END || '[00:01.00]a b' || chr(10) AS text FROM documents"""
 )
 def lrc_with_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").where("source <> '' and lang <> ''")
+    own = table(spark, sf_dir, "documents").fillna("", ["source", "lang"])
     meta = F.create_map(F.lit("mood"), "lang", F.lit("title"), F.concat(F.lit("T"), F.col("doc_id").cast("string")), F.lit("album"), F.lit(""), F.lit("offset"), F.lit("5"), F.lit("artist"), "source")
     line = F.array(*[F.struct(F.lit(r).alias("reading"), F.lit(t).cast("bigint").alias("t")) for r, t in (("a", 1000), (" ", 1200), ("b", 1500), ("\n", 2000))])
     rows = own.select(F.col("doc_id").alias("song_id"), F.posexplode(line).alias("word_idx", "w")).select("song_id", "word_idx", "w.*")
@@ -346,12 +279,6 @@ def words_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.word_at(own, places)
 
 
-@query("""SELECT * FROM (VALUES ('恋', TRUE, FALSE), ('カラ', FALSE, TRUE), ('ヶ', FALSE, FALSE), ('食べ', TRUE, FALSE), ('abc', FALSE, FALSE), ('ー', FALSE, TRUE)) v(s, kanji, kana)""")
-def scripts_told(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("恋", "カラ", "ヶ", "食べ", "abc", "ー")], "s string")
-    return rows.select("s", T.has_kanji(F.col("s")).alias("kanji"), T.is_kana(F.col("s")).alias("kana"))
-
-
 @query(
     f"""WITH {SQL_TOKENS}, own AS (SELECT *, CASE WHEN word_idx % 3 <> 2 THEN word_idx * 100 END AS t FROM words), c AS (
   SELECT song_id, word_idx, CASE word_idx % 8 WHEN 1 THEN ' ' WHEN 2 THEN chr(10) ELSE reading END AS reading, CASE WHEN word_idx % 8 NOT IN (1, 2) THEN t END AS t FROM own
@@ -383,22 +310,16 @@ def words_tabbed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id AS song_id, 'title=|artist=' || source || '|album=|timer=|lyricist=|offset=|mood=' || lang AS entries, 'new' || doc_id AS title, 3::INT AS n_keys FROM documents WHERE source <> '' AND lang <> ''"""
+    """SELECT doc_id AS song_id, 'title=|artist=' || coalesce(source, '') || '|album=|timer=|lyricist=|offset=|mood=' || coalesce(lang, '') AS entries, 'new' || doc_id AS title, 3::INT AS n_keys FROM documents"""
 )
 def metadata_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = F.create_map(F.lit("mood"), "lang", F.lit("artist"), "source")
-    rows = table(spark, sf_dir, "documents").where("source <> '' and lang <> ''").select(F.col("doc_id").alias("song_id"), meta.alias("m"))
+    rows = table(spark, sf_dir, "documents").fillna("", ["source", "lang"]).select(F.col("doc_id").alias("song_id"), meta.alias("m"))
     entries = F.array_join(F.transform(edit.metadata_entries(F.col("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
     after = edit.with_metadata(F.col("m"), F.lit("title"), F.concat(F.lit("new"), F.col("song_id").cast("string")))
     return rows.select("song_id", entries.alias("entries"), after["title"].alias("title"), F.size(after).alias("n_keys"))
 
 
-@query("""SELECT * FROM (VALUES ('bpm', ' 120.5x', 120.5), ('bpm', '-1', NULL), ('bpm', 'x', NULL), ('new', '0', 0), ('time', '1:02.5', 62500), ('time', 'abc', NULL), ('time', '-0:01', NULL), ('time', '250', 250)) v(kind, raw, value)""".replace("120.5)", "120.5::DOUBLE)"))
-def tempo_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("bpm", " 120.5x"), ("bpm", "-1"), ("bpm", "x"), ("new", "0"), ("time", "1:02.5"), ("time", "abc"), ("time", "-0:01"), ("time", "250")]
-    return spark.createDataFrame(rows, "kind string, raw string").withColumn("value", edit.tempo_form(F.col("kind"), F.col("raw")))
-
-
 @query(
     """SELECT doc_id, c AS code, coalesce(CASE c WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' WHEN 'yue' THEN 'Cantonese' WHEN 'ht' THEN 'Haitian Creole' WHEN 'la' THEN 'Latin' END, c) AS name,
   CASE c WHEN 'fr' THEN 'français' WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' WHEN 'yue' THEN 'Cantonese' WHEN 'ht' THEN 'Haitian Creole' WHEN 'la' THEN 'Latin' ELSE c END AS localized, coalesce(c, '') NOT IN ('zz', '') AS known
