@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import count
+from math import inf
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 
 def asof_tempo(points: DataFrame, tempo: DataFrame, fallback: bool = False) -> DataFrame:
@@ -58,19 +66,88 @@ def nearest(points: DataFrame, tempo: DataFrame) -> DataFrame:
     return out.select("song_id", "ordinal", "t", pick.alias("seg_idx"))
 
 
-def ruby_for(words: DataFrame, ruby: DataFrame) -> DataFrame:
+#: Parts that the words of a rule's base text are dealt to, where songs have rules of their own and where all share them.
+SONG_PARTS, ALL_PARTS = 4, 64
+
+
+def rule_spans(rules: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, start, nth, rule: from when on which rule holds for a base text (null: none), by one sweep; of
+    spans that begin together the one with the greatest nth counts.
+
+    Of rules that hold at a time that with the lowest idx does: rules are met in the order of their beginnings, and
+    a heap has those that hold, lowest idx on top; one that has ended leaves it when it gets there. At
+    most two spans a rule. A rule without a beginning, or that ends before it, never holds.
+    """
+    own = rules.where("valid_from is not null and (valid_to is null or valid_to > valid_from)")
+    own = own.select(*keys, "valid_from", "valid_to", "idx", F.struct("idx", "texts", "offsets_ms").alias("rule"))
+    schema = own.select(*keys).schema.add("start", "long").add("nth", "long").add("rule", own.schema["rule"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heap: list[tuple] = []
+        out: list[dict] = []
+        nth = count()
+
+        def span(key: tuple, start: float, rule: dict | None) -> None:
+            out.append({**dict(zip(keys, key, strict=True)), "start": int(start), "nth": next(nth), "rule": rule})
+
+        def until(key: tuple, now: float) -> None:
+            """The changes by rules that end up to a moment."""
+            while heap and heap[0][1] <= now and heap[0][1] < inf:
+                end = heap[0][1]
+                while heap and heap[0][1] <= end:
+                    heappop(heap)
+                span(key, end, heap[0][3] if heap else None)
+
+        key, n = None, 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                now = tuple(row[c] for c in keys)
+                if now != key and key is not None:
+                    until(key, inf)
+                    heap.clear()
+                key = now
+                # A rule that ends just now has ended.
+                until(key, row["valid_from"])
+                entry = (row["idx"], row["valid_to"] if row["valid_to"] is not None else inf, n, row["rule"])
+                n += 1
+                if not heap or entry[0] < heap[0][0]:
+                    span(key, row["valid_from"], row["rule"])
+                heappush(heap, entry)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+            out.clear()
+        if key is not None:
+            until(key, inf)
+        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    arrow = to_arrow_schema(schema)
+    order = own.repartition(*keys).sortWithinPartitions(*keys, "valid_from", "idx")
+    return order.mapInArrow(run, schema)
+
+
+def ruby_for(words: DataFrame, ruby: DataFrame, parts: int | None = None) -> DataFrame:
     """words with texts and offsets_ms of the first ruby rule (by idx) of their reading that is
     valid at t: valid_from <= t < valid_to, an open end being null.
 
-    The rules of a base text are one row, so a word meets one row and no range is joined; repeated
-    words stay apart.
+    A sweep over the rules alone makes spans that don't overlap (``rule_spans``), and a word takes the last
+    span that begins by its time: one union and one sort, whatever the number of rules. The words of a base text are dealt
+    to ``parts`` tasks, each with its spans. Repeated words stay apart.
     """
-    rule = F.struct("idx", "valid_from", "valid_to", "texts", "offsets_ms")
     song = ["song_id"] if "song_id" in ruby.columns else []
-    rules = ruby.groupBy(*song, F.col("base").alias("reading")).agg(F.array_sort(F.collect_list(rule)).alias("rules_"))
-    holds = lambda r: (r["valid_from"] <= F.col("t")) & (r["valid_to"].isNull() | (F.col("t") < r["valid_to"]))
-    out = words.join(rules, [*song, "reading"], "left").withColumn("rule_", F.get(F.filter("rules_", holds), 0))
-    return out.select(*words.columns, F.col("rule_.texts").alias("texts"), F.col("rule_.offsets_ms").alias("offsets_ms"))
+    n = parts or (SONG_PARTS if song else ALL_PARTS)
+    spans = rule_spans(ruby.withColumnRenamed("base", "reading"), [*song, "reading"])
+    own = words.select(*[F.col(c).alias(f"{c}_word_") for c in words.columns])
+    named = own.select(
+        *[F.col(f"{c}_word_").alias(c) for c in (*song, "reading")],
+        F.col("t_word_").cast("double").alias("at_"), F.pmod(F.xxhash64("t_word_", *([] if song else ["song_id_word_"] if "song_id" in words.columns else [])), F.lit(n)).alias("deal_"),
+        F.lit((1 << 63) - 1).alias("order_"), F.struct(*own.columns).alias("own_"), F.lit(None).cast(StructType([StructField("rule", spans.schema["rule"].dataType)])).alias("span_"),
+    )
+    held = spans.select(
+        *song, "reading", F.col("start").cast("double").alias("at_"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("deal_"),
+        F.col("nth").alias("order_"), F.lit(None).cast(named.schema["own_"].dataType).alias("own_"), F.struct("rule").alias("span_"),
+    )
+    group = Window.partitionBy(*song, "reading", "deal_").orderBy("at_", "order_").rowsBetween(Window.unboundedPreceding, 0)
+    out = named.unionByName(held).withColumn("span_", F.last("span_", ignorenulls=True).over(group)).where("own_ is not null")
+    return out.select(*[F.col(f"own_.{c}_word_").alias(c) for c in words.columns], F.col("span_.rule.texts").alias("texts"), F.col("span_.rule.offsets_ms").alias("offsets_ms"))
 
 
 def owner_of_chars(words: DataFrame, char_times: DataFrame) -> DataFrame:
@@ -87,8 +164,14 @@ def owner_of_chars(words: DataFrame, char_times: DataFrame) -> DataFrame:
 
 
 def cached_stems(audio: DataFrame, cache: DataFrame, tolerance: float = 0.25) -> DataFrame:
-    """audio (stem, duration) with the cache rows of the same stem and nearly the same duration."""
-    both = audio.alias("a").join(cache.alias("c"), F.col("a.stem") == F.col("c.stem"))
+    """audio (stem, duration; as ``a``) with the cache rows (as ``c``) of the same stem and nearly the same duration.
+
+    Durations lie in bands as wide as the tolerance, so that a row's matches are in its own band or in one of
+    the two beside it: a join by stem and band, as large as the rows and what nearly matches.
+    """
+    band = F.floor(F.col("duration") / tolerance)
+    own = audio.withColumn("band_", F.explode(F.array(band - 1, band, band + 1))).alias("a")
+    both = own.join(cache.withColumn("band_", band).alias("c"), (F.col("a.stem") == F.col("c.stem")) & (F.col("a.band_") == F.col("c.band_")))
     return both.where(F.abs(F.col("a.duration") - F.col("c.duration")) < tolerance)
 
 

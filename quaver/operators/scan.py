@@ -40,7 +40,7 @@ def scanned(rows: DataFrame, order: list[str], columns: list[str], step: Callabl
         if state is not None:
             yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in close(state)], schema=arrow)
 
-    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
     arrow = pa.schema([(x.split()[0], types[x.split()[1]]) for x in schema.split(",")])
     return own.repartition("song_id").sortWithinPartitions("song_id", *order).mapInArrow(run, schema)
 

@@ -357,7 +357,7 @@ def ruby_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = spark.createDataFrame(rules, "idx int, base string, valid_from long, valid_to long")
     side = side.withColumn("texts", F.array(F.concat("base", F.col("idx").cast("string")))).withColumn("offsets_ms", F.array(F.lit(0)))
     words = beats(spark, sf_dir).select("song_id", "ordinal", F.col("event_type").alias("reading"), "t")
-    out = lookup.ruby_for(words, F.broadcast(side))  # four rules
+    out = lookup.ruby_for(words, side)
     return out.select("ordinal", F.get("texts", 0).alias("texts"), F.col("texts").isNotNull().alias("found"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from quaver.functions.timecode import trimmed
 from quaver.sources import lyrics as L
 
 PROJECT = "version string, createdAt string, updatedAt string, userPassword string"
+SAVED = "song_id long, project string, lyrics string, timing string"
 RESULT = "ok boolean, error string, vocals string, instru string, charTimes map<string,double>, segments array<struct<start:double,end:double,text:string>>"
 
 
@@ -21,15 +26,106 @@ def stamped(projects: DataFrame, version: str, now: str, password: str | None =
     return projects.withColumn("project", F.to_json(new))
 
 
-def save(projects: DataFrame, folder: str, version: str, now: str, password: str | None = None) -> None:
-    """Writes projects to a folder, which is replaced; to save as another is to name another folder."""
-    stamped(projects, version, now, password).select("song_id", "project", "lyrics", "timing").write.mode("overwrite").parquet(folder)
-
-
-def open_projects(spark: SparkSession, folder: str, password: str | None = None) -> DataFrame:
-    """song_id, project, words, metadata, timing, error of saved projects. One whose password isn't the
-    given one has the error ``bad_password`` and nothing else."""
-    rows = spark.read.parquet(folder).withColumn("info", F.from_json("project", PROJECT))
+class _Store:
+    """The manifests of a folder: ``manifests/N.json`` names the parts, oldest first, that the folder consists of
+    since its N-th commit. A manifest appears whole or not at all, and none is ever replaced."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.jvm, self.folder = spark.sparkContext._jvm, folder.rstrip("/")
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self.path("").getFileSystem(self.conf)
+
+    def path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    def numbers(self) -> list[int]:
+        place = self.path("manifests")
+        if not self.fs.exists(place):
+            return []
+        names = [x.getPath().getName() for x in self.fs.listStatus(place)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+
+    def parts(self, number: int) -> list[str]:
+        if not number:
+            return []
+        stream = self.fs.open(self.path(f"manifests/{number}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())["parts"]
+        finally:
+            stream.close()
+
+    def create(self, number: int, parts: list[str]) -> bool:
+        """Makes the number-th manifest; False if another writer has made it."""
+        draft = self.path(f"manifests/.{uuid.uuid4().hex}")
+        stream = self.fs.create(draft, False)
+        stream.write(json.dumps({"parts": parts}).encode())
+        stream.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
+        options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            context.rename(self.fs.makeQualified(draft), self.fs.makeQualified(self.path(f"manifests/{number}.json")), options)
+        except Exception as e:
+            self.fs.delete(draft, False)
+            if "FileAlreadyExistsException" not in str(e):
+                raise
+            return False
+        return True
+
+    def commit(self, change) -> int:
+        """The number of the new manifest: change(parts) of the newest one, whoever else commits meanwhile."""
+        while True:
+            last = (self.numbers() or [0])[-1]
+            if self.create(last + 1, change(self.parts(last))):
+                return last + 1
+
+
+def save(projects: DataFrame, folder: str, version: str, now: str, password: str | None = None, replace: bool = False) -> int:
+    """Writes projects into a folder, which needn't exist, and returns the number of this commit.
+
+    Songs that aren't among them stay as they were; with ``replace`` they go. The rows may come from the folder
+    itself: files are only ever added, and count once a manifest names them, so a save that fails or is
+    killed changes nothing. Of two savers at a time both count, the later one for songs of both.
+    To save as another is to name another folder.
+    """
+    spark = projects.sparkSession
+    part = uuid.uuid4().hex
+    stamped(projects, version, now, password).select("song_id", "project", "lyrics", "timing").write.parquet(f"{folder.rstrip('/')}/parts/{part}")
+    return _Store(spark, folder).commit(lambda parts: [part] if replace else [*parts, part])
+
+
+def saved(spark: SparkSession, folder: str, number: int | None = None) -> DataFrame:
+    """song_id, project, lyrics, timing (JSON texts) of a folder's projects, now or since its commit ``number``: each
+    song's rows of the last part that has it."""
+    store = _Store(spark, folder)
+    known = store.numbers()
+    if not known or (number is not None and number not in known):
+        raise FileNotFoundError(f"no such project version in {folder}")
+    return _rows(spark, folder, store.parts(known[-1] if number is None else number))
+
+
+def _rows(spark: SparkSession, folder: str, parts: list[str]) -> DataFrame:
+    each = [spark.read.schema(SAVED).parquet(f"{folder.rstrip('/')}/parts/{p}").withColumn("part_", F.lit(k)) for k, p in enumerate(parts)]
+    if len(each) < 2:
+        return each[0].drop("part_") if each else spark.createDataFrame([], SAVED)
+    rows = reduce(DataFrame.unionByName, each)
+    # Which part has a song last is told by two narrow columns.
+    last = rows.groupBy("song_id").agg(F.max("part_").alias("last_")).withColumnRenamed("song_id", "key_")
+    return rows.join(last, F.col("song_id").eqNullSafe(F.col("key_")) & (F.col("part_") == F.col("last_")), "left_semi").drop("part_")
+
+
+def compact(spark: SparkSession, folder: str) -> int:
+    """One part in place of all, for folders of many saves; what is saved meanwhile stays, and so do older versions."""
+    store = _Store(spark, folder)
+    parts = store.parts((store.numbers() or [0])[-1])
+    whole = uuid.uuid4().hex
+    _rows(spark, folder, parts).write.parquet(f"{folder.rstrip('/')}/parts/{whole}")
+    return store.commit(lambda now: [whole, *(p for p in now if p not in parts)])
+
+
+def open_projects(spark: SparkSession, folder: str, password: str | None = None, number: int | None = None) -> DataFrame:
+    """song_id, project, words, metadata, timing, error of saved projects, now or since a commit. One whose
+    password isn't the given one has the error ``bad_password`` and nothing else."""
+    rows = saved(spark, folder, number).withColumn("info", F.from_json("project", PROJECT))
     locked = F.coalesce(F.col("info.userPassword"), F.lit("")) != F.lit(password or "")
     bad = F.coalesce(F.col("info.userPassword"), F.lit("")).isNotNull() & (F.col("info.userPassword") != "") & locked
     bad = F.coalesce(bad, F.lit(False))
