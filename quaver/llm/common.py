@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import os
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,9 @@ BROADCAST_BYTES = 48_000_000
 #: it makes of it and the answer, the executor both as well, beside its heap.
 BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
+#: Whether shuffle files are removed at the end of an execution.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def prepare(spark: SparkSession) -> None:
     """Lets Python workers import this package, bounds their batches, and names a checkpoint folder
@@ -75,10 +80,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What runs inside has its shuffle files removed as it ends, and not only when the driver's memory is tidied.
+    For DataFrames that are made inside; what was shuffled would be made again if one of them ran twice."""
+    before = spark.conf.get(SWEEP)
+    spark.conf.set(SWEEP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SWEEP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df from a reliable checkpoint: nothing upstream is computed again."""
     prepare(df.sparkSession)
-    return df.checkpoint()
+    with swept(df.sparkSession):
+        return df.select("*").checkpoint()
+
+
+def counted(df: DataFrame) -> int:
+    """The number of rows of df; its shuffle files go."""
+    with swept(df.sparkSession):
+        return df.count()
 
 
 def fewer(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
@@ -89,7 +113,7 @@ def fewer(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
 
 def small(df: DataFrame, row_bytes: int = 32) -> DataFrame:
     """A broadcast hint if df, which should be cheap to count, is within the bounds above."""
-    return F.broadcast(df) if df.count() <= min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes) else df
+    return F.broadcast(df) if counted(df) <= min(BROADCAST_ROWS, BROADCAST_BYTES // row_bytes) else df
 
 
 def beside(pairs: DataFrame, side: DataFrame, key: str, each: int = 4096) -> DataFrame:
@@ -125,7 +149,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct()
     )
     total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    state = now.agg(F.count(F.lit(1)), total).first()
+    with swept(edges.sparkSession):
+        state = now.agg(F.count(F.lit(1)), total).first()
     now = fewer(now, state[0])
     while True:
         # Large star: each larger neighbour of u moves to u's smallest neighbour (or u itself).
@@ -137,10 +162,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, now = now, cut(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
-        last, state = state, now.agg(F.count(F.lit(1)), total).first()
-        now = fewer(now, state[0])
-        if state == last and now.join(before, ["u", "v"], "left_anti").isEmpty():
-            break
+        with swept(edges.sparkSession):
+            last, state = state, now.agg(F.count(F.lit(1)), total).first()
+            now = fewer(now, state[0])
+            if state == last and now.join(before, ["u", "v"], "left_anti").isEmpty():
+                break
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 

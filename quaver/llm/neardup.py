@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaver.llm.common import beside, components, cut, fewer, fresh, light, prepare, small
+from quaver.llm.common import beside, components, counted, cut, fewer, fresh, light, prepare, small
 from quaver.llm.textbuf import grams, joined, mix, slices
 
 KMER, TABLES, PICK, SIMILAR = 5, 24, 4, 0.8
@@ -200,7 +200,7 @@ def led_pairs(members: DataFrame, single: DataFrame, known: DataFrame, similar:
         met = cut(members.join(buckets, "key").where("doc_id <> lead"))
         ends = met.where("root <> own").select(F.greatest("doc_id", "lead").alias("a"), F.least("doc_id", "lead").alias("b"))
         pairs = cut(ends.distinct())
-        n = pairs.count()
+        n = counted(pairs)
         if not n:
             return links
         pairs = fewer(pairs, n)
