@@ -11,11 +11,15 @@ borrow strength and frequent ones speak for themselves.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from quaver.functions.arrays import let
 from quaver.llm.common import cut, light, prepare, small
@@ -162,16 +166,55 @@ def address(url: Column) -> list[Column]:
     return [host.alias("host"), domain.alias("domain"), F.substring_index(host, ".", -1).alias("suffix")]
 
 
-def declared_language(html: Column) -> Column:
-    """The primary subtag of the html element's lang attribute, lower case; null without one."""
-    found = F.lower(F.regexp_extract(html, r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", 1))
-    return F.when(found != "", found)
+_I = re.IGNORECASE | re.ASCII
+_OPEN = re.compile(r"<(script|style)\b|<!--", _I)
+_CLOSE = {"script": re.compile(r"</script\s*>", _I), "style": re.compile(r"</style\s*>", _I), "": re.compile("-->")}
+_TAG, _ENTITY = re.compile(r"<[^>]*>"), re.compile(r"&(amp|lt|gt|quot|nbsp|#[0-9]+);")
+_HTML = re.compile(r"<html\b", _I)
+_LANG = re.compile(r"""\blang\s*=\s*["']?([a-z]{2,3})""", _I)
+
+
+def declared_language(html: str) -> str | None:
+    """The primary subtag of an html element's lang attribute, lower case; None without one. Linear: what
+    lies before a closing mark is looked through once, however many elements begin there."""
+    at = 0
+    while m := _HTML.search(html, at):
+        end = html.find(">", m.end())
+        end = len(html) if end < 0 else end
+        if found := _LANG.search(html, m.end(), end):
+            return found[1].lower()
+        at = end
+    return None
+
+
+def visible_text(html: str) -> str:
+    """Markup, scripts, styles and comments gone, the common entities undone. What isn't closed stays.
+
+    Linear in the page: a kind of element that was once found to be closed nowhere isn't looked for again, and
+    behind the last closing mark there is no tag."""
+    parts, kept, at, open_ended = [], 0, 0, set()
+    while m := _OPEN.search(html, at):
+        kind = (m[1] or "").lower()
+        end = None if kind in open_ended else _CLOSE[kind].search(html, m.end())
+        if end is None:
+            open_ended.add(kind)
+            at = m.start() + 1
+            continue
+        parts += [html[kept : m.start()], " "]
+        kept = at = end.end()
+    whole = "".join([*parts, html[kept:]])
+    last = whole.rfind(">") + 1
+    return _ENTITY.sub(" ", _TAG.sub(" ", whole[:last]) + whole[last:])
+
+
+def markup(html: Column) -> Column:
+    """A struct of ``declared`` and ``text`` of a page; a null page declares nothing and is empty."""
 
+    def run(pages: pd.Series) -> pd.DataFrame:
+        own = ["" if x is None else x for x in pages]
+        return pd.DataFrame({"declared": [declared_language(x) for x in own], "text": [visible_text(x) for x in own]})
 
-def visible_text(html: Column) -> Column:
-    """Markup, scripts, styles and comments gone, the common entities undone."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
-    return F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]*>", " "), r"&(amp|lt|gt|quot|nbsp|#\d+);", " ")
+    return pandas_udf(run, "declared string, text string")(html)
 
 
 def fuse(rows: DataFrame, langs: list[str], columns: list[str]) -> DataFrame:
@@ -216,7 +259,7 @@ def identify_pages(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     """page_id, lang, confidence, text_lang of pages (page_id, url, html), by models of labelled
     (lang, text); rows of labelled without a language or a text don't count."""
     langs, tables = train(labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()))
-    rows = pages.select("page_id", declared_language(F.col("html")).alias("declared"), *address(F.col("url")), visible_text(F.col("html")).alias("text"))
+    rows = pages.select("page_id", *address(F.col("url")), markup(F.col("html")).alias("own")).select("page_id", "own.declared", "host", "domain", "suffix", "own.text")
     return fuse(text_evidence(rows, (langs, tables)), langs, ["page_id"])
 
 
@@ -228,7 +271,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """
     langs, tables = train(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()))
     none = F.lit(None).cast("string")
-    page_rows = pages.select(F.col("page_id"), F.lit(None).cast("long").alias("doc_id"), declared_language(F.col("html")).alias("declared"), *address(F.col("url")), visible_text(F.col("html")).alias("text"))
+    page_rows = pages.select("page_id", *address(F.col("url")), markup(F.col("html")).alias("own"))
+    page_rows = page_rows.select("page_id", F.lit(None).cast("long").alias("doc_id"), "own.declared", "host", "domain", "suffix", "own.text")
     source = F.concat(F.lit("source:"), F.col("source"))
     doc_rows = docs.select(F.lit(None).cast("long").alias("page_id"), "doc_id", none.alias("declared"), source.alias("host"), source.alias("domain"), F.lit("source:").alias("suffix"), "text")
     both = text_evidence(page_rows.unionByName(doc_rows), (langs, tables))
