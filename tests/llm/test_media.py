@@ -217,3 +217,40 @@ def test_pipeline(spark):
         now = out
     ids = {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()}
     assert ids == after
+
+
+def textured(seed, h, w):
+    """A picture with detail at every scale."""
+    r = np.random.default_rng(seed)
+    out = np.zeros((h, w), np.float32)
+    for n in (8, 16, 32, 64, 128):
+        out += images.resized(r.normal(size=(n, n)).astype(np.float32), h, w) / n**0.5
+    return (out - out.min()) / (out.max() - out.min()) * 255
+
+
+def turned(x, degrees):
+    h, w = x.shape
+    ys, xs = np.mgrid[0:h, 0:w].astype(np.float32)
+    a = np.radians(degrees)
+    dy, dx = ys - h / 2, xs - w / 2
+    return images.bilinear(x, np.cos(a) * dy - np.sin(a) * dx + h / 2, np.sin(a) * dy + np.cos(a) * dx + w / 2)
+
+
+def test_pictures_larger_than_a_thumbnail(spark):
+    """Two megapixels: copies of other sizes, crops and turns are found, unrelated ones aren't, in bounded time."""
+    import time
+
+    one, two = textured(1, 1200, 1600), textured(2, 1200, 1600)
+    copies = [images.resized(one, 600, 800), images.resized(images.blur(one), 150, 200), one[200:1000, 300:1400], turned(one, 40)[200:1000, 300:1300], images.read_pgm(images.write_pgm(one * 0.8 + 20))]
+    made = [one, two, *copies]
+    described = images.corners_of_all(made)
+    assert max(map(len, described)) < 3000
+    began = time.process_time()
+    votes = [images.matched(described[0].tobytes(), x.tobytes()) for x in described[1:]]
+    assert time.process_time() - began < 15
+    assert votes[0] == 0 and min(votes[1:]) >= images.VOTES
+    df = spark.createDataFrame([(i, bytearray(images.write_pgm(x))) for i, x in enumerate(made)], "id long, image binary")
+    assert {r.id: r.class_id for r in images.image_copies(df).collect()} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0}
+    whole = {r.id: r.class_id for r in images.image_copies(df, few=100, meetings=1).collect()}
+    assert whole == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0}
+    assert images.reduced(np.zeros((3, 4000), np.float32)).shape == (1, 256) and images.reduced(one).shape == (192, 256)
