@@ -5,12 +5,10 @@ text (a text of one to four words is one k-mer). For each of ``TABLES`` orders a
 ``PICK`` smallest k-mers, in text order; texts with equal tuples share a bucket.
 
 1. All members of a bucket are compared with its smallest document.
-2. Where that leaves a bucket in parts, its members (and all texts of few k-mers) are joined exactly:
-   a similar text must share one of the rarest fifth of a text's k-mers, so texts of different parts
-   that share one of these are compared. No such pair is lost.
-3. Where more than ``CROWD`` texts share such a k-mer, comparing all with all would grow with the square of
-   the crowd. The members of open buckets therefore meet leaders again as well, in finer and finer buckets,
-   until none has two.
+2. Where that leaves a bucket in parts, its members (and all texts of few k-mers) are joined exactly: of a
+   pair, each text must have one of the k-mers that both share among the rarest few of its own, as few as
+   the similarity and both lengths allow, and what follows the last shared one of these must be enough. So
+   k-mers that a crowd of texts have meet only where they can decide, and no such pair is lost.
 
 A candidate pair is verified by aligning the two k-mer sequences within a band: the longest common
 subsequence over the size of the union must reach the similarity. Equal texts are settled
@@ -21,20 +19,21 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from functools import reduce
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaver.llm.common import beside, components, counted, cut, fewer, fresh, light, prepare, small
+from quaver.llm.common import beside, components, cut, fresh, light, prepare, small
 from quaver.llm.textbuf import grams, joined, mix, slices
 
 KMER, TABLES, PICK, SIMILAR = 5, 24, 4, 0.8
 #: Texts of fewer k-mers have too few for the tables; all of them take the second step.
 BRIEF = 10
-#: Texts that share a k-mer and are paired directly; those of larger crowds meet by leaders.
-CROWD = 16
+#: Classes of lengths within a similarity's span: a text is looked up among those that have a class's length.
+CLASSES = 4
 _rng = np.random.Generator(np.random.PCG64(77))
 SALT = _rng.integers(1, 2**63, TABLES, dtype=np.uint64)
 ODD = _rng.integers(1, 2**63, TABLES, dtype=np.uint64) | np.uint64(1)
@@ -164,57 +163,79 @@ def verified(pairs: DataFrame, known: DataFrame, similar: float) -> DataFrame:
 
 
 def prefixes(known: DataFrame, similar: float) -> DataFrame:
-    """doc_id, n, kmer: of each text the k-mers of which it must share one with any text that is
-    similar to it: all but ``similar`` * n of them, and one more, the rarest of the table first.
+    """doc_id, n, kmer, at: of each text the k-mers of which it must share one with any text that is
+    similar to it: all but ``similar`` * n of them, and one more, the rarest of the table first (at: from 1).
     Of these, those that no other text has are left out; many texts have no others."""
     own = known.select("doc_id", "which", "n", F.explode("kmers").alias("kmer"))
     held = own.groupBy("kmer").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     text = Window.partitionBy("doc_id", "which")
     ranked = own.join(held, "kmer").withColumn("nth", F.row_number().over(text.orderBy("f", "kmer"))).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(text))
-    most = F.col("n") - F.ceil(F.col("n") * F.lit(similar) - 1e-9) + 1
-    return ranked.where(F.col("nth") <= most - F.col("alone")).select("doc_id", "n", "kmer")
+    ranked = ranked.select("doc_id", "n", "kmer", (F.col("nth") + F.col("alone")).alias("at"))
+    return ranked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(similar) - 1e-9) + 1)
+
+
+#: Columns by which a list of texts is known: a k-mer and the classes of the two lengths.
+LIST = ["kmer", "low", "high"]
+
+
+def _enough(similar: float, n: Column, m: Column) -> Column:
+    """K-mers that two texts of n and m share at least if they are similar."""
+    return F.lit(similar / (1 + similar)) * (n + m) - 1e-6
+
+
+def listed(rows: DataFrame, similar: float) -> DataFrame:
+    """LIST, doc_id, n, at, under, over: a text's k-mers of ``prefixes`` (doc_id, n, kmer, at) by the length that
+    the other text of a pair has, as far as they count for that length; under and over: the text may be the shorter or
+    the longer one of that list."""
+    step = -log(similar) / CLASSES
+    own = rows.withColumn("class", F.floor(F.log("n") / step).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.col("class") - CLASSES - 1, F.col("class") + CLASSES + 1)))
+    least = F.greatest(F.exp(F.col("other") * step) * (1 - 1e-9), F.col("n") * similar)
+    own = own.where((least <= F.col("n") / similar + 1e-6) & (F.col("at") <= F.col("n") - _enough(similar, F.col("n"), least) + 1))
+    return own.select("kmer", F.least("class", "other").alias("low"), F.greatest("class", "other").alias("high"), "doc_id", "n", "at", (F.col("class") <= F.col("other")).alias("under"), (F.col("class") >= F.col("other")).alias("over"))
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    """rows (``listed`` and root) of the lists that have texts of two components, with ``most``, the one that has
+    most of the list's texts, and ``lead``, its smallest text there."""
+    parts = rows.groupBy(*LIST, "root").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("lead"))
+    lists = parts.groupBy(*LIST).agg(F.max(F.struct("m", "root", "lead")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    return cut(rows.join(small(cut(lists.select(*LIST, F.col("top.root").alias("most"), F.col("top.lead").alias("lead"))), 40), LIST))
+
+
+def _meet(one: DataFrame, two: DataFrame, similar: float) -> DataFrame:
+    """Rows of a list's texts side by side (_a and _b), where their k-mer can be the rarest that both share."""
+    side = lambda df, k: df.select(*LIST, *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c not in LIST])
+    both = side(one, "a").join(side(two, "b"), LIST).where("root_a <> root_b and ((under_a and over_b) or (over_a and under_b))")
+    both = both.where(F.least("n_a", "n_b") >= F.lit(similar) * F.greatest("n_a", "n_b") - 1e-9)
+    first = lambda k: F.col(f"at_{k}") <= F.col(f"n_{k}") - _enough(similar, F.col("n_a"), F.col("n_b")) + 1
+    return both.where(first("a") & first("b"))
+
+
+def lead_pairs(rows: DataFrame, similar: float) -> DataFrame:
+    """a, b: the texts of each list of rows (``in_parts``) with one text of the list's largest component."""
+    both = _meet(rows.where("root <> most"), rows.where("doc_id = lead"), similar)
+    return both.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b")).distinct()
 
 
 def rare_pairs(rows: DataFrame, similar: float) -> DataFrame:
-    """a, b: pairs of different components that share a row of ``rows`` (doc_id, n, kmer, root) and
-    whose lengths allow the similarity."""
-    one, two = (rows.select("kmer", *[F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "n", "root")]) for k in "ab")
-    fits = F.least("n_a", "n_b") >= F.lit(similar) * F.greatest("n_a", "n_b") - 1e-9
-    return one.join(two, "kmer").where("doc_id_a > doc_id_b and root_a <> root_b").where(fits).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
-
-
-def led_pairs(members: DataFrame, single: DataFrame, known: DataFrame, similar: float) -> list[DataFrame]:
-    """Links among the members (doc_id, root, table, key, failed) of buckets that a leader left in parts:
-    buckets are split by the key of another table, and in each all meet the smallest of those that no
-    leader was similar to; what fails meets again, until no bucket has two."""
-    links, step, used = [], 1, 0
-    keys = single.select("doc_id", "keys")
-    while True:
-        # Round r splits by r more tables: one at first, so that similar ones still meet, then faster.
-        more = [F.get("keys", F.pmod(F.col("table") + used + k, F.lit(TABLES)).cast("int")) for k in range(1, step + 1)]
-        members = members.join(keys, "doc_id").select("doc_id", "root", "table", F.xxhash64("key", *more).alias("key"), "failed")
-        used, step = used + step, step + 1
-        lead = F.min(F.when(F.col("failed"), F.struct("doc_id", "root")))
-        buckets = members.groupBy("key").agg(lead.alias("lead"), F.min("root").alias("low"), F.max("root").alias("high"))
-        buckets = buckets.where("lead is not null and low < high").select("key", F.col("lead.doc_id").alias("lead"), F.col("lead.root").alias("own"))
-        met = cut(members.join(buckets, "key").where("doc_id <> lead"))
-        ends = met.where("root <> own").select(F.greatest("doc_id", "lead").alias("a"), F.least("doc_id", "lead").alias("b"))
-        pairs = cut(ends.distinct())
-        n = counted(pairs)
-        if not n:
-            return links
-        pairs = fewer(pairs, n)
-        good = cut(verified(pairs, known, similar))
-        links.append(good)
-        # Members of buckets with a failure meet again; a bucket without one is settled.
-        seen = met.withColumn("a", F.greatest("doc_id", "lead")).withColumn("b", F.least("doc_id", "lead"))
-        seen = seen.join(good.withColumn("ok", F.lit(True)), ["a", "b"], "left").withColumn("failed", F.col("failed") & F.col("ok").isNull() & (F.col("root") != F.col("own")))
-        open_ = cut(seen.groupBy("key").agg(F.max("failed").alias("any")).where("any").select("key"))
-        members = seen.join(small(open_, 16), "key", "left_semi").select("doc_id", "root", "table", "key", "failed")
-
-
-def linked(single: DataFrame, texts: DataFrame, similar: float, crowd: int = CROWD) -> list[DataFrame]:
-    """Tables (a, b) of pairs of similar texts, by the three steps that the module describes; single
+    """a, b: all pairs of texts of different components that can be similar; rows as ``in_parts`` gives them.
+
+    Two texts of n and m k-mers share at least similar / (1 + similar) * (n + m) of them, so one of those
+    that are at most n (m) less that many, and one, from a text's rarest. In a list, texts of its largest
+    component meet the others only. Of a pair, the shared k-mers of the lists and all that come after
+    the last of them must be as many as it takes.
+    """
+    both = _meet(rows.where("root <> most"), rows, similar).where("root_b = most_b or doc_id_a > doc_id_b")
+    swap = F.col("doc_id_a") < F.col("doc_id_b")
+    side = lambda c, k: F.when(swap, F.col(f"{c}_{'ba'[k]}")).otherwise(F.col(f"{c}_{'ab'[k]}"))
+    told = both.groupBy(side("doc_id", 0).alias("a"), side("doc_id", 1).alias("b"), side("n", 0).alias("n"), side("n", 1).alias("m"))
+    told = told.agg(F.count(F.lit(1)).alias("shared"), F.max(side("at", 0)).alias("i"), F.max(side("at", 1)).alias("j"))
+    return told.where(F.col("shared") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= _enough(similar, F.col("n"), F.col("m"))).select("a", "b").distinct()
+
+
+def linked(single: DataFrame, texts: DataFrame, similar: float) -> list[DataFrame]:
+    """Tables (a, b) of pairs of similar texts, by the two steps that the module describes; single
     has doc_id, n, keys."""
     spread = single.select("doc_id", F.posexplode("keys").alias("table", "key"))
     buckets = spread.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("lead < high")
@@ -227,15 +248,18 @@ def linked(single: DataFrame, texts: DataFrame, similar: float, crowd: int = CRO
 
     roots = components(good)
     name = lambda df, c, out: df.join(small(roots.select(F.col("node").alias(c), F.col("root").alias(out))), c, "left").withColumn(out, F.coalesce(out, c))
-    told = name(name(met.where("n > 2"), "doc_id", "root"), "lead", "own").withColumn("failed", F.col("root") != F.col("own"))
-    apart = cut(told.groupBy("key").agg(F.max("failed").alias("any")).where("any").select("key"))
-    open_ = cut(told.join(small(apart, 16), "key", "left_semi"))
+    told = name(name(met.where("n > 2"), "doc_id", "root"), "lead", "own")
+    apart = cut(told.groupBy("key").agg(F.max(F.col("root") != F.col("own")).alias("any")).where("any").select("key"))
+    open_ = told.join(small(apart, 16), "key", "left_semi").select("doc_id", "lead")
     left = cut(open_.select("doc_id").union(open_.select("lead")).union(brief).distinct())
-    rows = cut(name(prefixes(known.join(small(left), "doc_id", "left_semi"), similar), "doc_id", "root"))
-    lists = rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    few = rows.join(small(cut(lists.where(F.col("m") <= crowd).select("kmer")), 16), "kmer", "left_semi")
-    links = [good, cut(verified(rare_pairs(few, similar).join(pairs, ["a", "b"], "left_anti"), known, similar))]
-    return links + led_pairs(open_.select("doc_id", "root", "table", "key", "failed"), single, known, similar)
+    rows = cut(listed(prefixes(known.join(small(left), "doc_id", "left_semi"), similar), similar))
+    # Most components of a crowd become one by a text of it each; what is left apart is joined exactly.
+    first = cut(lead_pairs(in_parts(name(rows, "doc_id", "root")), similar).join(pairs, ["a", "b"], "left_anti"))
+    led = cut(verified(first, known, similar))
+    roots = components(good.union(led))
+    tried = pairs.union(first)
+    more = cut(rare_pairs(in_parts(name(rows, "doc_id", "root")), similar).join(tried, ["a", "b"], "left_anti"))
+    return [good, led, cut(verified(more, known, similar))]
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

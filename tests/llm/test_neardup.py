@@ -255,20 +255,43 @@ def lcs_of(a, b):
     return neardup.alignment(x, y, 0.5)
 
 
-@pytest.mark.parametrize("crowd", [1024, neardup.CROWD])
-def test_links_in_a_crowd(spark, crowd, monkeypatch):
-    """Hundreds of pages just below the similarity, all pairs as the measure: none is lost where crowds are
-    joined exactly; by leaders none of the planted copies, and of the pairs just above 0.8 few."""
-    monkeypatch.setattr(neardup.linked, "__defaults__", (crowd,))
+def test_links_in_a_crowd(spark):
+    """Hundreds of pages just below the similarity, all pairs as the measure: no link is lost."""
     docs = pages_of_a_template(300, 40)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
     ks = {i: [k for words in slices(pa.array([t])) for k in neardup.labelled(words)][0] for i, t in docs.items()}
     pairs = [(i, j) for i in docs for j in docs if j < i and neardup.alignment(ks[i], ks[j]) >= 0.8]
-    lost = sum(got[i] != got[j] for i, j in pairs)
-    print("crowd", crowd, "pairs", len(pairs), "lost", lost)
     assert all(got[300 + i] == got[i] for i in range(40))
-    assert len(pairs) >= 40 and lost <= (0 if crowd == 1024 else 0.25 * len(pairs))
+    assert len(pairs) >= 40 and sum(got[i] != got[j] for i, j in pairs) == 0
+
+
+@pytest.mark.parametrize("similar", [0.6, 0.8, 0.95])
+def test_rare_pairs_lose_none(spark, similar):
+    """Sequences of numbers of all lengths, in chains and crowds: each similar pair of different components is a
+    candidate, and candidates are few."""
+    r = random.Random(int(similar * 100))
+    docs: dict[int, list[int]] = {}
+    for i in range(260):
+        if i and r.random() < 0.7:
+            own = list(docs[r.randrange(i)])
+            for _ in range(max(1, int(len(own) * r.choice([0.02, 0.1, 0.15])))):
+                k = r.randrange(len(own))
+                own[k : k + 1] = r.choice([[], [r.randrange(10**6)], [r.randrange(10**6), own[k]]])
+                own = own or [r.randrange(10**6)]
+        else:
+            own = [r.randrange(r.choice([300, 10**6])) for _ in range(r.randrange(1, 90))]
+        docs[i] = list(dict.fromkeys(own))
+    root = {i: r.choice([0, 0, i, i % 7]) for i in docs}
+    known = spark.createDataFrame([(i, 0, len(x), x) for i, x in docs.items()], "doc_id long, which long, n int, kmers array<long>")
+    names = spark.createDataFrame(list(root.items()), "doc_id long, root long")
+    rows = neardup.in_parts(neardup.listed(neardup.prefixes(known, similar), similar).join(names, "doc_id"))
+    got = {(x.a, x.b) for x in neardup.rare_pairs(rows, similar).collect()}
+    led = {(x.a, x.b) for x in neardup.lead_pairs(rows, similar).collect()}
+    assert all(i > j and root[i] != root[j] for i, j in led)
+    share = lambda i, j: len(both := set(docs[i]) & set(docs[j])) / (len(docs[i]) + len(docs[j]) - len(both))
+    want = {(i, j) for i in docs for j in docs if i > j and root[i] != root[j] and share(i, j) >= similar}
+    assert len(want) > 15 and want <= got and all(i > j and root[i] != root[j] for i, j in got)
 
 
 def test_every_pair_of_a_real_table(spark):
