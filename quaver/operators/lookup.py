@@ -14,12 +14,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 
-def asof_tempo(points: DataFrame, tempo: DataFrame, fallback: bool = False) -> DataFrame:
+def asof_tempo(points: DataFrame, tempo: DataFrame, fallback: bool = False, both: bool = False) -> DataFrame:
     """points with start_ms and bpm of the latest tempo row of their song that starts by t.
 
     One union and one sort by song instead of a join of all pairs. Of equal starts the greatest
     ordinal wins; a bpm of 0 or less gives null. With ``fallback`` points before the first row
-    take that one. points has song_id, ordinal, t; tempo has song_id, ordinal, start_ms, bpm.
+    take that one; with ``both`` there is also bpm_or_first, the bpm that ``fallback`` gives. points has song_id,
+    ordinal, t; tempo has song_id, ordinal, start_ms, bpm.
     """
     rest = [c for c in points.columns if c not in ("song_id", "ordinal", "t")]
     none = F.lit(None)
@@ -28,11 +29,13 @@ def asof_tempo(points: DataFrame, tempo: DataFrame, fallback: bool = False) -> D
     right = tempo.select("song_id", F.col("start_ms").cast("double").alias("at_"), F.lit(0).alias("point_"), "ordinal", none.cast(left.schema["own_"].dataType).alias("own_"), row.alias("row_"))
     order = Window.partitionBy("song_id").orderBy("at_", "point_", "ordinal")
     found = F.last("row_", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    if fallback:
-        found = F.coalesce(found, F.first("row_", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    out = left.unionByName(right).withColumn("row_", found).where("point_ = 1")
+    least = F.coalesce(found, F.first("row_", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    out = left.unionByName(right)
+    if both:
+        out = out.withColumn("least_", least)
+    out = out.withColumn("row_", least if fallback else found).where("point_ = 1")
     bpm = F.col("row_.bpm")
-    return out.select("song_id", "ordinal", "own_.*", F.col("row_.start_ms").alias("start_ms"), (bpm if fallback else F.when(bpm > 0, bpm)).alias("bpm"))
+    return out.select("song_id", "ordinal", "own_.*", F.col("row_.start_ms").alias("start_ms"), (bpm if fallback else F.when(bpm > 0, bpm)).alias("bpm"), *([F.col("least_.bpm").alias("bpm_or_first")] if both else []))
 
 
 def neighbours(points: DataFrame, tempo: DataFrame) -> DataFrame:
@@ -82,42 +85,56 @@ def rule_spans(rules: DataFrame, keys: list[str]) -> DataFrame:
     own = own.select(*keys, "valid_from", "valid_to", "idx", F.struct("idx", "texts", "offsets_ms").alias("rule"))
     schema = own.select(*keys).schema.add("start", "long").add("nth", "long").add("rule", own.schema["rule"].dataType)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def swept(whole: pa.Table, nth: Iterator[int]) -> pa.Table:
+        """The spans of whole base texts, in the order of their beginnings."""
+        names = list(zip(*(whole.column(c).to_pylist() for c in keys), strict=True))
+        begin, end, idx = (whole.column(c).to_pylist() for c in ("valid_from", "valid_to", "idx"))
         heap: list[tuple] = []
-        out: list[dict] = []
-        nth = count()
+        of, start, rule = [], [], []
 
-        def span(key: tuple, start: float, rule: dict | None) -> None:
-            out.append({**dict(zip(keys, key, strict=True)), "start": int(start), "nth": next(nth), "rule": rule})
-
-        def until(key: tuple, now: float) -> None:
+        def until(row: int, now: float) -> None:
             """The changes by rules that end up to a moment."""
             while heap and heap[0][1] <= now and heap[0][1] < inf:
-                end = heap[0][1]
-                while heap and heap[0][1] <= end:
+                at = heap[0][1]
+                while heap and heap[0][1] <= at:
                     heappop(heap)
-                span(key, end, heap[0][3] if heap else None)
+                of.append(row)
+                start.append(at)
+                rule.append(heap[0][2] if heap else None)
+
+        for k, name in enumerate(names):
+            if k and name != names[k - 1]:
+                until(k - 1, inf)
+                heap.clear()
+            until(k, begin[k])  # a rule that ends just now has ended
+            if not heap or idx[k] < heap[0][0]:
+                of.append(k)
+                start.append(begin[k])
+                rule.append(k)
+            heappush(heap, (idx[k], end[k] if end[k] is not None else inf, k))
+        until(len(names) - 1, inf)
+        columns = [whole.column(c).take(pa.array(of, pa.int64())) for c in keys]
+        return pa.table([*columns, pa.array(start, pa.int64()), pa.array([next(nth) for _ in of], pa.int64()), whole.column("rule").take(pa.array(rule, pa.int64()))], schema=arrow)
 
-        key, n = None, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nth, kept, last = count(), [], None
         for batch in batches:
-            for row in batch.to_pylist():
-                now = tuple(row[c] for c in keys)
-                if now != key and key is not None:
-                    until(key, inf)
-                    heap.clear()
-                key = now
-                # A rule that ends just now has ended.
-                until(key, row["valid_from"])
-                entry = (row["idx"], row["valid_to"] if row["valid_to"] is not None else inf, n, row["rule"])
-                n += 1
-                if not heap or entry[0] < heap[0][0]:
-                    span(key, row["valid_from"], row["rule"])
-                heappush(heap, entry)
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
-            out.clear()
-        if key is not None:
-            until(key, inf)
-        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+            if not batch.num_rows:
+                continue
+            names = list(zip(*(batch.column(c).to_pylist() for c in keys), strict=True))
+            i = len(names) - 1
+            while i and names[i - 1] == names[-1]:
+                i -= 1
+            # kept has the rows of one text, the last one so far, which may go on.
+            if kept and (i or names[-1] != last):
+                yield from swept(pa.Table.from_batches([*kept, batch.slice(0, i)]), nth).to_batches()
+                kept = []
+            elif i:
+                yield from swept(pa.Table.from_batches([batch.slice(0, i)]), nth).to_batches()
+            kept.append(batch.slice(i))
+            last = names[-1]
+        if kept:
+            yield from swept(pa.Table.from_batches(kept), nth).to_batches()
 
     arrow = to_arrow_schema(schema)
     order = own.repartition(*keys).sortWithinPartitions(*keys, "valid_from", "idx")

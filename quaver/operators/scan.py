@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,11 +46,51 @@ def scanned(rows: DataFrame, order: list[str], columns: list[str], step: Callabl
     return own.repartition("song_id").sortWithinPartitions("song_id", *order).mapInArrow(run, schema)
 
 
-def repair(last: int | None, row: tuple) -> tuple[int, list[tuple]]:
-    """A time before the last one becomes the last one plus 1."""
-    song, ordinal, t = row
-    now = last + 1 if last is not None and t < last else t
-    return now, [(song, ordinal, t, now)]
+def repaired(t: np.ndarray, first: np.ndarray, last: int | None) -> np.ndarray:
+    """Times in which none is before the last one: an earlier one is the last plus 1. ``first`` tells where
+    a song begins; ``last`` is the last time of the song that the first rows belong to, if they go on with one.
+
+    Only where a time is before the one above it anything changes, and from there until the times have
+    caught up; the rest is left as it is.
+    """
+    out = t.copy()
+    drops = np.flatnonzero((t[1:] < t[:-1]) & ~first[1:]) + 1
+    if last is not None and len(t) and not first[0] and t[0] < last:
+        drops = np.append(0, drops)
+    done = 0
+    for i in drops.tolist():
+        if i < done:
+            continue
+        now = int(out[i - 1]) if i else last
+        while i < len(t) and t[i] < now and not (first[i] and i):
+            now += 1
+            out[i] = now
+            i += 1
+        done = i
+    return out
+
+
+def monotone(rows: DataFrame, order: list[str], t: str, schema: str) -> DataFrame:
+    """song_id, ordinal, t and its ``repaired`` time of rows, song by song in the given order; the state is the last time."""
+    own = rows.select("song_id", "ordinal", t, *[c for c in order if c not in ("song_id", "ordinal", t)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        song, last = object(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            songs, times = batch.column(0), batch.column(2).to_numpy()
+            # Songs without an id are one song, apart from song 0.
+            none = songs.is_null().to_numpy(zero_copy_only=False)
+            names = songs.fill_null(0).to_numpy()
+            first = np.ones(len(times), bool)
+            first[1:] = (names[1:] != names[:-1]) | (none[1:] != none[:-1])
+            first[0] = songs[0].as_py() != song
+            out = repaired(times, first, last)
+            song, last = songs[-1].as_py(), int(out[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out)], ["song_id", "ordinal", t, "repaired"])
+
+    return own.repartition("song_id").sortWithinPartitions("song_id", *order).mapInArrow(run, schema)
 
 
 def tenth(x: float) -> float:

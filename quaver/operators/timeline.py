@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quaver.functions import word as W
 from quaver.functions.timecode import half_up
 from quaver.operators.lookup import asof_tempo
-from quaver.operators.scan import repair, scanned
+from quaver.operators import scan
 
 PAST = (Window.unboundedPreceding, -1)
 FUTURE = (1, Window.unboundedFollowing)
@@ -124,7 +124,8 @@ def monotone(rows: DataFrame, t: str, order: list[str]) -> DataFrame:
     """rows (song_id, ordinal, t) with ``repaired`` times, in which none is before the last: an earlier
     one is the last plus 1. One pass over each song's sorted rows with the last time as its state."""
     own = rows.where(F.col(t).isNotNull()).withColumn(t, F.col(t).cast("bigint"))
-    return scanned(own, [*order, t, "ordinal"], ["ordinal", t], repair, lambda _: [], f"song_id long,ordinal long,{t} long,repaired long")
+    own = own.withColumn("song_id", F.col("song_id").cast("bigint")).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+    return scan.monotone(own, [*order, t, "ordinal"], t, f"song_id long,ordinal long,{t} long,repaired long")
 
 
 def dropped(rows: DataFrame, tempo: DataFrame, target: str, duration: Column, order: list[str], denominator: int = 4) -> DataFrame:

@@ -62,6 +62,17 @@ def lines(words: DataFrame) -> DataFrame:
     )
 
 
+def line_table(songs: DataFrame, text: str = "text") -> DataFrame:
+    """song_id, line, start, end (exclusive) and text of each line of plain texts, as ``lines`` of their word table:
+    cut out of each text's array of words, no exchange."""
+    rows = songs.select("song_id", T.closed(T.tokens(F.col(text))).alias("w_"))
+    ends = F.filter(F.sequence(F.lit(0), F.size("w_") - 1), lambda i: F.get("w_", i) == "\n")
+    rows = rows.select("song_id", "w_", ends.alias("ends_"))
+    start = lambda k: F.when(k == 0, 0).otherwise(F.get("ends_", k - 1) + 1)
+    cut = F.transform("ends_", lambda e, k: F.struct(k.alias("line"), start(k).alias("start"), e.alias("end"), F.array_join(F.slice("w_", start(k) + 1, e - start(k)), "").alias("text")))
+    return rows.select("song_id", F.explode(cut).alias("l")).select("song_id", "l.*")
+
+
 def to_text(words: DataFrame) -> DataFrame:
     """song_id and the readings of its words, joined in order."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "reading"))), lambda x: x["reading"])

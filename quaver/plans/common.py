@@ -24,6 +24,14 @@ def songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("song_id"), "text").repartition(n, "song_id")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts for work on a row at a time: nothing is dealt by song. A table of fewer splits than cores, as one small
+    file, is spread over them; a large one stays where it is read."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("song_id"), "text")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("song_id"), F.col("event_id").alias("ordinal"), epoch_ms(F.col("ts")).alias("t"), "event_type", "value")

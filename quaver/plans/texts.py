@@ -9,7 +9,7 @@ from quaver.functions import text as T
 from quaver.functions import timecode as C
 from quaver.functions import viewport
 from quaver.operators import edit, timeline, words
-from quaver.plans.common import SQL_BEATS, SQL_TOKENS, beats, kinded, songs, table, tempo
+from quaver.plans.common import SQL_BEATS, SQL_TOKENS, beats, kinded, songs, table, tempo, texts
 from quaver.sources import lyrics
 
 QUERIES: dict = {}
@@ -35,7 +35,7 @@ SELECT song_id, len(list_filter(w, lambda x: x NOT IN (' ', chr(10))))::BIGINT A
 FROM tokens"""
 )
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words.statistics(songs(spark, sf_dir))
+    return words.statistics(texts(spark, sf_dir))
 
 
 @query(
@@ -47,7 +47,7 @@ SELECT song_id, line, min(word_idx) AS start, coalesce(min(word_idx) FILTER (rea
 FROM numbered GROUP BY song_id, line"""
 )
 def line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words.lines(words.from_text(songs(spark, sf_dir)))
+    return words.line_table(texts(spark, sf_dir))
 
 
 @query(
@@ -59,7 +59,7 @@ def line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT song_id, len(k)::INT AS n_words, md5(array_to_string(k, '|')) AS words_md5 FROM ended"""
 )
 def separator_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = songs(spark, sf_dir).select("song_id", T.tokens(F.col("text")).alias("w")).select("song_id", T.collapsed(F.col("w")).alias("k"))
+    out = texts(spark, sf_dir).select("song_id", T.tokens(F.col("text")).alias("w")).select("song_id", T.collapsed(F.col("w")).alias("k"))
     return out.select("song_id", F.size("k").alias("n_words"), F.md5(F.array_join("k", "|")).alias("words_md5"))
 
 
@@ -196,7 +196,7 @@ def lrc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stamped_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document's words as timestamped lyrics: a stamp every 50 centiseconds, eight a line."""
     w = F.filter(T.tokens(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]@]", " ")), lambda x: ~T.is_separator(x))
-    rows = songs(spark, sf_dir).select("song_id", w.alias("w"))
+    rows = texts(spark, sf_dir).select("song_id", w.alias("w"))
     stamp = lambda i: C.format_time((i * 500 + 500).cast("bigint"), ":", centiseconds=True)
     chunk = F.transform("w", lambda x, i: F.concat(F.when((i > 0) & (i % 8 == 0), F.concat(stamp(i), F.lit("\n"))).otherwise(""), stamp(i), x))
     return rows.where(F.size("w") > 0).select("song_id", F.concat(F.array_join(chunk, ""), stamp(F.size("w"))).alias("text"))
@@ -248,7 +248,7 @@ SELECT song_id, len(w)::INT AS n_words, md5(array_to_string(w, '|')) AS words_md
 )
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = lambda x: F.struct(x.alias("reading"), F.array(F.struct(x.alias("reading"), F.lit(0.0).alias("time"), F.lit(False).alias("isSet"))).alias("syllables"), F.lit(False).alias("withRuby"), F.lit(True).alias("isReadingAutoGenerated"))
-    rows = songs(spark, sf_dir).select("song_id", F.transform(T.closed(T.tokens(F.col("text"))), word).alias("w"))
+    rows = texts(spark, sf_dir).select("song_id", F.transform(T.closed(T.tokens(F.col("text"))), word).alias("w"))
     rows = rows.withColumn("json", lyrics.to_json(F.col("w"), F.create_map(F.lit("TITLE"), F.lit("a"), F.lit("title"), F.lit("A"))))
     rows = rows.withColumn("back", lyrics.from_json(F.col("json"))).withColumn("bad", lyrics.from_json(F.lit("{")))
     readings = F.transform("back.words", lambda x: x["reading"])

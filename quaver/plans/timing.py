@@ -55,9 +55,7 @@ def beat_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT a.song_id, a.ordinal, a.t, a.start_ms::DOUBLE AS start_ms, a.bpm, coalesce(a.bpm, f.first_bpm) AS bpm_or_first FROM latest a LEFT JOIN firsts f USING (song_id)"""
 )
 def tempo_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points, rows = _points(spark, sf_dir), tempo(spark, sf_dir)
-    other = lookup.asof_tempo(points, rows, fallback=True).select("song_id", "ordinal", F.col("bpm").alias("bpm_or_first"))
-    return lookup.asof_tempo(points, rows).join(other, ["song_id", "ordinal"])
+    return lookup.asof_tempo(_points(spark, sf_dir), tempo(spark, sf_dir), both=True)
 
 
 @query(

@@ -31,6 +31,12 @@ def test_rules_equal_a_look_at_all(spark, parts):
     out = lookup.ruby_for(df, spark.createDataFrame(shared, RULE).drop("song_id"), parts)
     assert Counter((*x[:4], tuple(x.texts or ())) for x in out.collect()) == Counter((*w, tuple(plain_rule(shared, 0, w[2], w[3]) or ())) for w in words)
     assert lookup.ruby_for(df, spark.createDataFrame([], RULE)).where("texts is not null").isEmpty()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # base texts that go on in the next batch
+    try:
+        out = lookup.ruby_for(df, spark.createDataFrame(rules, RULE).coalesce(1), parts)
+        assert Counter((*x[:4], tuple(x.texts or ())) for x in out.collect()) == got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_ten_thousand_rules_of_one_text(spark):
