@@ -80,3 +80,13 @@ def climbing(n: Column) -> Column:
 def shown_progress(share: Column) -> Column:
     """A reported share on what the climb has left."""
     return F.lit(0.15) + share * F.lit(0.85)
+
+
+def playing_speed(typed: Column) -> Column:
+    """A speed that was typed: to a decimal, within 0.1 and 1."""
+    return F.least(F.greatest(F.floor(typed * 10 + 0.5) / 10, F.lit(0.1)), F.lit(1.0))
+
+
+def compensation(typed: Column) -> Column:
+    """Whole milliseconds that a tap is moved by, of a text that was typed; 0 if it begins with no number."""
+    return F.coalesce(F.regexp_extract(F.trim(typed), r"^([+-]?\d+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))

@@ -177,3 +177,42 @@ def char_times(words: DataFrame) -> DataFrame:
     rows = spans.select("song_id", "word_idx", (F.col("first") - 1).alias("first"), "start", "end", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("j"))
     t = F.bround(F.col("start") + (F.col("end") - F.col("start")) * (F.col("j") / F.col("n")), 3)
     return rows.select("song_id", (F.col("first") + F.col("j")).alias("char_idx"), t.alias("t")).where("char_idx >= 0")
+
+
+# --- the cursor and what waits ------------------------------------------------------------------
+
+
+def next_beat(at: Column, n: Column) -> Column:
+    """The beat after ``at`` of n beats; the last one stays. Without beats nothing moves."""
+    return F.when(n > 0, F.least(at + 1, n - 1)).otherwise(at)
+
+
+def previous_beat(at: Column) -> Column:
+    return F.when(at > 0, at - 1).otherwise(at)
+
+
+def beat_at(at: Column, to: Column, n: Column) -> Column:
+    """The beat ``to`` if there is one, else where the cursor is."""
+    return F.when((to >= 0) & (to < n), to).otherwise(at)
+
+
+def pending_with(pending: Column, more: Column) -> Column:
+    """Beats (arrays of numbers) that wait for a time, with more of them, each once, ascending."""
+    return F.array_sort(F.array_union(pending, more))
+
+
+def pending_without(pending: Column, done: Column) -> Column:
+    """Beats that still wait when some don't any more."""
+    return F.array_except(pending, done)
+
+
+def unset_beats(rows: DataFrame) -> DataFrame:
+    """The sung rows (kind, t) that have no time yet."""
+    return rows.where((F.col("kind") == "sung") & F.col("t").isNull())
+
+
+def highlighted(rows: DataFrame, by: list[str], playhead: Column) -> DataFrame:
+    """by, fully, partly: whether all, or some but not all, of a word's beats (t) are set and behind the playhead."""
+    lit = F.count_if(F.coalesce(F.col("t") <= playhead, F.lit(False)))
+    own = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_"), lit.alias("lit_"))
+    return own.select(*by, (F.col("n_") == F.col("lit_")).alias("fully"), ((F.col("lit_") > 0) & (F.col("lit_") < F.col("n_"))).alias("partly"))

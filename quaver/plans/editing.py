@@ -246,3 +246,24 @@ def wav_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     sound = files.write_wav(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("song_id"), channels.alias("samples")), 16_000)
     rows = files.wav_blocks(sound, 24).select("song_id", "channel", "first", F.posexplode("samples").alias("k", "x"))
     return rows.select("song_id", "channel", (F.col("first") + F.col("k")).cast("int").alias("i"), "x")
+
+
+# --- segmentation -------------------------------------------------------------------------------
+
+
+@query(
+    """WITH s AS (SELECT doc_id AS song_id, regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g') AS s FROM documents)
+SELECT song_id, length(s)::INT AS n_chars, md5(s) AS joined_md5 FROM s"""
+)
+def text_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's letters without a blank between them, taken apart by a lexicon of its table's 20,000 most frequent
+    words; the parts make the text again. Which parts they are is held against exhaustive search in the tests."""
+    from quaver.operators.segment import segmenter
+
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("song_id"), F.lower(F.coalesce("text", F.lit(""))).alias("s"))
+    found = own.select(F.explode(F.regexp_extract_all("s", F.lit("[a-z]{2,}"), F.lit(0))).alias("surface")).groupBy("surface").agg(F.count(F.lit(1)).alias("n"))
+    lexicon = found.orderBy(F.desc("n"), "surface").limit(20_000)
+    tokens = segmenter(lexicon.select("surface", F.lit(None).cast("string").alias("reading"), (F.lit(1000) - F.least("n", F.lit(900))).alias("cost")))
+    rows = own.repartition(spark.sparkContext.defaultParallelism).select("song_id", tokens(F.regexp_replace("s", "[^a-z]", "")).alias("t"))
+    joined = F.array_join(F.transform("t", lambda x: x["surface"]), "")
+    return rows.select("song_id", F.length(joined).alias("n_chars"), F.md5(joined).alias("joined_md5"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaver.functions import timecode as C
+from quaver.functions import viewport
 from quaver.operators import edit, history, lookup, signal, timeline
 from quaver.operators import tempo as rates
 from quaver.plans.common import SQL_BEATS, beats, kinded, table, tempo
@@ -299,12 +300,14 @@ def labels_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT event_id, floor(value)::BIGINT // 60 || ':' || lpad((floor(value)::BIGINT % 60)::VARCHAR, 2, '0') AS clock, least(greatest(value * 3 - 50, 0), 200) AS seek,
-  least(greatest(floor(value / 20 * 10 + 0.5) / 10, 0.1), 1.0)::DOUBLE AS speed, value / 4 / 800 AS nudge FROM events"""
+  least(greatest(floor(value / 20 * 10 + 0.5) / 10, 0.1), 1.0)::DOUBLE AS speed, value / 4 / 800 AS nudge,
+  CASE WHEN event_id % 4 = 3 THEN 0 ELSE floor(value)::BIGINT * CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END END AS compensation FROM events"""
 )
 def player_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     return table(spark, sf_dir, "events").select(
-        "event_id", C.format_seconds(v).alias("clock"), rates.clamp(v * 3 - 50, 0.0, 200.0).alias("seek"), rates.clamp(rates.tenth(v / 20), 0.1, 1.0).alias("speed"), (v / 4 / 800).alias("nudge")
+        "event_id", C.format_seconds(v).alias("clock"), rates.clamp(v * 3 - 50, 0.0, 200.0).alias("seek"), viewport.playing_speed(v / 20).alias("speed"), (v / 4 / 800).alias("nudge"),
+        viewport.compensation(F.concat(F.when(F.col("event_id") % 4 == 3, "x").when(F.col("event_id") % 2 == 0, " ").otherwise("-"), F.floor(v).cast("string"), F.lit(".7"))).alias("compensation"),
     )
 
 
@@ -458,19 +461,18 @@ def pending_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda c: F.collect_list(F.when(c, F.col("ordinal")))
     kind = F.col("event_type")
     rows = beats(spark, sf_dir).groupBy("song_id").agg(pick(kind.isin("click", "view")).alias("a"), pick(kind == "view").alias("b"))
-    return rows.select("song_id", F.array_sort(F.array_union("a", "b")).alias("pending"), F.size(F.array_except("a", "b")).alias("n_left"))
+    return rows.select("song_id", timeline.pending_with(F.col("a"), F.col("b")).alias("pending"), F.size(timeline.pending_without(F.col("a"), F.col("b"))).alias("n_left"))
 
 
 @query(
     f"""WITH {SQL_BEATS}, n AS (SELECT song_id, count(*) AS n FROM beats GROUP BY song_id)
-SELECT b.ordinal, least(b.ordinal % 90 + 1, n.n - 1) AS next_beat, greatest(b.ordinal % 90 - 1, 0) AS prev_beat, greatest(least(b.ordinal % 200, n.n - 1), 0) AS go_beat FROM beats b JOIN n USING (song_id)"""
+SELECT b.ordinal, least(b.ordinal % 90 + 1, n.n - 1) AS next_beat, greatest(b.ordinal % 90 - 1, 0) AS prev_beat,
+  CASE WHEN b.ordinal % 200 - 20 >= 0 AND b.ordinal % 200 - 20 < n.n THEN b.ordinal % 200 - 20 ELSE b.ordinal % 90 END AS go_beat FROM beats b JOIN n USING (song_id)"""
 )
 def cursor_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.count(F.lit(1)).over(Window.partitionBy("song_id"))
-    zero = F.lit(0).cast("bigint")
-    rows = beats(spark, sf_dir).withColumn("n", n)
-    at = F.col("ordinal") % 90
-    return rows.select("ordinal", F.least(at + 1, F.col("n") - 1).alias("next_beat"), F.greatest(at - 1, zero).alias("prev_beat"), F.greatest(F.least(F.col("ordinal") % 200, F.col("n") - 1), zero).alias("go_beat"))
+    n, at = F.col("n"), F.col("ordinal") % 90
+    rows = beats(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("song_id")))
+    return rows.select("ordinal", timeline.next_beat(at, n).alias("next_beat"), timeline.previous_beat(at).alias("prev_beat"), timeline.beat_at(at, F.col("ordinal") % 200 - 20, n).alias("go_beat"))
 
 
 @query(
@@ -478,9 +480,8 @@ def cursor_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT song_id, word_idx, n = lit AS fully, lit > 0 AND lit < n AS partly FROM w"""
 )
 def highlight_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lit = F.count_if(F.coalesce(F.col("t") <= 1704500000000, F.lit(False)))
-    rows = kinded(spark, sf_dir).groupBy("song_id", F.floor(F.col("ordinal") / 4).alias("word_idx")).agg(F.count(F.lit(1)).alias("n"), lit.alias("lit"))
-    return rows.select("song_id", "word_idx", (F.col("n") == F.col("lit")).alias("fully"), ((F.col("lit") > 0) & (F.col("lit") < F.col("n"))).alias("partly"))
+    rows = kinded(spark, sf_dir).withColumn("word_idx", F.floor(F.col("ordinal") / 4))
+    return timeline.highlighted(rows, ["song_id", "word_idx"], F.lit(1704500000000))
 
 
 @query(

@@ -199,7 +199,7 @@ def pending_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SQL_BEATS} SELECT song_id, ordinal FROM kinded WHERE kind = 'sung' AND t IS NULL")
 def unset_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kinded(spark, sf_dir).where("kind = 'sung' and t is null").select("song_id", "ordinal")
+    return timeline.unset_beats(kinded(spark, sf_dir)).select("song_id", "ordinal")
 
 
 @query(
