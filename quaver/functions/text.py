@@ -10,7 +10,6 @@ from quaver.functions.timecode import BLANK, trimmed
 
 #: The characters that count as punctuation words.
 PUNCTUATION = "「」『』（）、。！？…・～~,.;:!?\"'"
-_CLASS = r"「」『』（）、。！？…・～~,.;:!?\"'"
 #: The small kana that stay with the one before them.
 SMALL = "ゃゅょャュョ"
 RUN = r"[ \t\n\r\u3000]+|[^ \t\n\r\u3000]+"
@@ -47,7 +46,7 @@ def kind(reading: Column) -> Column:
 
 
 def is_punctuation(reading: Column) -> Column:
-    return reading.rlike(f"^[{_CLASS}]+$")
+    return reading.rlike(f"^[{PUNCTUATION}]+$")
 
 
 def is_separator(reading: Column) -> Column:
@@ -56,7 +55,7 @@ def is_separator(reading: Column) -> Column:
 
 def split_punctuation(s: Column) -> Column:
     """Single punctuation characters and the text between them."""
-    return F.regexp_extract_all(s, F.lit(f"[{_CLASS}]|[^{_CLASS}]+"), F.lit(0))
+    return F.regexp_extract_all(s, F.lit(f"[{PUNCTUATION}]|[^{PUNCTUATION}]+"), F.lit(0))
 
 
 def collapsed(words: Column, newline_wins: bool = False) -> Column:

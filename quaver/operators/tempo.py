@@ -55,15 +55,22 @@ def segments(curve: DataFrame, split: float = 5.0, join: float = 5.0) -> DataFra
     return scanned(own, ["ordinal", "t_s", "tempo"], ["t_s", "tempo"], *segmenter(split, join), "song_id long,seg_idx int,bpm double,start_ms long")
 
 
-def changes(ticks: DataFrame, window: int = 8, threshold: float = 0.15, of_intervals: bool = True) -> DataFrame:
-    """Ticks at which the mean of the next ``window`` values differs from that of the last by more
-    than ``threshold`` of it. Values are tick distances, or tick times with ``of_intervals`` off."""
+def with_changes(ticks: DataFrame, window: int = 8, threshold: float = 0.15, of_intervals: bool = True) -> DataFrame:
+    """ticks with i (from 0), before and after (the means of the last and the next ``window`` values) and changes: whether
+    they differ by more than ``threshold`` of the former. Values are tick distances, or tick times with
+    ``of_intervals`` off."""
     value = (F.col("t") - F.lag("t").over(in_ticks())) if of_intervals else F.col("t")
     rows = ticks.withColumn("v", value.cast("double")).withColumn("i", F.row_number().over(in_ticks()) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("song_id")))
     before, after = F.avg("v").over(in_ticks().rowsBetween(-window, -1)), F.avg("v").over(in_ticks().rowsBetween(0, window - 1))
     rows = rows.withColumn("before", before).withColumn("after", after)
     far = F.abs(F.col("after") - F.col("before")) > threshold * F.col("before")
-    return rows.where((F.col("i") >= window) & (F.col("i") < F.col("n") - window) & far).select("song_id", "ordinal", "t", "i", "before", "after")
+    return rows.withColumn("changes", F.coalesce((F.col("i") >= window) & (F.col("i") < F.col("n") - window) & far, F.lit(False))).drop("v", "n")
+
+
+def changes(ticks: DataFrame, window: int = 8, threshold: float = 0.15, of_intervals: bool = True) -> DataFrame:
+    """Ticks at which the mean of the next ``window`` values differs from that of the last by more
+    than ``threshold`` of it; see ``with_changes``."""
+    return with_changes(ticks, window, threshold, of_intervals).where("changes").select("song_id", "ordinal", "t", "i", "before", "after")
 
 
 def change_segments(ticks: DataFrame, window: int = 8, threshold: float = 0.15) -> DataFrame:
@@ -74,8 +81,8 @@ def change_segments(ticks: DataFrame, window: int = 8, threshold: float = 0.15)
     tick drop. Fewer than two windows of ticks are one segment by the mean distance; a single tick
     has no bpm.
     """
-    found = changes(ticks, window, threshold, of_intervals=False).select("song_id", "ordinal", F.lit(1).alias("new_"))
-    rows = ticks.join(found, ["song_id", "ordinal"], "left").withColumn("part_", F.coalesce(F.sum("new_").over(in_ticks()), F.lit(0)))
+    rows = with_changes(ticks, window, threshold, of_intervals=False)
+    rows = rows.withColumn("part_", F.sum(F.col("changes").cast("int")).over(in_ticks()))
     inside = Window.partitionBy("song_id", "part_").orderBy("t", "ordinal")
     rows = rows.withColumn("gap_", (F.col("t") - F.lag("t").over(inside)).cast("double"))
     parts = rows.groupBy("song_id", "part_").agg(F.count(F.lit(1)).alias("n"), F.avg("gap_").alias("mean"), F.min("t").alias("t"))
