@@ -72,8 +72,9 @@ def fill_in_middle(docs: DataFrame, seed: int = 42, rate: int = 50, spm: int = 8
     table gives no rows. Columns of docs that have the names above are replaced; all others stay.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
-    whole, chars, span, chunks, low, high, first, second = (fresh(docs, f"{c}_") for c in ("whole", "chars", "span", "chunks", "low", "high", "first", "second"))
+    whole, chars, span, chunks, own = (fresh(docs, f"{c}_") for c in ("whole", "chars", "span", "chunks", "own"))
     col = F.col
+    kept = [col(f"`{c}`") for c in docs.columns]
     h = draws(col(key), seed)
     marked = F.lit(False)
     for mark in (PREFIX, SUFFIX, MIDDLE):
@@ -83,30 +84,31 @@ def fill_in_middle(docs: DataFrame, seed: int = 42, rate: int = 50, spm: int = 8
         .withColumn(chars, F.length(col(whole)))
         .withColumn(span, F.greatest(F.lit(CHUNK), F.ceil(col(chars) / CHUNKS).cast("int")))
         .withColumn(chunks, bounds(col(whole), col(span), col(chars)))
-        .withColumn("n", F.when(col(chars) == 0, F.lit(0).cast("long")).otherwise(F.element_at(chunks, -1)["before"] + F.element_at(chunks, -1)["own"] + 1))
-        .withColumn("form", F.when((col(chars) == 0) | marked | (h[2] % 100 >= rate), "plain").when(h[3] % 100 < spm, "spm").otherwise("psm"))
     )
-    ranks = [x % (col("n") + 1) for x in h[:2]]
-    there = col("form") != "plain"
-    cut = (
-        counted.withColumn(low, F.when(there, F.least(*ranks)))
-        .withColumn(high, F.when(there, F.greatest(*ranks)))
-        .withColumn(first, F.when(there, place(col(whole), col(chunks), col(span), col(chars), col("n"), col(low))))
-        .withColumn(second, F.when(there, F.when(col(low) == col(high), col(first)).otherwise(place(col(whole), col(chunks), col(span), col(chars), col("n"), col(high)))))
-    )
-    at = lambda c: col(c).cast("int")
-    prefix = F.substring(col(whole), F.lit(1), at(first))
-    middle = F.substring(col(whole), at(first) + 1, at(second) - at(first))
-    suffix = F.substring(col(whole), at(second) + 1, at(chars) - at(second))
+    last = F.element_at(chunks, -1)
+    n = F.when(col(chars) == 0, F.lit(0).cast("long")).otherwise(last["before"] + last["own"] + 1)
+    form = F.when((col(chars) == 0) | marked | (h[2] % 100 >= rate), "plain").when(h[3] % 100 < spm, "spm").otherwise("psm")
+    # One row of a generator: a filter on what follows isn't carried into the counting, which it would repeat.
+    step = lambda df, *c: df.select(*kept, F.explode(F.array(F.struct(*c))).alias(own))
+    at = lambda c: col(f"{own}.{c}")
+    told = step(counted, col(whole).alias("text"), col(chars).alias("chars"), col(span).alias("span"), col(chunks).alias("chunks"), n.alias("n"), form.alias("form"))
+    ranks = [x % (at("n") + 1) for x in h[:2]]
+    there = at("form") != "plain"
+    found = lambda rank: F.when(there, place(at("text"), at("chunks"), at("span"), at("chars"), at("n"), rank))
+    cut = step(told, at("text").alias("text"), at("chars").alias("chars"), at("n").alias("n"), at("form").alias("form"), found(F.least(*ranks)).alias("first"), found(F.greatest(*ranks)).alias("second"))
+    first, second, size = (at(c).cast("int") for c in ("first", "second", "chars"))
+    prefix = F.substring(at("text"), F.lit(1), first)
+    middle = F.substring(at("text"), first + 1, second - first)
+    suffix = F.substring(at("text"), second + 1, size - second)
     psm = F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle)
     other = F.concat(F.lit(SUFFIX), suffix, F.lit(PREFIX), prefix, F.lit(MIDDLE), middle)
     return cut.select(
-        *[col(f"`{c}`") for c in docs.columns],
-        "n",
-        "form",
-        col(first).alias("prefix_chars"),
-        (col(second) - col(first)).alias("middle_chars"),
-        F.when(col("form") == "psm", psm).when(col("form") == "spm", other).otherwise(col(whole)).alias("output"),
+        *kept,
+        at("n").alias("n"),
+        at("form").alias("form"),
+        at("first").alias("prefix_chars"),
+        (at("second") - at("first")).alias("middle_chars"),
+        F.when(at("form") == "psm", psm).when(at("form") == "spm", other).otherwise(at("text")).alias("output"),
     )
 
 
