@@ -197,10 +197,10 @@ def listed(rows: DataFrame, similar: float) -> DataFrame:
 
 def in_parts(rows: DataFrame) -> DataFrame:
     """rows (``listed`` and root) of the lists that have texts of two components, with ``most``, the one that has
-    most of the list's texts, and ``lead``, its smallest text there."""
-    parts = rows.groupBy(*LIST, "root").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("lead"))
-    lists = parts.groupBy(*LIST).agg(F.max(F.struct("m", "root", "lead")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    return cut(rows.join(small(cut(lists.select(*LIST, F.col("top.root").alias("most"), F.col("top.lead").alias("lead"))), 40), LIST))
+    most of the list's texts, and ``lead`` and ``end``, its smallest and its greatest text there."""
+    parts = rows.groupBy(*LIST, "root").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("lead"), F.max("doc_id").alias("end"))
+    lists = parts.groupBy(*LIST).agg(F.max(F.struct("m", "root", "lead", "end")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    return cut(rows.join(small(cut(lists.select(*LIST, F.col("top.root").alias("most"), "top.lead", "top.end")), 48), LIST))
 
 
 def _meet(one: DataFrame, two: DataFrame, similar: float) -> DataFrame:
@@ -213,8 +213,8 @@ def _meet(one: DataFrame, two: DataFrame, similar: float) -> DataFrame:
 
 
 def lead_pairs(rows: DataFrame, similar: float) -> DataFrame:
-    """a, b: the texts of each list of rows (``in_parts``) with one text of the list's largest component."""
-    both = _meet(rows.where("root <> most"), rows.where("doc_id = lead"), similar)
+    """a, b: the texts of each list of rows (``in_parts``) with two texts of the list's largest component."""
+    both = _meet(rows.where("root <> most"), rows.where("doc_id = lead or doc_id = end"), similar)
     return both.select(F.greatest("doc_id_a", "doc_id_b").alias("a"), F.least("doc_id_a", "doc_id_b").alias("b")).distinct()
 
 
@@ -253,7 +253,7 @@ def linked(single: DataFrame, texts: DataFrame, similar: float) -> list[DataFram
     open_ = told.join(small(apart, 16), "key", "left_semi").select("doc_id", "lead")
     left = cut(open_.select("doc_id").union(open_.select("lead")).union(brief).distinct())
     rows = cut(listed(prefixes(known.join(small(left), "doc_id", "left_semi"), similar), similar))
-    # Most components of a crowd become one by a text of it each; what is left apart is joined exactly.
+    # Most components of a crowd become one by two texts of it; what is left apart is joined exactly.
     first = cut(lead_pairs(in_parts(name(rows, "doc_id", "root")), similar).join(pairs, ["a", "b"], "left_anti"))
     led = cut(verified(first, known, similar))
     roots = components(good.union(led))
