@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quaver.llm import fingerprint, images, langid, neardup, packing, quality, substring
 from quaver.llm.bpe import build_lexicon, digests
+from quaver.llm.common import cut
 from quaver.llm.registry import tokenizer_file
 from tests.llm.test_neardup import brute_classes, brute_lines
 from tests.llm.test_text import brute_removed, text
@@ -377,3 +378,67 @@ def test_sketches_equal_plain_hashing(spark):
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)
     got = {x.doc_id: x.sketch for x in fingerprint.fingerprints(df).collect()}
     assert got == {i: plain_sketch(t or "") for i, t in enumerate(docs)}
+
+
+def test_no_bucket_is_cut(spark):
+    """A crowd of pictures that share a patch: links that no leader of it has, and the same classes whatever is made at a time."""
+    r = np.random.default_rng(11)
+    patch = drawn(900, 48, 8)
+
+    def scene(k):
+        x = drawn(1000 + k, 96, 12)
+        x[24:72, 24:72] = patch
+        return x
+
+    made = []
+    for k in range(14):
+        x = scene(k)
+        made += [x, x[: 96 - k % 5, k % 3 :] * 0.9 + r.normal(0, 2, x[: 96 - k % 5, k % 3 :].shape)]
+    pictures = [images.read_pgm(grey(x)) for x in made]
+    df = spark.createDataFrame([(k, bytearray(grey(x))) for k, x in enumerate(made)], "id long, image binary")
+    found = cut(images.described(df))
+    corners = images.corners_of_all(pictures)
+    want, root = set(), list(range(len(made)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    stands = [images.table_entries(c) for c in corners]
+    for a in range(len(made)):
+        for b in range(a):
+            met = [(s, t) for k, s in zip(*stands[a], strict=True) for m, t in zip(*stands[b], strict=True) if k == m]
+            if met and images.agreeing(*(np.array(x)[None] for x in zip(*met, strict=True)), 2)[0]:
+                want.add((a, b))
+                if images.matched(corners[a].tobytes(), corners[b].tobytes()) >= images.VOTES:
+                    i, j = sorted((find(a), find(b)))
+                    root[j] = i
+    for most in (images.MET, 400):
+        assert {(x.a, x.b) for x in images.meeting(found, most=most).collect()} == want
+    assert len(want) > 28 * 8  # far more than a leader a bucket brings together
+    got = {x.id: x.class_id for x in images.image_copies(df).collect()}
+    assert got == {k: find(k) for k in range(len(made))}
+
+
+def test_agreeing_meetings():
+    """One pair at a time and many at a time tell the same; a regular pattern agrees with anything."""
+    one = np.zeros(300, images.CORNER)
+    r = np.random.default_rng(2)
+    one["x"], one["y"], one["size"] = r.uniform(0, 200, 300), r.uniform(0, 200, 300), 2.0 ** (r.integers(0, 9, 300) / 3)
+    one["angle"] = r.uniform(-np.pi, np.pi, 300)
+    two = one.copy()
+    two["x"], two["y"], two["angle"] = 210 - one["y"], one["x"], one["angle"] + np.pi / 2
+    s, t, other = images.placed(one), images.placed(two), images.placed(r.permutation(two))
+    x, y, size, angle = images.places(s)
+    assert np.abs(x - one["x"]).max() < 0.01 and np.abs(y - one["y"]).max() < 0.01 and np.abs(np.cos(angle) - np.cos(one["angle"])).max() < 1e-3
+    for n in (2, 3, 8):
+        assert images.agreeing(s[None, :n], t[None, :n], n)[0] and images.widely(s[:n], t[:n], n)
+        assert not images.agreeing(s[None, :n], t[None, :n], n + 1)[0] and not images.widely(s[:n], t[:n], n + 1)
+    for k in range(0, 300, 5):
+        assert images.agreeing(s[None, k : k + 5], other[None, k : k + 5], 2)[0] == images.widely(s[k : k + 5], other[k : k + 5], 2)
+    assert not images.agreeing(s[None, [0, 0]], t[None, [0, 0]], 2)[0]  # two bands of one corner
+    pattern = np.repeat(one[:1], 6)
+    keys, at = images.table_entries(pattern)
+    assert len(keys) == images.TABLES and (at == -1).all()
+    assert images.agreeing(at[None, :1], s[None, :1], 2)[0]
