@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaver.llm import images, langid, quality, warc
-from quaver.llm.common import components
+from quaver.llm.common import components, extended
 
 SF = "/root/testdata/sf0.001"
 
@@ -254,3 +254,52 @@ def test_pictures_larger_than_a_thumbnail(spark):
     whole = {r.id: r.class_id for r in images.image_copies(df, few=100, meetings=1).collect()}
     assert whole == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0}
     assert images.reduced(np.zeros((3, 4000), np.float32)).shape == (1, 256) and images.reduced(one).shape == (192, 256)
+
+
+def test_extended_components(spark):
+    """Roots that links come to are those of all edges at once, whatever is new in them."""
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))] + [(200, 201)]
+    more = [(int(a), int(b)) for a, b in rng.integers(30, 90, (20, 2))] + [(7, 7), (200, 199), (None, 3)]
+    make = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    roots = components(make(edges))
+    got = {(x.node, x.root) for x in extended(roots, make(more)).collect()}
+    assert got == {(x.node, x.root) for x in components(make(edges + more)).collect()}
+    assert {(x.node, x.root) for x in extended(roots, make([])).collect()} == {(x.node, x.root) for x in roots.collect()}
+    assert components(make([])).count() == 0
+
+
+def test_crowd_of_one_class_does_not_meet(spark):
+    """Images of one class aren't joined with each other again; every agreeing pair of two classes is found."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 256, (8, 8)).astype(np.float32)
+    drawn = [images.resized(np.clip(base + rng.normal(0, 1, (8, 8)), 0, 255).astype(np.float32), 64, 64) for _ in range(30)]
+    drawn += [images.resized(rng.integers(0, 256, (8, 8)).astype(np.float32), 64, 64) for _ in range(200)]
+    raw = [c.tobytes() for c in images.corners_of_all([images.read_pgm(images.write_pgm(x)) for x in drawn])]
+    found = spark.createDataFrame(list(enumerate(raw)), "id long, corners binary")
+    held = images.shared(found)
+    first = images.led(held)
+    pairs = [(x.a, x.b) for x in first.collect()]
+    assert len({a for a, _ in pairs}) == len(pairs) and all(b < a for a, b in pairs)
+    roots = components(images.verified(first, found, images.VOTES))
+    root = {x.node: x.root for x in roots.collect()}
+    assert len({root.get(k, k) for k in range(30)}) == 1
+    every = {(x.a, x.b, x.n) for x in images.meeting(found).collect()}
+    assert sum(a < 30 for a, _, _ in every) > 400
+    want = {x for x in every if root.get(x[0], x[0]) != root.get(x[1], x[1])}
+    assert want
+    for most in (images.MET, 20):
+        assert {(x.a, x.b, x.n) for x in images.meeting(found, most=most, held=held, roots=roots).collect()} == want
+
+
+def test_pairs_matched_together():
+    """Pairs of pictures that are told together are told as each alone."""
+    rng = np.random.default_rng(3)
+    base = [images.resized(rng.integers(0, 256, (8, 8)).astype(np.float32), 64, 64) for _ in range(4)]
+    drawn = [x + rng.normal(0, 3, x.shape).astype(np.float32) for x in base for _ in range(4)] + [base[0][:40, :40], np.zeros((64, 64), np.float32), np.zeros((5, 5), np.float32)]
+    raw = [c.tobytes() for c in images.corners_of_all(drawn)]
+    a, b = zip(*((x, y) for x in raw for y in raw), strict=True)
+    for least in (2, images.VOTES):
+        got = images.matched_all(list(a), list(b), least=least)
+        assert got.tolist() == [images.matched(x, y, least=least) for x, y in zip(a, b, strict=True)]
+        assert (got >= images.VOTES).sum() >= 64
