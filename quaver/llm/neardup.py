@@ -18,7 +18,6 @@ beforehand by their digest.
 from __future__ import annotations
 
 from bisect import bisect_left
-from functools import reduce
 from math import log
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaver.llm.common import beside, components, cut, fresh, light, prepare, small
+from quaver.llm.common import beside, components, cut, extended, fresh, light, prepare, small
 from quaver.llm.textbuf import grams, joined, mix, slices
 
 KMER, TABLES, PICK, SIMILAR = 5, 24, 4, 0.8
@@ -234,9 +233,9 @@ def rare_pairs(rows: DataFrame, similar: float) -> DataFrame:
     return told.where(F.col("shared") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= _enough(similar, F.col("n"), F.col("m"))).select("a", "b").distinct()
 
 
-def linked(single: DataFrame, texts: DataFrame, similar: float) -> list[DataFrame]:
-    """Tables (a, b) of pairs of similar texts, by the two steps that the module describes; single
-    has doc_id, n, keys."""
+def linked(single: DataFrame, texts: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """Components (node, root) of pairs of similar texts, by the two steps that the module describes, and the pairs (a, b) that came last and
+    aren't in them; single has doc_id, n, keys."""
     spread = single.select("doc_id", F.posexplode("keys").alias("table", "key"))
     buckets = spread.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).where("lead < high")
     met = cut(spread.join(buckets.select("key", "lead", "n"), "key").where("doc_id <> lead"))
@@ -256,10 +255,10 @@ def linked(single: DataFrame, texts: DataFrame, similar: float) -> list[DataFram
     # Most components of a crowd become one by two texts of it; what is left apart is joined exactly.
     first = cut(lead_pairs(in_parts(name(rows, "doc_id", "root")), similar).join(pairs, ["a", "b"], "left_anti"))
     led = cut(verified(first, known, similar))
-    roots = components(good.union(led))
+    roots = extended(roots, led)
     tried = pairs.union(first)
     more = cut(rare_pairs(in_parts(name(rows, "doc_id", "root")), similar).join(tried, ["a", "b"], "left_anti"))
-    return [good, led, cut(verified(more, known, similar))]
+    return roots, cut(verified(more, known, similar))
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -282,7 +281,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     copies = signed.join(small(copied, 64), "digest").where("doc_id > first").select("doc_id", "digest").distinct()
     single = signed.join(small(cut(copies), 64), ["doc_id", "digest"], "left_anti").where("n > 0").dropDuplicates(["doc_id", "digest"]).select("doc_id", "n", "keys")
     copied_from = later.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    names = components(reduce(DataFrame.union, linked(single, texts, similar), copied_from))
+    roots, more = linked(single, texts, similar)
+    names = extended(roots, more.union(copied_from))
     out = docs.select("doc_id").join(small(names), F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
 
