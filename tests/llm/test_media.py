@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quaver.llm import images, langid, quality, warc
-from quaver.llm.common import components, extended
+from quaver.llm.common import components, cut, extended
 
 SF = "/root/testdata/sf0.001"
 
@@ -292,6 +292,53 @@ def test_crowd_of_one_class_does_not_meet(spark):
         assert {(x.a, x.b, x.n) for x in images.meeting(found, most=most, held=held, roots=roots).collect()} == want
 
 
+def test_what_many_classes_share_brings_nobody_together(spark):
+    """Of a table in which all images have two corners that agree, pairs that also share a rarer corner are candidates, and pairs
+    that share most of several such sets; their number grows with the table and not with its square."""
+    rng = np.random.default_rng(21)
+
+    def corner(n):
+        out = np.zeros(n, images.CORNER)
+        out["x"], out["y"], out["size"] = rng.uniform(0, 64, n), rng.uniform(0, 64, n), 1
+        out["bits"] = rng.integers(0, 256, (n, images.BITS // 8))
+        return out
+
+    everywhere, rare, motif = corner(1), corner(1), corner(12)
+    made = [np.concatenate([everywhere, corner(5)]) for _ in range(160)]
+    for k in (3, 90):
+        made[k] = np.concatenate([made[k], rare])  # with the one that all have: two that agree
+    for k in range(70):
+        made.append(np.concatenate([rng.permutation(motif)[:11], corner(5)]))
+    found = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(made)], "id long, corners binary")
+    held = cut(images.shared(found))
+    got = {(x.a, x.b) for x in images.meeting(found, held=held).collect()}
+    crowd = {(a, b) for a in range(160, 230) for b in range(160, a)}
+    assert got == {(90, 3)} | crowd
+    every = {(x.a, x.b) for x in images.meeting(found, held=held, wide=None).collect()}
+    assert every == got
+    assert {(x.a, x.b) for x in images.meeting(found, held=held, wide=4, most=500).collect()} == got
+    one = {(x.a, x.b) for x in images.meeting(found, 1, held=held, wide=None).collect()}
+    assert len(one) == 160 * 159 // 2 + 70 * 69 // 2 and one > got
+    twos = [corner(2) for _ in range(20)]  # chance: an image has four of twenty pairs of corners that a hundred others have too
+    made = [np.concatenate([*(twos[j] for j in rng.permutation(20)[:4]), corner(2)]) for _ in range(400)]
+    found = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(made)], "id long, corners binary")
+    held = cut(images.shared(found))
+    every, got = ({(x.a, x.b) for x in images.meeting(found, held=held, **how).collect()} for how in ({"wide": None}, {}))
+    assert got < every and len(every) > 40_000 and len(got) < len(every) / 2
+    alike = [(a, b) for a, b in every if len(set(map(bytes, made[a]["bits"])) & set(map(bytes, made[b]["bits"]))) >= 6]
+    assert len(alike) > 500 and len(got & set(alike)) > 0.97 * len(alike)
+
+
+def test_sketches_of_wide_keys():
+    rng = np.random.default_rng(4)
+    keys, at = rng.integers(-(2**62), 2**62, 40), np.arange(40) // 2
+    assert (images.sketches(keys, at) == images.sketches(np.append(keys[::-1], keys[:3]), np.append(at[::-1], at[:3]))).all()
+    assert len(images.sketches(keys[:2], at[:2])) == len(images.sketches(keys[:0], at[:0])) == 0 and len(images.sketches(keys[:4], at[:4])) > 0
+    some = lambda: rng.permutation(20)[:16] * 2
+    met = [len(np.intersect1d(*(images.sketches(keys[k], at[k]) for k in (some(), some())))) > 0 for _ in range(300)]
+    assert np.mean(met) > 0.97  # two that share two thirds of what either has
+
+
 def test_pairs_matched_together():
     """Pairs of pictures that are told together are told as each alone."""
     rng = np.random.default_rng(3)
