@@ -24,8 +24,8 @@ def media_type(path):
 
 
 def data_url(path, content):
-    """A data URL of an audio file's bytes; null for other files."""
-    return F.concat(F.lit("data:"), media_type(path), F.lit(";base64,"), F.base64(content))
+    """A data URL of an audio file's bytes, in one line; null for other files."""
+    return F.concat(F.lit("data:"), media_type(path), F.lit(";base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def present(spark: SparkSession, paths: list[str]) -> DataFrame:
