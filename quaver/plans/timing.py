@@ -205,7 +205,10 @@ def timing_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label"), F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("samples"))
+    """Samples to four decimals; one that is rounded to zero keeps its sign, as in SQL."""
+    signed = lambda x, r: F.when((r == 0) & x.cast("string").startswith("-"), -r).otherwise(r)
+    rounded = lambda x: signed(x, F.round(x.cast("double"), 4))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label"), F.transform("embedding", rounded).alias("samples"))
 
 
 _SQL_PCM = "pcm AS (SELECT vec_id, label, list_transform(embedding, lambda x: round(x::DOUBLE, 4)) AS x FROM embeddings)"

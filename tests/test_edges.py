@@ -4,6 +4,7 @@ import base64
 
 from pyspark.sql import functions as F
 
+from quaver.plans import registry
 from quaver.sources import files
 
 
@@ -12,3 +13,10 @@ def test_data_urls_are_one_line(spark):
     own = spark.createDataFrame([("a.mp3", bytearray(content)), ("a.txt", bytearray(content))], "path string, content binary")
     got = [r.u for r in own.select(files.data_url(F.col("path"), F.col("content")).alias("u")).collect()]
     assert got == ["data:audio/mpeg;base64," + base64.b64encode(content).decode(), None]
+
+
+def test_samples_that_round_to_zero_keep_their_sign(spark, tmp_path):
+    own = [(1, [0.5] * 10 + [-0.00001, -0.00001, 0.00001, 0.25, -0.0] + [0.5] * 49, 0)]
+    spark.createDataFrame(own, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    path = registry.QUERIES["peak_path"](spark, str(tmp_path)).first().path
+    assert list(map(str, path[:5])) == ["-0.0", "0.0", "0.0", "-0.25", "-0.0"]
