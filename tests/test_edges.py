@@ -5,7 +5,7 @@ import base64
 from pyspark.sql import functions as F
 
 from quaver.plans import registry
-from quaver.sources import files
+from quaver.sources import files, lyrics
 
 
 def test_data_urls_are_one_line(spark):
@@ -20,3 +20,10 @@ def test_samples_that_round_to_zero_keep_their_sign(spark, tmp_path):
     spark.createDataFrame(own, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     path = registry.QUERIES["peak_path"](spark, str(tmp_path)).first().path
     assert list(map(str, path[:5])) == ["-0.0", "0.0", "0.0", "-0.25", "-0.0"]
+
+
+def test_stamps_of_a_hundred_minutes_are_read(spark):
+    songs = spark.createDataFrame([(1, "[99:59:50]a[100:00:00]b[12345:00:25]\n@Ruby1=b,x[100:00:01]y")], "song_id long, text string")
+    got = [(r.reading, r.t) for r in lyrics.stamped_words(songs).orderBy("word_idx").collect()]
+    assert got == [("a", 5_999_500), ("b", 6_000_000), ("\n", 740_700_250)]
+    assert [(r.texts, r.offsets_ms) for r in lyrics.ruby_rules(songs).collect()] == [(["x", "y"], [0, 6_000_010])]
