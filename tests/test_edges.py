@@ -4,6 +4,7 @@ import base64
 
 from pyspark.sql import functions as F
 
+from quaver.functions import word as W
 from quaver.plans import registry
 from quaver.sources import files, lyrics
 
@@ -27,3 +28,11 @@ def test_stamps_of_a_hundred_minutes_are_read(spark):
     got = [(r.reading, r.t) for r in lyrics.stamped_words(songs).orderBy("word_idx").collect()]
     assert got == [("a", 5_999_500), ("b", 6_000_000), ("\n", 740_700_250)]
     assert [(r.texts, r.offsets_ms) for r in lyrics.ruby_rules(songs).collect()] == [(["x", "y"], [0, 6_000_010])]
+
+
+def test_written_stamps_are_read_again(spark):
+    times = [250, 5_999_990, 6_000_000, 600_000_000, 9_000_000_000_000_000]
+    rows = [(1, k, x) for k, x in enumerate(times)]
+    own = spark.createDataFrame(rows, "song_id long, word_idx int, t long").withColumn("word", W.word(F.when(F.col("word_idx") == 4, "\n").otherwise(F.concat(F.lit("w"), "word_idx")), F.col("t")))
+    back = lyrics.stamped_lyrics(lyrics.to_stamped(own)).orderBy("word_idx")
+    assert [(r.word.reading, r.word.syllables[0].t) for r in back.collect()] == [("w0", 250), ("w1", 5_999_990), ("w2", 6_000_000), ("w3", 600_000_000), ("\n", times[-1])]
