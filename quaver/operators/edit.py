@@ -1,6 +1,7 @@
 """Edits of word and tempo tables: every edit is a new DataFrame, numbered anew where places move.
 
-Edits come as DataFrames keyed by (song_id, word_idx), so one edit or a million is the same plan.
+Edits come as DataFrames keyed by (song_id, word_idx), so one edit or a million is the same plan. Where the rule of an
+edit is an expression of the word and its place, ``functions.song`` does it in a song's array, without a join or exchange.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaver.functions import song
 from quaver.functions import text as T
 from quaver.functions import timecode as C
 from quaver.functions import word as W
@@ -118,9 +120,7 @@ def segmented(words: DataFrame, units: DataFrame, with_ruby: bool) -> DataFrame:
     count = units.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_")).where("n_ > 1" if not with_ruby else "n_ > 0")
     sung = words.where(~T.is_separator(F.col("word.reading"))).select(*KEY)
     rows = units.join(count, KEY, "left_semi").join(sung, KEY, "left_semi")
-    own = F.when(F.size("readings") > 0, F.transform("readings", lambda r: W.syllable(r))).otherwise(F.array(W.syllable(F.col("surface"))))
-    ruby = (F.size("readings") > 0) & (F.array_join("readings", "") != F.col("surface")) & F.lit(with_ruby)
-    new = rows.select(*KEY, W.with_syllables(F.col("surface"), own, ruby, F.size("readings") == 0).alias("word"), "nth")
+    new = rows.select(*KEY, song.unit_word(F.col("surface"), F.col("readings"), with_ruby).alias("word"), "nth")
     return replaced(words, new)
 
 
