@@ -91,3 +91,18 @@ def test_a_sentence_becomes_units(spark, monkeypatch):
     monkeypatch.setattr(segment, "MOST_WORDS", 3)
     with pytest.raises(ValueError, match="isn't sent"):
         segment.segmenter(lexicon)
+
+
+def test_a_worker_holds_few_tokens(spark):
+    """Batches of many long texts: results go in parts of TOGETHER characters, nulls and empty texts among them."""
+    import pyarrow as pa
+
+    own = pa.array(["a" * 100, None, "", "b" * segment.TOGETHER, "c", None, "d" * (2 * segment.TOGETHER), "", "e"])
+    cut = list(segment.parts(own))
+    assert pa.concat_arrays(cut) == own and [len(x) for x in cut] == [3, 1, 2, 1, 2]
+    assert list(segment.parts(own.slice(0, 0))) == []
+    lexicon = spark.createDataFrame([("ab", "x", 1)], "surface string, reading string, cost int")
+    rows = [(k, None if k % 7 == 0 else "abz" * (k * 300)) for k in range(40)]
+    df = spark.createDataFrame(rows, "i long, text string").coalesce(1).select("i", segment.segmenter(lexicon)(F.col("text")).alias("t"))
+    for r in df.collect():
+        assert r.t == (None if rows[r.i][1] is None else [("ab", "x"), ("z", None)] * (r.i * 300))
