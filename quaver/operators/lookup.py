@@ -171,13 +171,17 @@ def owner_of_chars(words: DataFrame, char_times: DataFrame) -> DataFrame:
     """song_id, word_idx, t: the time of the first timed character of each word's reading.
 
     Characters are numbered from 0 over the joined readings of a song. words has song_id,
-    word_idx, reading; char_times has song_id, char_idx, t.
+    word_idx, reading; char_times has song_id, char_idx, t. One union and one sort by song, backwards: a word takes the
+    last timed character passed, if it is one of its own. Characters without a time are no rows.
     """
     before = Window.partitionBy("song_id").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.coalesce(F.sum(F.length("reading")).over(before), F.lit(0))
-    spans = words.withColumn("first", first).where(F.length("reading") > 0)
-    chars = spans.select("song_id", "word_idx", F.explode(F.sequence(F.col("first"), F.col("first") + F.length("reading") - 1)).alias("char_idx"))
-    return chars.join(char_times, ["song_id", "char_idx"]).groupBy("song_id", "word_idx").agg(F.min_by("t", "char_idx").alias("t"))
+    first = F.coalesce(F.sum(F.length("reading")).over(before), F.lit(0)).cast("bigint")
+    spans = words.select("song_id", "word_idx", F.length("reading").cast("bigint").alias("n_"), first.alias("at_")).where("n_ > 0")
+    timed = char_times.where("char_idx is not null").select("song_id", F.col("char_idx").cast("bigint").alias("at_"), F.struct(F.col("char_idx").cast("bigint").alias("at"), "t").alias("c_"))
+    both = spans.unionByName(timed, allowMissingColumns=True)
+    passed = Window.partitionBy("song_id").orderBy(F.desc("at_"), F.col("c_").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("c_", F.last("c_", ignorenulls=True).over(passed)).where("n_ is not null and c_.at < at_ + n_")
+    return found.select("song_id", "word_idx", F.col("c_.t").alias("t"))
 
 
 def cached_stems(audio: DataFrame, cache: DataFrame, tolerance: float = 0.25) -> DataFrame:

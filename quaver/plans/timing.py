@@ -348,7 +348,9 @@ SELECT song_id, word_idx, min(c)::BIGINT * 10 AS t FROM c WHERE c % 3 = 0 GROUP
 def char_to_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _turn_words(spark, sf_dir).select("song_id", F.col("word_idx").cast("bigint").alias("word_idx"), F.col("word").alias("reading"))
     total = words.groupBy("song_id").agg(F.sum(F.length("reading")).alias("n"))
-    chars = total.select("song_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("char_idx")).where("char_idx % 3 = 0")
+    # Every third character, numbered in two steps, so that no array is as long as a song.
+    some = total.where("n > 0").select("song_id", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(3 << 12).cast("bigint"))).alias("low"))
+    chars = some.select("song_id", F.explode(F.sequence("low", F.least(F.col("low") + (3 << 12), F.col("n")) - 1, F.lit(3).cast("bigint"))).alias("char_idx"))
     return lookup.owner_of_chars(words, chars.withColumn("t", F.col("char_idx") * 10))
 
 

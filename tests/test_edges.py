@@ -1,10 +1,12 @@
 """Results at the edges of what the given tables have: long texts, long paths, small numbers."""
 
 import base64
+import random
 
 from pyspark.sql import functions as F
 
 from quaver.functions import word as W
+from quaver.operators import lookup
 from quaver.plans import registry
 from quaver.sources import files, lyrics
 
@@ -36,3 +38,21 @@ def test_written_stamps_are_read_again(spark):
     own = spark.createDataFrame(rows, "song_id long, word_idx int, t long").withColumn("word", W.word(F.when(F.col("word_idx") == 4, "\n").otherwise(F.concat(F.lit("w"), "word_idx")), F.col("t")))
     back = lyrics.stamped_lyrics(lyrics.to_stamped(own)).orderBy("word_idx")
     assert [(r.word.reading, r.word.syllables[0].t) for r in back.collect()] == [("w0", 250), ("w1", 5_999_990), ("w2", 6_000_000), ("w3", 600_000_000), ("\n", times[-1])]
+
+
+def test_owners_of_characters_without_a_join(spark):
+    rng = random.Random(3)
+    readings = {(s, k): "x" * rng.choice([0, 1, 1, 2, 5]) for s in range(6) for k in range(40)}
+    times = {(s, c): rng.choice([None, c * 7]) for s in range(1, 8) for c in range(90) if rng.random() < 0.4}
+    words = spark.createDataFrame([(s, k, x) for (s, k), x in readings.items()], "song_id long, word_idx int, reading string")
+    chars = spark.createDataFrame([(s, c, t) for (s, c), t in times.items()], "song_id long, char_idx long, t long")
+    want, first = set(), {}
+    for (s, k), x in readings.items():
+        low = first.get(s, 0)
+        first[s] = low + len(x)
+        own = [c for c in range(low, low + len(x)) if (s, c) in times]
+        if own:
+            want.add((s, k, times[s, own[0]]))
+    out = lookup.owner_of_chars(words, chars)
+    assert {tuple(r) for r in out.collect()} == want and out.count() == len(want)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
