@@ -350,3 +350,30 @@ def test_pairs_matched_together():
         got = images.matched_all(list(a), list(b), least=least)
         assert got.tolist() == [images.matched(x, y, least=least) for x, y in zip(a, b, strict=True)]
         assert (got >= images.VOTES).sum() >= 64
+
+
+def test_image_copies_try_all_that_share_keys(spark, monkeypatch):
+    """Chance pairs: an image has four of twenty pairs of corners that a hundred others have too. All of them are tried."""
+    rng = np.random.default_rng(22)
+
+    def corner(n):
+        out = np.zeros(n, images.CORNER)
+        out["x"], out["y"], out["size"] = rng.uniform(0, 64, n), rng.uniform(0, 64, n), 1
+        out["bits"] = rng.integers(0, 256, (n, images.BITS // 8))
+        return out
+
+    twos = [corner(2) for _ in range(20)]
+    own = [rng.permutation(20)[:4] for _ in range(360)]
+    made = [np.concatenate([*(twos[j] for j in four), corner(2)]) for four in own]
+    found = cut(spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(made)], "id long, corners binary"))
+    tried = set()
+
+    def none_matches(pairs, *_):
+        tried.update((max(x.a, x.b), min(x.a, x.b)) for x in pairs.select("a", "b").collect())
+        return pairs.select("a", "b").where(F.lit(False))
+
+    monkeypatch.setattr(images, "described", lambda _: found)
+    monkeypatch.setattr(images, "verified", none_matches)
+    df = spark.createDataFrame([(k, b"%d" % k) for k in range(len(made))], "id long, image binary")
+    assert {x.class_id for x in images.image_copies(df).collect()} == set(range(len(made)))
+    assert tried == {(a, b) for a in range(len(made)) for b in range(a) if set(own[a]) & set(own[b])}
